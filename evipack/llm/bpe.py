@@ -1,24 +1,26 @@
 """Byte-level BPE by a table of distinct words: each word is encoded once, ids come back by position.
 
-One pass over the texts splits them into the words that no merge crosses and writes, per block of some megabytes,
-the block's distinct words and each text as positions in that list. Only the word lists shuffle: the distinct
-words of all blocks are encoded once, their pieces come from a join of ids with the vocabulary, and both go back to
-their blocks, where each text is put together by position. Texts themselves never shuffle.
+One pass over the texts splits them into the words that no merge crosses and packs, per block of some megabytes, each
+text as positions in the block's list of distinct words, most frequent first. The words of all blocks meet by hash
+bucket, where each distinct word is encoded once, and its ids go back to the blocks that have it. There every text
+is put together by position, and decoded by joining its ids with the vocabulary's pieces, which every task has.
+Texts themselves never shuffle; packed positions and word lists are several times smaller.
 """
-
 import os
 import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evipack.llm.scratch import written
-
-#: Text bytes in a block, which one task holds with its words.
-BLOCK_BYTES = 4 << 20
+#: Characters of text in a block, which one task holds with its words, and in a packed row of a block.
+BLOCK_CHARS, ROW_CHARS = 16 << 20, 1 << 20
+#: Buckets of words: one task holds the distinct words of one bucket at a time.
+BUCKETS = 1024
 #: The split before byte-level merges that the vocabulary was made with (a fixed value of the file format).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -63,110 +65,167 @@ def words_of(text: str, find, cut) -> list[str]:
     return [w for k, part in enumerate(cut.split(text)) for w in ([part] if k % 2 else find(part))]
 
 
-PARTS = "block long, doc_id long, word string, positions binary"
+PARTS = "block long, bucket int, doc_ids array<bigint>, head binary, body binary"
+
+
+def pack(numbers) -> bytes:
+    """Non-negative 32-bit numbers, compressed by byte planes."""
+    planes = np.ascontiguousarray(np.asarray(numbers, "<i4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<i4").reshape(-1)
 
 
-def _blocks(path: str, block_bytes: int):
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["block", "bucket", "doc_ids", "head", "body"])
+
+
+def _packed(block: int, at: dict, ids: list, found: list, buckets: int):
+    """The rows of a block: its texts in parts of about ROW_CHARS (bucket -1), and its words by bucket."""
+    flat = np.concatenate(found) if found else np.zeros(0, np.int32)
+    order = np.argsort(-np.bincount(flat, minlength=len(at)), kind="stable").astype(np.int32)
+    rank = np.empty(len(at), np.int32)
+    rank[order] = np.arange(len(at), dtype=np.int32)
+    first, held = 0, 0
+    for k in range(len(ids)):
+        held += len(found[k])
+        if held >= ROW_CHARS // 4 or k == len(ids) - 1:
+            own = found[first : k + 1]
+            yield block, -1, ids[first : k + 1], pack([len(x) for x in own]), pack(rank[np.concatenate(own)])
+            first, held = k + 1, 0
+    words = [w.encode("utf-8") for w in at]
+    dealt = np.array([xxhash.xxh32_intdigest(w) % buckets for w in words], np.int64)
+    by_bucket = np.lexsort((rank, dealt))
+    edges = np.flatnonzero(np.diff(dealt[by_bucket])) + 1
+    for own in np.split(by_bucket, edges) if len(words) else ():
+        lens = [len(words[k]) for k in own]
+        body = zstandard.ZstdCompressor(level=3).compress(b"".join(words[k] for k in own))
+        yield block, int(dealt[own[0]]), None, pack(np.concatenate((lens, rank[own]))), body
+
+
+def _blocks(path: str, block_chars: int, buckets: int):
     def run(batches):
         tokenizer = _tokenizer(path)
         find, added = splitter(tokenizer), _added(tokenizer)
         cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         block = TaskContext.get().partitionId() << 32
-        at, ids, positions, held = {}, [], [], 0
-
-        def table():
-            n, m = len(ids), len(at)
-            return pa.RecordBatch.from_arrays([
-                pa.array([block] * (n + m), pa.int64()),
-                pa.array(ids + [None] * m, pa.int64()),
-                pa.array([None] * n + list(at), pa.string()),
-                pa.array(positions + [np.int32(k).tobytes() for k in range(m)], pa.binary()),
-            ], ["block", "doc_id", "word", "positions"])
-
+        at, ids, found, held = {}, [], [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
-                found = words_of(text, find, cut)
-                positions.append(np.array([at.setdefault(w, len(at)) for w in found], np.int32).tobytes())
+                found.append(np.array([at.setdefault(w, len(at)) for w in words_of(text, find, cut)], np.int32))
                 ids.append(doc_id)
                 held += len(text)
-                if held >= block_bytes:
-                    yield table()
+                if held >= block_chars:
+                    yield _batch(list(_packed(block, at, ids, found, buckets)))
                     block += 1
-                    at, ids, positions, held = {}, [], [], 0
+                    at, ids, found, held = {}, [], [], 0
         if ids:
-            yield table()
+            yield _batch(list(_packed(block, at, ids, found, buckets)))
 
     return run
 
 
+def _word_rows(batches):
+    for batch in batches:
+        rows = batch.filter(pa.compute.greater_equal(batch.column(1), 0))
+        yield pa.RecordBatch.from_arrays([rows.column(k) for k in (0, 1, 3, 4)], ["home", "bucket", "head", "body"])
+
+
 def _encoded(path: str):
+    """Rows of words, sorted by bucket, to rows of ids: each distinct word of a bucket is encoded once."""
+
     def run(batches):
         tokenizer = _tokenizer(path)
+        bucket, known = None, {}
         for batch in batches:
-            found = tokenizer.encode_batch(batch.column(0).to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.ids for x in found], pa.list_(pa.int32()))], ["word", "ids"])
+            homes, heads, bodies = [], [], []
+            for home, own, head, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != bucket:
+                    bucket, known = own, {}
+                lens, ranks = np.split(unpack(head), 2)
+                raw = zstandard.ZstdDecompressor().decompress(body)
+                ends = np.cumsum(lens).tolist()
+                words = [raw[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+                fresh = [w for w in words if w not in known]
+                for w, x in zip(fresh, tokenizer.encode_batch([w.decode("utf-8") for w in fresh], add_special_tokens=False), strict=True):
+                    known[w] = x.ids
+                ids = [known[w] for w in words]
+                homes.append(home)
+                heads.append(pack(np.concatenate(([len(x) for x in ids], ranks))))
+                bodies.append(pack([k for x in ids for k in x]))
+            yield pa.RecordBatch.from_arrays([pa.array(homes, pa.int64()), pa.array(heads, pa.binary()), pa.array(bodies, pa.binary())], ["home", "head", "body"])
 
     return run
 
 
-def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """(id, piece): the bytes of every id, in hexadecimal. As many rows as the vocabulary file has, not as the data has."""
-    tokenizer, letters = _tokenizer(path), byte_letters()
-    added = _added(tokenizer)
-    rows = [
-        (k, w.encode().hex() if w in added else bytes(letters[c] for c in w).hex())
-        for w, k in tokenizer.get_vocab(with_added_tokens=True).items()
-    ]
-    return spark.createDataFrame(rows, "id int, piece string")
-
+class Lists:
+    """Lists of numbers, one after the other in one array."""
 
-def with_pieces(encoded: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """`encoded` (word, ids) plus `bytes`: the word decoded again, by a join of its ids with the vocabulary."""
-    each = encoded.select("word", F.posexplode("ids").alias("at", "id"))
-    named = each.join(F.broadcast(vocabulary), "id").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("own"), F.array_sort(F.collect_list(F.struct("at", "id"))).alias("own_ids"))
-    return named.select("word", F.transform("own_ids", lambda x: x.id).alias("ids"), F.unhex(F.array_join(F.transform("own", lambda x: x.piece), "")).alias("bytes"))
+    def __init__(self, flat: np.ndarray, counts: np.ndarray):
+        self.flat, self.counts = flat, counts
+        self.starts = np.cumsum(counts) - counts
 
+    def take(self, at: np.ndarray) -> np.ndarray:
+        """The lists that `at` names, joined."""
+        n = self.counts[at]
+        return self.flat[np.repeat(self.starts[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
-def _gathered(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The parts of `flat` that `at` names, one after the other."""
-    n = counts[at]
-    before = np.cumsum(n) - n
-    return flat[np.repeat(starts[at] - before, n) + np.arange(int(n.sum()))]
 
+def pieces(path: str) -> Lists:
+    """The bytes of every id, by id. As large as the vocabulary file, whatever the data."""
+    tokenizer, letters = _tokenizer(path), byte_letters()
+    added = _added(tokenizer)
+    found = {k: w.encode() if w in added else bytes(letters[c] for c in w) for w, k in tokenizer.get_vocab(with_added_tokens=True).items()}
+    rows = [found.get(k, b"") for k in range(max(found) + 1)]
+    return Lists(np.frombuffer(b"".join(rows), np.uint8), np.array([len(r) for r in rows], np.int64))
+
+
+def decoded(ids: np.ndarray, vocabulary: Lists) -> str:
+    """The text of ids: their pieces joined, as UTF-8 with the replacement sign for what is none."""
+    return vocabulary.take(ids).tobytes().decode("utf-8", "replace")
+
+
+def _assembled(vocabulary: Lists):
+    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+        heads = [np.split(unpack(x), 2) for x in words["head"].to_pylist()]
+        counts = np.concatenate([h[0] for h in heads]) if heads else np.zeros(0, np.int32)
+        ranks = np.concatenate([h[1] for h in heads]) if heads else np.zeros(0, np.int32)
+        flat = np.concatenate([unpack(x) for x in words["body"].to_pylist()]) if heads else np.zeros(0, np.int32)
+        coded = Lists(flat, counts.astype(np.int64))
+        place = np.empty(len(ranks), np.int64)
+        place[ranks] = np.arange(len(ranks))
+        ids, lists, out = [], [], []
+        for bucket, own, head, body in zip(*(texts[c].to_pylist() for c in ("bucket", "doc_ids", "head", "body")), strict=True):
+            if bucket < 0:
+                ends = np.cumsum(unpack(head))
+                for doc_id, at in zip(own, np.split(place[unpack(body)], ends[:-1]), strict=True):
+                    ids.append(doc_id)
+                    lists.append(coded.take(at))
+                    out.append(decoded(lists[-1], vocabulary))
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
+        joined = pa.array(np.concatenate(lists).astype(np.int32) if lists else np.zeros(0, np.int32))
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends), joined), "decoded": pa.array(out, pa.string())})
 
-def _assembled(texts: pa.Table, words: pa.Table) -> pa.Table:
-    order = np.argsort(np.frombuffer(b"".join(words["position"].to_pylist()), np.int32)) if len(words) else np.zeros(0, np.int64)
-    coded = words.take(pa.array(order)).combine_chunks()
-
-    def flat(column, kind):
-        values = coded[column].to_pylist()
-        counts = np.array([len(v) for v in values], np.int64)
-        joined = np.concatenate([np.frombuffer(v, kind) if isinstance(v, bytes) else np.array(v, kind) for v in values]) if values else np.zeros(0, kind)
-        return joined, np.cumsum(counts) - counts, counts
-
-    ids, raw = flat("ids", np.int32), flat("bytes", np.uint8)
-    found = [np.frombuffer(p, np.int32) for p in texts["positions"].to_pylist()]
-    lists = [_gathered(*ids, at) for at in found]
-    ends = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
-    joined = pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32))
-    decoded = [_gathered(*raw, at).tobytes().decode("utf-8", "replace") for at in found]
-    return pa.table({"doc_id": texts["doc_id"], "ids": pa.ListArray.from_arrays(pa.array(ends), joined), "decoded": pa.array(decoded, pa.string())})
+    return run
 
 
-def bpe_round_trip(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, tokenizer_path: str, block_chars: int = BLOCK_CHARS, buckets: int = BUCKETS) -> DataFrame:
     """One row per row of `docs` (doc_id, text; other columns are ignored): doc_id, ids, decoded.
 
     `tokenizer_path` is a byte-level BPE file of the tokenizers library, at the same place on every machine. ids are
     those of encoding without added special tokens, truncation or padding; a special token's string inside a text
     is that token. decoded is what decoding the ids gives, special tokens included. A null or empty text has no ids.
-    Repeated rows and ids are rows of their own; an empty table gives an empty result.
+    Repeated rows and ids are rows of their own; an empty table gives an empty result. The rows of `docs` must come
+    in the same order when a lost task runs again, as those of a stored table do.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    parts = written(rows.mapInArrow(_blocks(tokenizer_path, block_bytes), PARTS), "bpe-blocks")
-    lists = parts.where("word IS NOT NULL").select("block", "word", F.col("positions").alias("position"))
-    distinct = lists.select("word").distinct().mapInArrow(_encoded(tokenizer_path), "word string, ids array<int>")
-    coded = written(with_pieces(distinct, pieces(docs.sparkSession, tokenizer_path)), "bpe-words")
-    back = lists.join(coded, "word").select(F.col("block").alias("home"), "position", "ids", "bytes")
-    texts = parts.where("word IS NULL").select("block", "doc_id", "positions")
-    return texts.groupBy("block").cogroup(back.groupBy("home")).applyInArrow(_assembled, "doc_id long, ids array<int>, decoded string")
+    parts = rows.mapInArrow(_blocks(tokenizer_path, block_chars, buckets), PARTS).repartition("block")
+    words = parts.mapInArrow(_word_rows, "home long, bucket int, head binary, body binary")
+    coded = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encoded(tokenizer_path), "home long, head binary, body binary")
+    assembled = _assembled(pieces(tokenizer_path))
+    return parts.groupBy("block").cogroup(coded.groupBy("home")).applyInArrow(assembled, "doc_id long, ids array<int>, decoded string")
