@@ -88,6 +88,6 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     both = F.concat(*[F.unhex(F.lpad(F.hex(x), 16, "0")) for x in ("h", "h2")])
     lost = written(repeated_lines(rows, min_chars, min_docs).groupBy("doc_id").agg(F.collect_set(both).alias("lost")), "lines-lost")
-    lost = lost.withColumnRenamed("doc_id", "lost_id")
+    lost = lost.withColumnRenamed("doc_id", "lost_id").hint("merge")  # grows with the data: one plan at every size
     joined = rows.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")), "left").select("doc_id", "text", "lost")
     return joined.mapInArrow(_rebuilt, "doc_id long, kept_text string, n_lines long, n_dropped long")
