@@ -42,5 +42,5 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 def keep_first_copies(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that exact_dedup keeps, with all their columns. Only the ids of dropped rows are joined."""
-    dropped = exact_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("dropped_id")).distinct()
+    dropped = exact_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("dropped_id")).distinct().hint("merge")
     return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["dropped_id"]), "left_anti")

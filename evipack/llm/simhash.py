@@ -160,5 +160,5 @@ def simhash_near_dedup(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of `docs` whose doc_id names their component, with all columns. Only dropped ids are joined."""
     found = simhash_near_dedup(docs)
-    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("dropped_id")).distinct()
+    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("dropped_id")).distinct().hint("merge")
     return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["dropped_id"]), "left_anti")
