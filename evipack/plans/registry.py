@@ -1,4 +1,536 @@
 """Registered queries over the driver's tables, and the SQL that each must agree with."""
 
+from pyspark.sql import functions as F
+
+from evipack.functions import dates, tables
+from evipack.functions import text as tx
+from evipack.operators import evaluate, fusion, incremental, lexical, package, packing, vectors
+from evipack.operators import facts as fc
+from evipack.plans import corpus
+from evipack.schema import DEFAULTS
+from evipack.sources import normalize
+from evipack.streaming.streams import window_metrics
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def quoted(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+# ---- SQL of what the queries share ------------------------------------------------------------------------------
+
+_BLANK = r"'^\s+|\s+$'"
+
+
+def sql_terms(x: str) -> str:
+    kept = f"list_filter(regexp_extract_all(lower({x}), '{tx.TERM}'), lambda t: (length(t) > 2 OR t IN ({quoted(tx.KEEP_SHORT)})) AND t NOT IN ({quoted(tx.STOPWORDS)}))"
+    return f"list_transform({kept}, lambda t: CASE t WHEN 'full-year' THEN 'fy' WHEN 'fiscal' THEN 'fy' ELSE t END)"
+
+
+def sql_third(n: str, a: str, b: str, c: str) -> str:
+    return f"CASE {n} % 3 WHEN 0 THEN {a} WHEN 1 THEN {b} ELSE {c} END"
+
+
+ITEMS = f"""items AS (SELECT 'press_release/' || doc_id AS source_ref, doc_id::VARCHAR AS doc_id, coalesce(source, '') AS title, coalesce(text, '') AS content,
+  {sql_third("doc_id", "'public'", "'internal'", "'private'")} AS scope, TIMESTAMP '2022-01-01' + to_days((doc_id % 1000)::INT) AS observed_at FROM documents),
+hashed AS (SELECT *, sha256(title || '|' || content || '|' || strftime(observed_at, '%Y-%m-%d %H:%M:%S') || '|day|' || scope || '|0.9') AS content_hash FROM items),
+tasks AS (SELECT item_id AS task_id, coalesce(text, '') AS task, {sql_third("item_id", "['public']", "['public', 'internal']", "['public', 'internal', 'private']")} AS scopes,
+  (300 + (item_id * 97) % 3000)::INT AS budget_tokens FROM benchmark)"""
+POSTS = f"""{ITEMS},
+posts AS (SELECT source_ref, scope, n_terms, term, count(*) AS tf FROM (SELECT source_ref, scope, len(ts) AS n_terms, unnest(ts) AS term
+  FROM (SELECT source_ref, scope, {sql_terms("title || ' ' || content")} AS ts FROM items)) GROUP BY ALL),
+weights AS (SELECT term, count(*) AS df, ln((SELECT count(*) FROM items)::DOUBLE / count(*)) AS weight FROM posts GROUP BY term)"""
+FOUND = f"""{POSTS},
+tt AS (SELECT task_id, scopes, term, coalesce(weight, (SELECT max(weight) FROM weights)) AS w FROM (SELECT DISTINCT task_id, scopes, unnest({sql_terms("task")}) AS term FROM tasks) LEFT JOIN weights USING (term)),
+tt2 AS (SELECT *, count(*) OVER (PARTITION BY task_id) AS n_tt, sum(w) OVER (PARTITION BY task_id) AS total FROM tt),
+found AS (SELECT task_id, source_ref, round(CASE WHEN any_value(total) > 0 THEN sum(w) / any_value(total) ELSE 0 END, 9) AS coverage,
+  round(sum(tf)::DOUBLE / (1 + ln(any_value(n_terms))), 9) AS text_rank, count(*) = any_value(n_tt) AS all_terms, list_sort(list(term)) AS matched
+  FROM posts JOIN tt2 USING (term) WHERE list_contains(scopes, scope) GROUP BY task_id, source_ref),
+loose AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY coverage DESC, text_rank DESC, source_ref) AS rank FROM
+  (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY text_rank DESC, source_ref) <= 150)) WHERE rank <= 30),
+strict AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY text_rank DESC, source_ref) AS rank FROM found WHERE all_terms) WHERE rank <= 30)"""
+HITS = f"""{FOUND},
+lists AS (SELECT 0 AS list_no, task_id, source_ref, rank, coverage, matched FROM loose UNION ALL SELECT 1, task_id, source_ref, rank, coverage, matched FROM strict),
+fused AS (SELECT task_id, source_ref, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(rank) AS best, any_value(coverage) AS coverage, any_value(matched) AS matched,
+  min(list_no) AS l, arg_min(rank, list_no) AS lr FROM lists GROUP BY task_id, source_ref),
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, l, lr, source_ref) AS rank FROM fused) WHERE rank <= 30)"""
+CANDIDATES = f"""{HITS},
+gated AS (SELECT h.*, i.* EXCLUDE (source_ref) FROM hits h JOIN hashed i USING (source_ref) WHERE coverage >= 0.3),
+cands AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY rank) AS pos, (length(content) // 4 + 1)::INT AS cost FROM
+  (SELECT * FROM gated QUALIFY row_number() OVER (PARTITION BY task_id, content_hash ORDER BY rank) = 1))"""
+PACKED = f"""{CANDIDATES},
+walk AS (SELECT task_id, 0::BIGINT AS pos, 0::INT AS used, 0::INT AS n, false AS took FROM tasks UNION ALL
+  SELECT w.task_id, c.pos, CASE WHEN w.n < 8 AND w.used + c.cost <= t.budget_tokens THEN w.used + c.cost ELSE w.used END,
+    CASE WHEN w.n < 8 AND w.used + c.cost <= t.budget_tokens THEN w.n + 1 ELSE w.n END, w.n < 8 AND w.used + c.cost <= t.budget_tokens
+  FROM walk w JOIN tasks t USING (task_id) JOIN cands c ON c.task_id = w.task_id AND c.pos = w.pos + 1),
+packed AS (SELECT c.*, w.n, max(w.used) OVER (PARTITION BY task_id) AS total_used FROM cands c JOIN walk w USING (task_id, pos) WHERE w.took),
+package AS (SELECT *, '[' || n || ']' AS ref, CASE WHEN floor(date_diff('second', observed_at, TIMESTAMP '2024-07-01') / 86400) <= 90 THEN 'fresh'
+  WHEN floor(date_diff('second', observed_at, TIMESTAMP '2024-07-01') / 86400) <= 365 THEN 'aging' ELSE 'stale' END AS freshness FROM packed)"""
+FACTS = f"""facts AS (SELECT 'event/' || event_id AS source_ref, user_id || '|' || event_type AS fact_key, floor(value * 100)::BIGINT::VARCHAR AS v, user_id, ts,
+  CASE WHEN event_id % 3 = 0 THEN 0.85 ELSE 0.6 END::DOUBLE AS confidence, {sql_third("event_id", "'public'", "'internal'", "'private'")} AS scope FROM events)"""
+
+
+# ---- text -------------------------------------------------------------------------------------------------------
+
+
+def _nested(x: str) -> str:
+    for rule in corpus.RULES:
+        x = f"regexp_replace({x}, '{rule}', ' ', 'g')"
+    return f"regexp_replace({x}, '[ \\t]+', ' ', 'g')"
+
+
+@query(f"SELECT doc_id, {_nested('text')} AS cleaned FROM documents")
+def strip_boilerplate(spark, sf_dir):
+    return corpus.table(spark, sf_dir, "documents").select("doc_id", tx.strip_boilerplate(F.col("text"), corpus.RULES).alias("cleaned"))
+
+
+@query(f"""WITH RECURSIVE paras AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM
+  (SELECT doc_id, i, regexp_replace(s[i], {_BLANK}, '', 'g') AS p FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))) WHERE p <> ''),
+walk AS (SELECT doc_id, n, 0::BIGINT AS chunk_no, p AS cur FROM paras WHERE n = 1 UNION ALL
+  SELECT w.doc_id, q.n, CASE WHEN length(w.cur) + length(q.p) > 1400 THEN w.chunk_no + 1 ELSE w.chunk_no END,
+    CASE WHEN length(w.cur) + length(q.p) > 1400 THEN q.p ELSE w.cur || chr(10) || q.p END FROM walk w JOIN paras q ON q.doc_id = w.doc_id AND q.n = w.n + 1)
+SELECT doc_id, chunk_no, arg_max(cur, n) AS content FROM walk GROUP BY doc_id, chunk_no""")
+def chunk_documents(spark, sf_dir):
+    rows = corpus.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.chunks(F.col("text"))).alias("chunk_no", "content"))
+    return rows.withColumn("chunk_no", F.col("chunk_no").cast("long"))
+
+
+@query(f"SELECT doc_id, len(ts)::BIGINT AS n_terms, array_to_string(ts, ' ') AS terms FROM (SELECT doc_id, {sql_terms('text')} AS ts FROM documents)")
+def document_terms(spark, sf_dir):
+    own = corpus.table(spark, sf_dir, "documents").select("doc_id", tx.terms(F.col("text")).alias("ts"))
+    return own.select("doc_id", F.size("ts").cast("long").alias("n_terms"), F.array_join("ts", " ").alias("terms"))
+
+
+@query("SELECT doc_id, (length(text) // 4 + 1)::INT AS tokens, left(text, 280) AS quote FROM documents")
+def token_estimates(spark, sf_dir):
+    return corpus.table(spark, sf_dir, "documents").select("doc_id", tx.tokens(F.col("text")).alias("tokens"), tx.quote(F.col("text")).alias("quote"))
+
+
+# ---- dates ------------------------------------------------------------------------------------------------------
+
+_SHIFTED = "ts + to_years((event_id % 9 - 6)::INT)"
+
+
+@query(f"""SELECT event_id, CASE event_id % 4 WHEN 0 THEN date_trunc('day', d) WHEN 1 THEN date_trunc('month', d)
+  WHEN 2 THEN CASE WHEN year(d) BETWEEN 2019 AND 2026 THEN make_timestamp(year(d), 7, 1, 0, 0, 0) END END AS observed_at,
+  CASE event_id % 4 WHEN 0 THEN 'day' WHEN 1 THEN 'month' WHEN 2 THEN CASE WHEN year(d) BETWEEN 2019 AND 2026 THEN 'year' ELSE 'unknown' END ELSE 'unknown' END AS precision
+  FROM (SELECT event_id, {_SHIFTED} AS d FROM events)""")
+def find_dates(spark, sf_dir):
+    d = F.timestamp_add("YEAR", (F.col("event_id") % 9 - 6).cast("int"), F.col("ts").cast("timestamp_ntz"))
+    k = F.col("event_id") % 4
+    text = (
+        F.when(k == 0, F.concat(F.lit("Bonn, "), F.date_format(d, "MMMM d, yyyy"), F.lit(". In 2022 it began.")))
+        .when(k == 1, F.concat(F.lit("In "), F.date_format(d, "MMMM yyyy"), F.lit(" the company said")))
+        .when(k == 2, F.concat(F.lit("In "), F.date_format(d, "yyyy"), F.lit(" and by 2030")))
+        .otherwise("No date here at all")
+    )
+    found = corpus.table(spark, sf_dir, "events").select("event_id", dates.find_date(text).alias("f"))
+    return found.select("event_id", "f.observed_at", "f.precision")
+
+
+@query("""SELECT event_id, 'Q' || q || ' ' || y AS quarter, CASE q WHEN 1 THEN make_timestamp(y, 5, 15, 0, 0, 0) WHEN 2 THEN make_timestamp(y, 8, 10, 0, 0, 0)
+  WHEN 3 THEN make_timestamp(y, 11, 10, 0, 0, 0) ELSE make_timestamp(y + 1, 2, 25, 0, 0, 0) END AS reported_at
+  FROM (SELECT event_id, event_id % 4 + 1 AS q, 2019 + event_id % 6 AS y FROM events)""")
+def report_dates(spark, sf_dir):
+    q, y = F.col("event_id") % 4, (2019 + F.col("event_id") % 6).cast("string")
+    prose = F.concat(F.element_at(F.array(*[F.lit(w) for w in dates.PROSE]), (q + 1).cast("int")), F.lit(" quarter of "), y)
+    text = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Results for Q"), (q + 1).cast("string"), F.lit("\n"), y, F.lit(" are in."))).otherwise(F.concat(F.lit("In the "), prose, F.lit(" sales rose")))
+    rows = corpus.table(spark, sf_dir, "events").select("event_id", dates.infer_quarter(text).alias("quarter"))
+    return rows.withColumn("reported_at", dates.report_date(F.col("quarter")))
+
+
+@query("""SELECT o_orderkey, CASE WHEN a <= 90 THEN 'fresh' WHEN a <= 365 THEN 'aging' ELSE 'stale' END AS freshness
+  FROM (SELECT o_orderkey, floor(date_diff('second', o_orderdate, TIMESTAMP '1998-07-01') / 86400) AS a FROM orders)""")
+def freshness_grades(spark, sf_dir):
+    as_of = F.lit("1998-07-01 00:00:00").cast("timestamp_ntz")
+    return corpus.table(spark, sf_dir, "orders").select("o_orderkey", dates.freshness(F.col("o_orderdate").cast("timestamp_ntz"), as_of).alias("freshness"))
+
+
+@query("""SELECT event_id, 'FY ' || (2018 + event_id % 9) || ',Q' || (event_id % 4 + 1) || ' ' || (2018 + event_id % 7) AS periods,
+  CASE WHEN event_id % 9 = event_id % 7 THEN (2018 + event_id % 7)::VARCHAR ELSE (2018 + event_id % 7)::VARCHAR END AS years FROM events""")
+def task_periods(spark, sf_dir):
+    e = F.col("event_id")
+    task = F.concat(F.lit("compare fy"), (2018 + e % 9).cast("string"), F.lit(" with Q"), (e % 4 + 1).cast("string"), F.lit(" "), (2018 + e % 7).cast("string"), F.lit(" please"))
+    rows = corpus.table(spark, sf_dir, "events").select("event_id", task.alias("task"))
+    return rows.select("event_id", F.array_join(dates.periods(F.col("task")), ",").alias("periods"), F.array_join(dates.years(F.col("task")), ",").alias("years"))
+
+
+# ---- tables and adapters ----------------------------------------------------------------------------------------
+
+_SUMS = """sums AS (SELECT s_nationkey, p_brand, sum(CASE WHEN year(l_shipdate) % 2 = 0 THEN l_quantity ELSE 0 END)::BIGINT AS even, sum(CASE WHEN year(l_shipdate) % 2 = 1 THEN l_quantity ELSE 0 END)::BIGINT AS odd
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY s_nationkey, p_brand),
+cells AS (SELECT s_nationkey::VARCHAR AS doc_id, p_brand AS metric, 'FY 2000' AS period, even || '.0' AS value FROM sums UNION ALL SELECT s_nationkey::VARCHAR, p_brand, 'FY 2001', odd || '.0' FROM sums)"""
+
+
+@query(f"WITH {_SUMS} SELECT * FROM cells")
+def parse_tables(spark, sf_dir):
+    rows = corpus.table_texts(spark, sf_dir)
+    found = rows.where(tables.has_table(F.col("text"))).select("doc_id", F.explode(tables.facts(F.col("text"))).alias("f"))
+    return found.select("doc_id", "f.metric", "f.period", "f.value")
+
+
+@query("""SELECT s_suppkey::VARCHAR AS doc_id, s_name || '. Supplier of nation ' || s_nationkey || '.' ||
+  CASE WHEN len(m) > 0 THEN ' Key metrics: ' || array_to_string(m, '; ') || '.' ELSE '' END AS content
+  FROM (SELECT s_suppkey, s_name, s_nationkey, list_sort(list(DISTINCT p_brand) FILTER (p_brand IS NOT NULL)) AS m FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey LEFT JOIN part ON l_partkey = p_partkey GROUP BY ALL)""")
+def record_text(spark, sf_dir):
+    s, li, p = (corpus.table(spark, sf_dir, t) for t in ("supplier", "lineitem", "part"))
+    brands = li.select("l_suppkey", "l_partkey").join(p.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey").agg(F.sort_array(F.collect_set("p_brand")).alias("m"))
+    rows = s.join(brands, F.col("s_suppkey") == F.col("l_suppkey"), "left")
+    none = F.array().cast("array<string>")
+    summary = F.concat(F.lit("Supplier of nation "), F.col("s_nationkey").cast("string"), F.lit("."))
+    content = tx.record_text(F.col("s_name"), summary, F.coalesce("m", none), none, none, none)
+    return rows.select(F.col("s_suppkey").cast("string").alias("doc_id"), content.alias("content"))
+
+
+_NOTES = """notes AS (SELECT conv_id || '-' || turn AS id, coalesce(role, 'none') AS channel, 'c' || conv_id AS author, TIMESTAMP '2023-01-01' + to_hours((conv_id % 1000)::INT) AS sent_at,
+  CASE role WHEN 'user' THEN 'public' WHEN 'assistant' THEN 'internal' ELSE 'private' END AS scope, coalesce(text, '') AS text, turn FROM conversations),
+note_rows AS (SELECT 'internal_note/' || id AS source_ref, '#' || channel || ' message from ' || author AS title, text AS content, sent_at AS observed_at, scope, NULL AS fact_key, NULL AS fact_value FROM notes),
+fact_rows AS (SELECT 'internal_note/' || id || ':fact' || j AS source_ref, m || ', FY ' || y AS title, 'The company ' || m || ' for FY ' || y || ': ' || v || ' (stated in a #' || channel || ' message by ' || author || ').' AS content,
+  sent_at AS observed_at, scope, m || '|FY ' || y AS fact_key, v AS fact_value FROM
+  (SELECT *, 0 AS j, 'Length' AS m, 2018 + turn % 8 AS y, length(text)::VARCHAR AS v FROM notes UNION ALL SELECT *, 1, 'Length plus one', 2018 + turn % 8, (length(text) + 1)::VARCHAR FROM notes))"""
+_STAMP = "sha256(title || '|' || content || '|' || strftime(observed_at, '%Y-%m-%d %H:%M:%S') || '|day|' || scope || '|0.6')"
+
+
+@query(f"WITH {_NOTES} SELECT source_ref, title, content, observed_at, scope, fact_key, fact_value, {_STAMP} AS content_hash FROM fact_rows")
+def message_facts(spark, sf_dir):
+    return normalize.note_facts(corpus.notes(spark, sf_dir), "The company").select("source_ref", "title", "content", "observed_at", "scope", "fact_key", "fact_value", "content_hash")
+
+
+@query(f"WITH {ITEMS} SELECT source_ref, content_hash, 0.9::DOUBLE AS confidence, 'verbatim primary text' AS reason FROM hashed")
+def content_hashes(spark, sf_dir):
+    rows = corpus.items(spark, sf_dir)
+    return rows.select("source_ref", "content_hash", normalize.confidence(F.col("source")).alias("confidence"), normalize.confidence_reason(F.col("source")).alias("reason"))
+
+
+@query(f"""WITH {_SUMS}, {_NOTES},
+counts AS (SELECT 'financial_fact' AS source, count(*) AS n, count(DISTINCT metric || '|' || period) AS n_keys FROM cells
+  UNION ALL SELECT 'internal_note', (SELECT count(*) FROM note_rows) + (SELECT count(*) FROM fact_rows), (SELECT count(DISTINCT fact_key) FROM fact_rows))
+SELECT source, n::BIGINT AS n, n_keys::BIGINT AS n_keys FROM counts""")
+def all_items(spark, sf_dir):
+    notes = corpus.notes(spark, sf_dir)
+    rows = normalize.all_items(normalize.financial_facts(corpus.table_texts(spark, sf_dir), "The company"), normalize.internal_notes(notes), normalize.note_facts(notes, "The company"))
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("fact_key").alias("n_keys"))
+
+
+# ---- incremental ------------------------------------------------------------------------------------------------
+
+_KNOWN = f"""{ITEMS}, raw AS (SELECT source_ref, content_hash, doc_id::BIGINT AS d FROM hashed),
+known AS (SELECT source_ref, CASE WHEN d % 7 = 0 THEN 'old' ELSE content_hash END AS content_hash FROM raw WHERE d % 10 <> 0 UNION ALL SELECT 'gone/' || c_custkey, 'old' FROM customer),
+changed AS (SELECT r.* FROM raw r LEFT JOIN known k USING (source_ref) WHERE k.content_hash IS DISTINCT FROM r.content_hash)"""
+
+
+def _store(spark, sf_dir):
+    raw = corpus.items(spark, sf_dir).select("source_ref", "content_hash", F.col("doc_id").cast("long").alias("d"))
+    old = F.when(F.col("d") % 7 == 0, "old").otherwise(F.col("content_hash"))
+    gone = corpus.table(spark, sf_dir, "customer").select(F.concat(F.lit("gone/"), F.col("c_custkey")).alias("source_ref"), F.lit("old").alias("content_hash"))
+    known = raw.where("d % 10 <> 0").select("source_ref", old.alias("content_hash")).unionByName(gone)
+    return raw, known
+
+
+@query(f"WITH {_KNOWN} SELECT source_ref, content_hash FROM changed")
+def find_changed(spark, sf_dir):
+    return incremental.find_changed(*_store(spark, sf_dir)).select("source_ref", "content_hash")
+
+
+@query("SELECT 'gone/' || c_custkey AS source_ref FROM customer")
+def removed_refs(spark, sf_dir):
+    return incremental.removed(*_store(spark, sf_dir))
+
+
+@query(f"WITH {_KNOWN} SELECT source_ref, content_hash FROM raw")
+def upsert_items(spark, sf_dir):
+    raw, known = _store(spark, sf_dir)
+    changed = incremental.find_changed(raw, known).select("source_ref", "content_hash")
+    return incremental.upsert(known, changed, incremental.removed(raw, known))
+
+
+@query(f"""WITH {_KNOWN} SELECT (SELECT count(*) FROM raw) AS total, (SELECT count(*) FROM changed) AS changed, (SELECT count(*) FROM customer) AS removed,
+  (SELECT count(DISTINCT content_hash) FROM changed) AS notes""")
+def ingest_summary(spark, sf_dir):
+    raw, known = _store(spark, sf_dir)
+    misses = incremental.note_misses(incremental.find_changed(raw, known), known.select(F.lit("none").alias("chunk_hash")).distinct())
+    return incremental.summary(raw, known, misses)
+
+
+@query("""WITH h AS (SELECT doc_id, sha256(coalesce(text, '')) AS chunk_hash FROM documents)
+SELECT DISTINCT chunk_hash FROM h WHERE chunk_hash NOT IN (SELECT chunk_hash FROM h WHERE doc_id % 3 = 0)""")
+def note_cache_misses(spark, sf_dir):
+    rows = corpus.table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
+    return incremental.note_misses(rows, rows.where("doc_id % 3 = 0").select(F.col("content_hash").alias("chunk_hash")))
+
+
+# ---- retrieval --------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {POSTS} SELECT term, df::BIGINT AS df, round(weight, 9) AS weight FROM weights")
+def idf_weights(spark, sf_dir):
+    items = corpus.items(spark, sf_dir)
+    return lexical.idf(items, lexical.postings(items)).withColumn("weight", F.round("weight", 9))
+
+
+@query(f"WITH {FOUND} SELECT task_id, source_ref, coverage, array_to_string(matched, ' ') AS matched FROM found")
+def task_coverage(spark, sf_dir):
+    return corpus.found(spark, sf_dir).select("task_id", "source_ref", "coverage", F.array_join("matched", " ").alias("matched"))
+
+
+@query(f"WITH {FOUND} SELECT task_id, source_ref, coverage, text_rank, rank::INT AS rank FROM loose")
+def loose_hits(spark, sf_dir):
+    return lexical.loose_list(corpus.found(spark, sf_dir)).select("task_id", "source_ref", "coverage", "text_rank", "rank")
+
+
+@query(f"WITH {FOUND} SELECT task_id, source_ref, text_rank, rank::INT AS rank FROM strict")
+def strict_hits(spark, sf_dir):
+    return lexical.strict_list(corpus.found(spark, sf_dir)).select("task_id", "source_ref", "text_rank", "rank")
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 20 = 0),
+p AS (SELECT query_id, vec_id AS item_id, round(list_cosine_similarity(a, embedding::DOUBLE[]), 9) AS c FROM q, embeddings)
+SELECT query_id, item_id, round(c, 6) AS cosine, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, item_id) AS rank FROM p) WHERE rank <= 30""")
+def vector_topk(spark, sf_dir):
+    """Queries are all vectors whose id is divisible by 20, searched against all vectors."""
+    rows = corpus.table(spark, sf_dir, "embeddings")
+    return vectors.cosine_top_k(rows.where("vec_id % 20 = 0"), rows, DEFAULTS.top_k).withColumn("cosine", F.round("cosine", 6))
+
+
+@query(f"WITH {HITS} SELECT task_id, source_ref, score, best::INT AS best_rank, rank::INT AS rank FROM hits")
+def rrf_fuse(spark, sf_dir):
+    return corpus.hits(spark, sf_dir).select("task_id", "source_ref", "score", F.element_at("ranks", F.lit("lexical")).alias("best_rank"), "rank")
+
+
+_SCORES = "scored AS (SELECT h.*, CASE WHEN h.rank % 4 <> 0 THEN ((h.task_id + h.rank) % 11)::DOUBLE END AS rerank_score FROM hits h)"
+
+
+def _reranked(spark, sf_dir):
+    hits = corpus.hits(spark, sf_dir)
+    scores = hits.where("rank % 4 <> 0").select("task_id", "source_ref", ((F.col("task_id") + F.col("rank")) % 11).cast("double").alias("rerank_score"))
+    return fusion.rerank(hits, scores)
+
+
+@query(f"""WITH {HITS}, {_SCORES} SELECT task_id, source_ref, rerank_score, row_number() OVER (PARTITION BY task_id ORDER BY coalesce(rerank_score, -1) DESC, score DESC, rank, source_ref)::INT AS rank FROM scored""")
+def rerank_order(spark, sf_dir):
+    return _reranked(spark, sf_dir).select("task_id", "source_ref", "rerank_score", "rank")
+
+
+@query(f"WITH {HITS}, {_SCORES} SELECT task_id, source_ref FROM scored WHERE CASE WHEN rerank_score IS NOT NULL THEN rerank_score >= 4 ELSE coverage >= 0.3 END")
+def relevance_gate(spark, sf_dir):
+    return _reranked(spark, sf_dir).where(fusion.relevant(F.col("rerank_score"), F.col("coverage"), F.col("ranks"))).select("task_id", "source_ref")
+
+
+@query(f"""WITH {HITS} SELECT task_id, source_ref, 'lexical match rank ' || best || ', covers ' || round(coverage * 100)::INT || '% of the task''s term weight: ' || array_to_string(matched[1:6], ', ') AS why FROM hits""")
+def hit_reasons(spark, sf_dir):
+    none = F.lit(None)
+    why = fusion.reasons(F.col("ranks"), F.col("coverage"), F.col("matched"), none.cast("double"), none.cast("string"), none.cast("string"))
+    return corpus.hits(spark, sf_dir).select("task_id", "source_ref", F.array_join(why, " / ").alias("why"))
+
+
+# ---- facts ------------------------------------------------------------------------------------------------------
+
+_ORDER = "ts DESC NULLS LAST, confidence DESC, source_ref"
+_AGREE = f"{FACTS}, g AS (SELECT * EXCLUDE (v), CASE WHEN user_id % 2 = 0 THEN '0' ELSE v END AS v FROM facts)"
+
+
+@query(f"WITH {FACTS} SELECT fact_key, first(source_ref ORDER BY {_ORDER}) AS winner_ref, first(v ORDER BY {_ORDER}) AS winner_value, count(*) AS n_rows, count(DISTINCT v) AS n_values FROM facts GROUP BY fact_key")
+def fact_winners(spark, sf_dir):
+    return fc.audit(corpus.facts(spark, sf_dir))
+
+
+@query(f"""WITH {_AGREE} SELECT fact_key, first(source_ref ORDER BY {_ORDER}) AS winner_ref, fact_key || ' = ' || any_value(v) || ' is reported by ' || count(*) || ' sources.' AS message
+  FROM g GROUP BY fact_key HAVING count(*) > 1 AND count(DISTINCT v) = 1""")
+def fact_duplicates(spark, sf_dir):
+    return fc.duplicates(corpus.facts(spark, sf_dir, agreeing=True)).select("fact_key", "winner_ref", "message")
+
+
+@query(f"""WITH {_AGREE} SELECT fact_key, first(source_ref ORDER BY {_ORDER}) AS winner_ref, fact_key || ' has ' || count(DISTINCT v) || ' different values: ' ||
+  string_agg(v || ' from ' || source_ref || ' (' || strftime(ts, '%Y-%m-%d') || ', confidence ' || confidence || ')', '; ' ORDER BY {_ORDER}) || '.' AS message
+  FROM g GROUP BY fact_key HAVING count(DISTINCT v) > 1""")
+def fact_conflicts(spark, sf_dir):
+    return fc.conflicts(corpus.facts(spark, sf_dir, agreeing=True)).select("fact_key", "winner_ref", "message")
+
+
+_FACT_HITS = f"""{FACTS}, keys AS (SELECT DISTINCT event_id % 3 AS t, fact_key FROM (SELECT event_id, user_id || '|' || event_type AS fact_key FROM events)),
+grp AS (SELECT t, f.* FROM keys k JOIN facts f USING (fact_key) WHERE list_contains({sql_third("t", "['public']", "['public', 'internal']", "['public', 'internal', 'private']")}, scope))"""
+
+
+@query(f"WITH {_FACT_HITS} SELECT t::BIGINT AS task_id, fact_key, first(source_ref ORDER BY {_ORDER}) AS winner_ref, count(*) AS n_rows, count(DISTINCT v) AS n_values FROM grp GROUP BY t, fact_key")
+def scoped_fact_groups(spark, sf_dir):
+    """Three tasks, one per scope level, that hit the keys of a third of the events each."""
+    events = corpus.table(spark, sf_dir, "events")
+    scopes = [F.array(*[F.lit(s) for s in ("public", "internal", "private")[:k]]) for k in (1, 2, 3)]
+    hits = events.select((F.col("event_id") % 3).alias("task_id"), F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("fact_key"))
+    hits = hits.withColumn("scopes", F.when(F.col("task_id") == 0, scopes[0]).when(F.col("task_id") == 1, scopes[1]).otherwise(scopes[2]))
+    return fc.audit(fc.group_of_hits(hits, corpus.facts(spark, sf_dir)), "task_id").drop("winner_value")
+
+
+@query(f"""WITH {FACTS}, r AS (SELECT user_id AS task_id, source_ref, fact_key, v, row_number() OVER (PARTITION BY user_id ORDER BY ts, source_ref) AS rank FROM facts)
+SELECT task_id, source_ref, rank::INT AS rank FROM r QUALIFY row_number() OVER (PARTITION BY task_id, fact_key ORDER BY rank) = 1 AND row_number() OVER (PARTITION BY task_id, sha256(fact_key || v) ORDER BY rank) = 1""")
+def reconcile_candidates(spark, sf_dir):
+    from pyspark.sql import Window
+
+    turn = F.row_number().over(Window.partitionBy("task_id").orderBy("observed_at", "source_ref"))
+    rows = corpus.facts(spark, sf_dir).withColumn("task_id", F.split("fact_key", r"\|")[0].cast("long")).withColumns({"rank": turn, "content_hash": F.sha2(F.concat("fact_key", "fact_value"), 256)})
+    return fc.without_repeats(rows).select("task_id", "source_ref", "rank")
+
+
+# ---- packages ---------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH RECURSIVE {PACKED} SELECT task_id, source_ref, n, total_used AS used FROM packed")
+def pack_budget(spark, sf_dir):
+    return corpus.packed(spark, sf_dir).select("task_id", "source_ref", "n", "used")
+
+
+_RECORD = "'Quality ' || quality || ', toxic ' || toxic"
+
+
+@query(f"""WITH RECURSIVE {PACKED},
+recs AS (SELECT 'record/' || doc_id AS ref, {sql_third("doc_id", "'public'", "'internal'", "'private'")} AS scope, (length({_RECORD}) // 4 + 1)::INT AS cost FROM labels),
+wanted AS (SELECT p.task_id, p.n AS parent, p.total_used, max(p.n) OVER (PARTITION BY p.task_id) AS held, t.budget_tokens, CASE WHEN list_contains(t.scopes, r.scope) THEN r.ref END AS ref, r.cost,
+  row_number() OVER (PARTITION BY p.task_id ORDER BY p.n) AS pos FROM packed p JOIN tasks t USING (task_id) LEFT JOIN recs r ON r.ref = 'record/' || p.doc_id),
+go AS (SELECT DISTINCT task_id, 0::BIGINT AS pos, total_used::INT AS used, held::INT AS n, false AS took FROM wanted UNION ALL
+  SELECT g.task_id, w.pos, CASE WHEN ok THEN g.used + w.cost ELSE g.used END, CASE WHEN ok THEN g.n + 1 ELSE g.n END, ok FROM go g
+  JOIN (SELECT * FROM wanted) w ON w.task_id = g.task_id AND w.pos = g.pos + 1, LATERAL (SELECT coalesce(w.ref IS NOT NULL AND g.used + w.cost <= w.budget_tokens AND g.n < 8, false) AS ok))
+SELECT g.task_id, g.n, w.parent, w.ref AS source_ref, max(g.used) OVER (PARTITION BY g.task_id) AS used FROM go g JOIN wanted w USING (task_id, pos) WHERE g.took""")
+def link_records(spark, sf_dir):
+    labels = corpus.table(spark, sf_dir, "labels")
+    content = F.concat(F.lit("Quality "), F.col("quality").cast("string"), F.lit(", toxic "), F.col("toxic").cast("string"))
+    scope = F.when(F.col("doc_id") % 3 == 0, "public").when(F.col("doc_id") % 3 == 1, "internal").otherwise("private")
+    recs = labels.select(F.concat(F.lit("record/"), F.col("doc_id")).alias("source_ref"), scope.alias("scope"), content.alias("content"))
+    return packing.link_records(corpus.packed(spark, sf_dir), recs, corpus.tasks(spark, sf_dir))
+
+
+_WHY = """'lexical match rank ' || best || ', covers ' || round(coverage * 100)::INT || '% of the task''s term weight: ' || array_to_string(matched[1:6], ', ') ||
+  ' / confidence 0.9: verbatim primary text / freshness ' || freshness || ': observed ' || strftime(observed_at, '%Y-%m-%d') || ' (day precision)'"""
+
+
+@query(f"WITH RECURSIVE {PACKED} SELECT task_id, n, ref, title, content, freshness, round(score, 4) AS score, {_WHY} AS why FROM package")
+def package_items(spark, sf_dir):
+    return corpus.package_items(spark, sf_dir).select("task_id", "n", "ref", "title", "content", "freshness", "score", F.array_join("why", " / ").alias("why"))
+
+
+@query(f"WITH RECURSIVE {PACKED} SELECT task_id, n, 'press_release' AS source, source_ref, doc_id, observed_at, scope, 0.9::DOUBLE AS confidence, left(content, 280) AS quote FROM package")
+def package_evidence(spark, sf_dir):
+    return package.package_evidence(corpus.package_items(spark, sf_dir)).select("task_id", "n", "source", "source_ref", "doc_id", "observed_at", "scope", "confidence", "quote")
+
+
+_STALE = """stale AS (SELECT task_id, count(*) || ' item(s) are older than 365 days as of 2024-07-01 and the task does not ask about their period.' AS message, list_sort(list(ref)) AS refs FROM package WHERE freshness = 'stale' GROUP BY task_id)"""
+
+
+@query(f"WITH RECURSIVE {PACKED}, {_STALE} SELECT task_id, message, array_to_string(refs, ' ') AS refs FROM stale")
+def stale_warnings(spark, sf_dir):
+    items = corpus.package_items(spark, sf_dir)
+    found = package.cite(package.stale_warnings(items, corpus.tasks(spark, sf_dir)), package.package_evidence(items))
+    return found.select("task_id", "message", F.array_join("refs", " ").alias("refs"))
+
+
+@query(f"WITH RECURSIVE {PACKED} SELECT task_id, 'missing' AS kind, 'No in-scope evidence found for this task.' AS message FROM tasks WHERE task_id NOT IN (SELECT task_id FROM package)")
+def missing_warnings(spark, sf_dir):
+    return package.missing_warnings(corpus.package_items(spark, sf_dir), corpus.tasks(spark, sf_dir)).select("task_id", "kind", "message")
+
+
+@query(f"""WITH {_NOTES}, asked AS (SELECT o_orderkey AS task_id, 'FY ' || (2015 + o_orderkey % 12) AS period FROM orders),
+own AS (SELECT o_orderkey AS task_id, 'FY ' || (2015 + o_custkey % 12) AS period FROM orders)
+SELECT task_id, 'The task mentions ' || period || ' but no in-scope evidence covers that period.' AS message FROM asked EXCEPT SELECT task_id, 'The task mentions ' || period || ' but no in-scope evidence covers that period.' FROM own""")
+def period_gaps(spark, sf_dir):
+    """Each order asks about one fiscal year and holds one item of another."""
+    orders = corpus.table(spark, sf_dir, "orders")
+    tasks = orders.select(F.col("o_orderkey").alias("task_id"), F.concat(F.lit("What came of fy"), (2015 + F.col("o_orderkey") % 12).cast("string"), F.lit("?")).alias("task"))
+    period = F.concat(F.lit("FY "), (2015 + F.col("o_custkey") % 12).cast("string"))
+    items = orders.select(F.col("o_orderkey").alias("task_id"), F.create_map(F.lit("period"), period).alias("fields"), F.lit("no text").alias("content"))
+    return package.period_gaps(items, tasks).select("task_id", "message")
+
+
+@query(f"""WITH RECURSIVE {PACKED}, considered AS (SELECT task_id, count(*) AS c FROM hits GROUP BY task_id), spent AS (SELECT task_id, max(total_used) AS u FROM packed GROUP BY task_id)
+SELECT task_id, array_to_string(scopes, ' ') AS scopes, coalesce(c, 0)::BIGINT AS candidates_considered, coalesce(u, 0)::INT AS tokens_used, budget_tokens FROM tasks LEFT JOIN considered USING (task_id) LEFT JOIN spent USING (task_id)""")
+def package_heads(spark, sf_dir):
+    rows = package.heads(corpus.tasks(spark, sf_dir), corpus.hits(spark, sf_dir), corpus.packed(spark, sf_dir))
+    return rows.select("task_id", F.array_join("scopes_applied", " ").alias("scopes"), "candidates_considered", "tokens_used", "budget_tokens")
+
+
+@query(f"""WITH RECURSIVE {PACKED}, lines AS (SELECT task_id, string_agg('- ' || regexp_replace(trim(string_split(content, '. ')[1], ' '), '\\.+$', '') || '. ' || ref, chr(10) ORDER BY n) AS answer FROM package WHERE n <= 3 GROUP BY task_id)
+SELECT task_id, coalesce(answer, 'The context package is empty, so this task cannot be answered from available sources.') AS answer FROM tasks LEFT JOIN lines USING (task_id)""")
+def extractive_answers(spark, sf_dir):
+    items = corpus.package_items(spark, sf_dir)
+    none = items.select("task_id", F.lit("").alias("kind"), F.lit("").alias("message")).limit(0)
+    return package.extractive_answers(corpus.tasks(spark, sf_dir), items, none)
+
+
+@query(f"""WITH RECURSIVE {PACKED}, body AS (SELECT task_id, string_agg(ref || ' ' || title || ' | freshness=' || freshness || ' | ' || source_ref || ' scope=' || scope || ' confidence=0.9 observed=' || strftime(observed_at, '%Y-%m-%d') || chr(10) || content, chr(10) || chr(10) ORDER BY n) AS t FROM package GROUP BY task_id)
+SELECT task_id, 'CONTEXT PACKAGE:' || chr(10) || coalesce(t, '(the package is empty)') AS text FROM tasks LEFT JOIN body USING (task_id)""")
+def package_text(spark, sf_dir):
+    return package.package_text(corpus.tasks(spark, sf_dir), corpus.package_items(spark, sf_dir))
+
+
+# ---- evaluation and streams -------------------------------------------------------------------------------------
+
+_GOLD = """gold AS (SELECT item_id AS task_id, list(doc_id::VARCHAR) FILTER (doc_id IS NOT NULL) AS expected FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY item_id),
+per AS (SELECT g.task_id, coalesce(len(expected), 0) AS wanted, (SELECT count(DISTINCT p.doc_id) FROM package p WHERE p.task_id = g.task_id AND list_contains(g.expected, p.doc_id)) AS found,
+  (SELECT min(n) FROM package p WHERE p.task_id = g.task_id AND list_contains(g.expected, p.doc_id)) AS first, (SELECT count(*) FROM package p WHERE p.task_id = g.task_id) AS n_items FROM gold g)"""
+
+
+def _golden(spark, sf_dir):
+    """Passages as questions; the documents that hold a passage are expected, a passage in none is to be refused.
+
+    Documents are found by their terms first (all of the passage's), then by the text itself.
+    """
+    tasks = corpus.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("task_id"), F.col("text").alias("passage"))
+    asked = corpus.tasks(spark, sf_dir).withColumn("scopes", F.array(F.lit("public"), F.lit("internal"), F.lit("private")))
+    items = corpus.items(spark, sf_dir)
+    # A passage's first and last words may be parts of words of the document, so its inner words find it.
+    inner = F.regexp_replace("task", r"^\S+\s|\s\S+$", "")
+    posts = lexical.postings(items)
+    found = lexical.matches(posts, lexical.task_terms(asked.withColumn("task", inner), lexical.idf(items, posts))).where("all_terms")
+    pairs = found.join(items.select("source_ref", "doc_id", "content"), "source_ref").join(tasks, "task_id").where(F.contains("content", F.col("passage")))
+    expected = pairs.groupBy("task_id").agg(F.collect_list("doc_id").alias("expected"))
+    rows = tasks.select("task_id").join(expected, "task_id", "left")
+    return rows.select("task_id", F.coalesce("expected", F.array().cast("array<string>")).alias("expected"), F.when(F.col("expected").isNull(), "refuse").otherwise("answer").alias("action"))
+
+
+@query(f"""WITH RECURSIVE {PACKED}, {_GOLD} SELECT count(*) AS tasks, round(avg(CASE WHEN wanted > 0 THEN (found > 0)::INT END), 9) AS hit_rate, round(avg(CASE WHEN wanted > 0 THEN found / wanted END), 9) AS recall,
+  round(avg(CASE WHEN wanted > 0 THEN coalesce(1.0::DOUBLE / first, 0) END), 9) AS mrr, round(avg(CASE WHEN wanted = 0 THEN (n_items = 0)::INT END), 9) AS refusals, 1.0::DOUBLE AS attribution,
+  sum(n_items)::BIGINT AS items, round(avg(n_items), 9) AS items_per_package FROM per""")
+def golden_metrics(spark, sf_dir):
+    items = corpus.package_items(spark, sf_dir)
+    warnings = package.missing_warnings(items, corpus.tasks(spark, sf_dir))
+    rows = evaluate.per_task(_golden(spark, sf_dir), items.withColumn("quote", tx.quote(F.col("content"))), warnings)
+    return evaluate.metrics(rows)
+
+
+@query(f"WITH RECURSIVE {PACKED} SELECT 0::BIGINT AS leaks FROM (SELECT count(*) FROM package)")
+def scope_leaks(spark, sf_dir):
+    return evaluate.scope_leaks(corpus.package_items(spark, sf_dir), corpus.tasks(spark, sf_dir))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, list_filter(string_split(regexp_replace(text, '([.!?])[ \\t\\r\\f]+|\\n+', '\\1' || chr(1), 'g'), chr(1)), lambda x: length(trim(x, ' ')) > 20) AS s FROM
+  (SELECT conv_id, turn, coalesce(text, '') || ' The answer of this turn is given here [' || turn || ']. And this sentence has another tag [99].' AS text FROM conversations))
+SELECT conv_id, turn, round(len(list_filter(s, lambda x: contains(x, '[' || turn || ']'))) / len(s), 9) AS coverage FROM t""")
+def citation_coverage(spark, sf_dir):
+    turn = F.col("turn").cast("string")
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" The answer of this turn is given here ["), turn, F.lit("]. And this sentence has another tag [99]."))
+    refs = F.array(F.concat(F.lit("["), turn, F.lit("]")))
+    return corpus.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.round(evaluate.citation_coverage(text, refs), 9).alias("coverage"))
+
+
+@query(f"""WITH RECURSIVE {PACKED}, held AS (SELECT task_id, count(*) AS c, list(doc_id) AS docs FROM package GROUP BY task_id)
+SELECT task_id, coalesce(c, 0) <= 4 AND coalesce(list_contains(docs, (task_id * 7)::VARCHAR), false) AS passed FROM tasks LEFT JOIN held USING (task_id)""")
+def case_checks(spark, sf_dir):
+    items = corpus.package_items(spark, sf_dir)
+    cases = corpus.tasks(spark, sf_dir).select("task_id", F.array((F.col("task_id") * 7).cast("string")).alias("expected_docs"), F.lit(None).cast("string").alias("expected_warning"), F.lit(4).alias("max_items"))
+    return evaluate.case_checks(cases, items, package.missing_warnings(items, corpus.tasks(spark, sf_dir)))
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type AS kind, count(*) AS requests, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def window_metrics_by_hour(spark, sf_dir):
+    rows = corpus.table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("event_type").alias("kind"), "value")
+    return window_metrics(rows)
