@@ -152,4 +152,5 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
     named = written(taken.select(F.col("doc_id").alias("mixed_id"), copies.alias("copies")).where("copies > 0"), "mix-copies").hint("merge")
     rows = docs.join(named, docs["doc_id"].eqNullSafe(named["mixed_id"]))
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[docs[c] for c in docs.columns])
+    each = F.explode(F.sequence(F.lit(1), named["copies"])).alias("copy of the mix")
+    return rows.select(*[docs[c] for c in docs.columns], each).drop("copy of the mix")
