@@ -3,6 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evipack.functions.text import let
 from evipack.schema import DEFAULTS
 
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
@@ -25,11 +26,15 @@ def _parsed(text: Column, layout: str) -> Column:
 
 def commonest(values: Column) -> Column:
     """The value that occurs most often; of equals, the one seen first."""
-    counted = F.transform(
-        F.array_distinct(values),
-        lambda y: F.struct(F.size(F.filter(values, lambda z: z == y)).alias("n"), (-F.array_position(values, y)).alias("at"), y.alias("value")),
-    )
-    return F.array_max(counted).getField("value")
+
+    def best(own: Column) -> Column:
+        counted = F.transform(
+            F.array_distinct(own),
+            lambda y: F.struct(F.size(F.filter(own, lambda z: z == y)).alias("n"), (-F.array_position(own, y)).alias("at"), y.alias("value")),
+        )
+        return F.array_max(counted).getField("value")
+
+    return let(values, best)
 
 
 def find_date(text: Column) -> Column:

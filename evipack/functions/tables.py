@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evipack.functions.text import lines
+from evipack.functions.text import let, lines
 
 # What a line of such a table looks like.
 NUMERIC = r"^-?[\d,]+\.?\d*\s*[%€$]?$|^-?\d+\.\d+p?$|^n\.a\.$"
@@ -19,12 +19,15 @@ MIN_LINES, MIN_NUMERIC = 20, 0.2
 
 
 def has_table(text: Column) -> Column:
-    own = lines(text)
-    numeric = F.size(F.filter(own, lambda x: x.rlike(NUMERIC))) / F.size(own)
     unit = F.lit(False)
     for marker in UNITS:
         unit = unit | F.lower(text).contains(marker)
-    return F.when(F.size(own) >= MIN_LINES, (numeric >= MIN_NUMERIC) & unit).otherwise(False)
+
+    def numeric(own: Column) -> Column:
+        share = F.size(F.filter(own, lambda x: x.rlike(NUMERIC))) / F.size(own)
+        return F.when(F.size(own) >= MIN_LINES, share >= MIN_NUMERIC).otherwise(False)
+
+    return F.when(unit, let(lines(text), numeric)).otherwise(False)
 
 
 def _from(own: Column, head) -> Column:
@@ -116,14 +119,14 @@ def parse_columns(text: Column) -> Column:
 def facts(text: Column) -> Column:
     """array of struct(metric, period, value): value i belongs to column i; change columns are left out, and of a metric
     and period that come again, the first counts."""
-    rows, cols = parse_rows(text), parse_columns(text)
-    each = F.flatten(
-        F.transform(rows, lambda r: F.transform(cols, lambda c, i: F.struct(r.metric.alias("metric"), c.alias("period"), F.get(r["values"], i).alias("value"))))
-    )
-    kept = F.filter(each, lambda x: x.value.isNotNull() & ~x.period.startswith("Change"))
-    # Keys in order of first appearance; each takes the first of its values.
-    keys = F.array_distinct(F.transform(kept, lambda x: F.struct(x.metric.alias("metric"), x.period.alias("period"))))
-    return F.transform(
-        keys,
-        lambda k: F.struct(k.metric.alias("metric"), k.period.alias("period"), F.filter(kept, lambda x: (x.metric == k.metric) & (x.period == k.period))[0].value.alias("value")),
-    )
+
+    def cells(t: Column) -> Column:
+        return F.flatten(F.transform(t.found, lambda r: F.transform(t.cols, lambda c, i: F.struct(r.metric.alias("metric"), c.alias("period"), F.get(r["values"], i).alias("value")))))
+
+    def firsts(kept: Column) -> Column:
+        # Keys in order of first appearance; each takes the first of its values.
+        keys = F.transform(kept, lambda x: F.struct(x.metric.alias("metric"), x.period.alias("period")))
+        return let(keys, lambda k: F.filter(kept, lambda x, i: F.array_position(k, F.get(k, i)) == i + 1))
+
+    each = let(F.struct(parse_rows(text).alias("found"), parse_columns(text).alias("cols")), cells)
+    return let(F.filter(each, lambda x: x.value.isNotNull() & ~x.period.startswith("Change")), firsts)

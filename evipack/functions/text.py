@@ -18,6 +18,11 @@ ALIASES = {"full-year": "fy", "fiscal": "fy"}
 TERM = r"[\p{L}\p{N}_][\p{L}\p{N}_.\-]*"
 
 
+def let(value: Column, use) -> Column:
+    """`use` of a value that is computed once, however often it is mentioned in lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
 def stripped(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
