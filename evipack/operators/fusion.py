@@ -29,18 +29,18 @@ def chosen_channels(requested: Column, available: list[str]) -> Column:
     return F.when(F.size(F.coalesce(requested, F.array().cast("array<string>"))) > 0, F.array_intersect(requested, have)).otherwise(default)
 
 
-def fuse(lists: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+def fuse(lists: DataFrame, s: Settings = DEFAULTS, carry: tuple[str, ...] = ()) -> DataFrame:
     """(task_id, source_ref, score, ranks, rank) from rows (task_id, source_ref, channel, list_no, rank).
 
     Every list adds 1 / (60 + rank), two lists of one channel too; ranks keeps the best rank by channel. Ties go to the
-    first list and rank, then by key. Only the best k of a task stay.
+    first list and rank, then by key. Only the best k of a task stay. Columns in `carry`, alike in all lists, come along.
     """
     each = lists.withColumn("gain", 1.0 / (s.rrf_k + F.col("rank")))
     parts = each.groupBy("task_id", "source_ref").agg(
-        F.array_sort(F.collect_list(F.struct("list_no", "rank", "channel", "gain"))).alias("own")
+        F.array_sort(F.collect_list(F.struct("list_no", "rank", "channel", "gain"))).alias("own"), *[F.first(c).alias(c) for c in carry]
     )
     score = F.round(F.aggregate("own", F.lit(0.0), lambda a, x: a + x.gain), 12)
-    scored = parts.select("task_id", "source_ref", score.alias("score"), "own")
+    scored = parts.select("task_id", "source_ref", score.alias("score"), "own", *carry)
     channels = F.array_distinct(F.transform("own", lambda x: x.channel))
     best = F.map_from_arrays(channels, F.transform(channels, lambda c: F.array_min(F.transform(F.filter("own", lambda x: x.channel == c), lambda x: x["rank"]))))
     turn = F.row_number().over(Window.partitionBy("task_id").orderBy(F.col("score").desc(), F.col("own")[0].list_no, F.col("own")[0]["rank"], "source_ref"))

@@ -58,9 +58,8 @@ def hits(spark, sf_dir) -> DataFrame:
     both = lists[0][1].select("task_id", "source_ref", F.lit("lexical").alias("channel"), F.lit(0).alias("list_no"), "rank", "coverage", "matched").unionByName(
         lists[1][1].select("task_id", "source_ref", F.lit("lexical").alias("channel"), F.lit(1).alias("list_no"), "rank", "coverage", "matched")
     )
-    fused = fusion.fuse(both)
-    told = both.groupBy("task_id", "source_ref").agg(F.first("coverage").alias("coverage"), F.first("matched").alias("matched"))
-    return fused.join(told, ["task_id", "source_ref"]).join(items(spark, sf_dir), "source_ref")
+    fused = fusion.fuse(both, carry=("coverage", "matched"))
+    return fused.join(items(spark, sf_dir), "source_ref")
 
 
 def candidates(spark, sf_dir) -> DataFrame:
