@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from evipack.llm.scratch import written
 
 WEIGHTS, TOTAL, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
-#: Words that a shard holds on average.
-SHARD_WORDS = 1 << 19
+#: Words that a shard holds on average, and rows, where many have few words or none.
+SHARD_WORDS, SHARD_ROWS = 1 << 19, 1 << 17
 WORD = r"[^\x20\x09-\x0D]+"
 #: Draws with a standard deviation above this use the normal limit; below, the exact distribution is inverted.
 EXACT_SD = 50.0
@@ -28,7 +28,7 @@ def uniform(*parts) -> Column:
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: float = CAP) -> DataFrame:
-    """`sizes` (source, source_size) plus `target`: `total` times all sizes, shared by the weights of the sources in
+    """`sizes` (source, source_size; other columns come along) plus `target`: `total` times all sizes, shared by the weights of the sources in
     code-point order (null last, the weights repeating); a target stops at `cap` times its source's size and the
     excess goes to the others by weight. One row per source goes through these windows."""
     order = Window.orderBy(F.col("source").isNull(), F.col("source"))
@@ -43,7 +43,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: float
     # The first source, by how soon it fills, whose level does not reach its ceiling sets the level for all behind it.
     settled = leveled.withColumn("settled", F.min(F.when(F.col("level") <= F.col("reach"), F.struct(F.col("reach"), F.col("level")))).over(everything))
     return settled.select(
-        "source", "source_size",
+        *sizes.columns,
         F.when(F.col("settled").isNull() | (F.col("reach") < F.col("settled.reach")), ceiling).otherwise(F.least(ceiling, F.col("weight") * F.col("settled.level"))).alias("target"),
     )
 
@@ -96,7 +96,7 @@ def _split(quotas: DataFrame, held: DataFrame, level: int, seed: int) -> DataFra
     return rows.select("source", (F.col("node") * 2 + F.col("child")).alias("node"), "quota").where("quota > 0")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: float = CAP, seed: int = 42, shard_words: int = SHARD_WORDS) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: float = CAP, seed: int = 42, shard_words: int = SHARD_WORDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per row of `docs` (doc_id, text, source; other columns are ignored): doc_id, size, source_size, target,
     taken, shard.
 
@@ -107,15 +107,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: float = CAP
     """
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
     rows = written(docs.select(F.col("doc_id").cast("long"), "source", size.alias("size")), "mix-sizes")
-    return _taken(rows, weights, total, cap, seed, shard_words)
+    return _taken(rows, weights, total, cap, seed, shard_words, shard_rows)
 
 
-def _taken(rows: DataFrame, weights, total, cap, seed, shard_words) -> DataFrame:
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+def _taken(rows: DataFrame, weights, total, cap, seed, shard_words, shard_rows) -> DataFrame:
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     goal = targets(sizes, weights, total, cap).withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     rest = F.round(F.col("target")).cast("long") - F.col("passes") * F.col("source_size")
     goal = goal.withColumn("rest", F.greatest(F.lit(0).cast("long"), rest))
-    goal = written(goal.withColumn("fan", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long")), "mix-targets")
+    fan = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("n_rows") / shard_rows)).cast("long")
+    goal = written(goal.withColumn("fan", fan).drop("n_rows"), "mix-targets")
     depth = 0
     most = goal.agg(F.max("fan")).first()[0] or 1  # one number: how many shards the largest source needs
     while 2**depth < most:
