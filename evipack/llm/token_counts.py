@@ -46,7 +46,7 @@ def _counter(model_path: str, batch_bytes: int, piece_chars: int):
                 for piece in safe_pieces(text.as_py(), piece_chars):
                     pieces.append(piece)
                     owners.append(row)
-                    held += len(piece)
+                    held += len(piece.encode("utf-8"))
                     if held >= batch_bytes:
                         flush()
                         held = 0
