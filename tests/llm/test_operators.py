@@ -161,6 +161,13 @@ def test_quality_without_labels_uses_the_base_rules(docs, labels):
     assert all(r.kept != r.base_failed for r in found)
 
 
+def test_quality_fits_repeated_rows_once(spark, docs, labels):
+    stats = quality.rule_statistics(docs).where("doc_id < 25")
+    once, twice = (quality.fit(rows, quality.chosen_labels(labels)) for rows in (stats, stats.unionByName(stats)))
+    assert once[1] == twice[1] and all(np.array_equal(a, b) for s, t in zip(once[0].trees, twice[0].trees, strict=True) for a, b in zip(s, t, strict=True))
+    assert quality.chosen_labels(labels, 4).count() == 4
+
+
 def test_forest_on_held_out_rows():
     draw = np.random.default_rng(0)
     good = np.column_stack([np.zeros(2000), np.zeros(2000), draw.beta(2, 80, 2000)])
@@ -275,6 +282,14 @@ def test_mixing_draws_are_hypergeometric(spark):
     assert abs(drawn.mean() - 7.5) < 0.15 and abs(drawn.var() - 20 * (30 / 80) * (50 / 80) * (60 / 79)) < 0.4
 
 
+def test_mixing_spreads_rows_without_words(spark):
+    rows = [(k, "" if k % 50 else "five words are in here", "s") for k in range(1000)]
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), shard_rows=100).collect()
+    shards = collections.Counter(r.shard for r in found)
+    assert len(shards) == 10 and max(shards.values()) < 200
+    assert sum(r.taken for r in found) == 150 and all(r.taken <= 2 * r["size"] for r in found)
+
+
 def test_mixed_documents(docs):
     taken = {r.doc_id: (r.taken, r["size"]) for r in mixing.mix(docs).collect() if r.doc_id != 307}
     found = collections.Counter(r.doc_id for r in mixing.mixed_documents(docs).collect() if r.doc_id != 307)
