@@ -1,5 +1,8 @@
 """The driver's tables as the library's inputs: items, tasks, facts, messages and records."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,34 +54,55 @@ def found(spark, sf_dir) -> DataFrame:
     return lexical.matches(posts, lexical.task_terms(tasks(spark, sf_dir), lexical.idf(items(spark, sf_dir), posts)))
 
 
-def hits(spark, sf_dir) -> DataFrame:
-    """Fused lexical hits with coverage, matched terms and the items' columns."""
+def lists(spark, sf_dir) -> DataFrame:
+    """The loose list (0) and the strict one (1) of every task."""
     matched = found(spark, sf_dir)
-    lists = [(0, lexical.loose_list(matched)), (1, lexical.strict_list(matched))]
-    both = lists[0][1].select("task_id", "source_ref", F.lit("lexical").alias("channel"), F.lit(0).alias("list_no"), "rank", "coverage", "matched").unionByName(
-        lists[1][1].select("task_id", "source_ref", F.lit("lexical").alias("channel"), F.lit(1).alias("list_no"), "rank", "coverage", "matched")
+    loose, strict = (
+        rows.select("task_id", "source_ref", F.lit("lexical").alias("channel"), F.lit(k).alias("list_no"), "rank", "coverage", "matched")
+        for k, rows in enumerate((lexical.loose_list(matched), lexical.strict_list(matched)))
     )
-    fused = fusion.fuse(both, carry=("coverage", "matched"))
+    return loose.unionByName(strict)
+
+
+#: Configurations to compare: a name and the lists that are fused.
+CONFIGURATIONS = (("loose", (0,)), ("strict", (1,)), ("both", (0, 1)))
+
+
+def configured(rows: DataFrame) -> DataFrame:
+    """Each row once per configuration (its number in `config`), with a task id of its own for each."""
+    n = len(CONFIGURATIONS)
+    each = rows.withColumn("config", F.explode(F.array(*[F.lit(k) for k in range(n)])))
+    return each.withColumn("task_id", F.col("task_id") * n + F.col("config"))
+
+
+def configured_lists(spark, sf_dir) -> DataFrame:
+    chosen = [(F.col("config") == k) & F.col("list_no").isin(*own) for k, (_, own) in enumerate(CONFIGURATIONS)]
+    return configured(lists(spark, sf_dir)).where(reduce(or_, chosen)).drop("config")
+
+
+def hits(spark, sf_dir, ranked: DataFrame | None = None) -> DataFrame:
+    """Fused lexical hits with coverage, matched terms and the items' columns; `ranked` stands for all lists."""
+    fused = fusion.fuse(lists(spark, sf_dir) if ranked is None else ranked, carry=("coverage", "matched"))
     return fused.join(items(spark, sf_dir), "source_ref")
 
 
-def candidates(spark, sf_dir) -> DataFrame:
-    kept = hits(spark, sf_dir).where(fusion.relevant(F.lit(None).cast("double"), F.col("coverage"), F.col("ranks")))
+def candidates(spark, sf_dir, ranked: DataFrame | None = None) -> DataFrame:
+    kept = hits(spark, sf_dir, ranked).where(fusion.relevant(F.lit(None).cast("double"), F.col("coverage"), F.col("ranks")))
     rows = kept.withColumns({"fact_key": F.lit(None).cast("string"), "fields": F.lit(None).cast("map<string,string>")})
     return fc.without_repeats(rows)
 
 
-def packed(spark, sf_dir) -> DataFrame:
-    """Chosen items with n, used and all columns."""
-    cands = candidates(spark, sf_dir)
-    taken = packing.pack(cands, tasks(spark, sf_dir))
+def packed(spark, sf_dir, ranked: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """Chosen items with n, used and all columns; `ranked` and `asked` stand for all lists and tasks."""
+    cands = candidates(spark, sf_dir, ranked)
+    taken = packing.pack(cands, tasks(spark, sf_dir) if asked is None else asked)
     return cands.join(taken, ["task_id", "rank"])
 
 
-def package_items(spark, sf_dir) -> DataFrame:
+def package_items(spark, sf_dir, ranked: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
     none = F.lit(None)
     why = fusion.reasons(F.col("ranks"), F.col("coverage"), F.col("matched"), none.cast("double"), none.cast("string"), none.cast("string"))
-    return package.package_items(packed(spark, sf_dir).withColumn("why", why), tasks(spark, sf_dir))
+    return package.package_items(packed(spark, sf_dir, ranked, asked).withColumn("why", why), tasks(spark, sf_dir) if asked is None else asked)
 
 
 def facts(spark, sf_dir, agreeing: bool = False) -> DataFrame:

@@ -61,27 +61,59 @@ found AS (SELECT task_id, source_ref, round(CASE WHEN any_value(total) > 0 THEN
 loose AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY coverage DESC, text_rank DESC, source_ref) AS rank FROM
   (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY text_rank DESC, source_ref) <= 150)) WHERE rank <= 30),
 strict AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY text_rank DESC, source_ref) AS rank FROM found WHERE all_terms) WHERE rank <= 30)"""
-HITS = f"""{FOUND},
-lists AS (SELECT 0 AS list_no, task_id, source_ref, rank, coverage, matched FROM loose UNION ALL SELECT 1, task_id, source_ref, rank, coverage, matched FROM strict),
+LISTS = "SELECT 0 AS list_no, task_id, source_ref, rank, coverage, matched FROM loose UNION ALL SELECT 1, task_id, source_ref, rank, coverage, matched FROM strict"
+
+
+def sql_hits(lists: str = LISTS) -> str:
+    return f"""{FOUND},
+lists AS ({lists}),
 fused AS (SELECT task_id, source_ref, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(rank) AS best, any_value(coverage) AS coverage, any_value(matched) AS matched,
   min(list_no) AS l, arg_min(rank, list_no) AS lr FROM lists GROUP BY task_id, source_ref),
 hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, l, lr, source_ref) AS rank FROM fused) WHERE rank <= 30)"""
-CANDIDATES = f"""{HITS},
+
+
+def sql_packed(lists: str = LISTS, asked: str = "tasks") -> str:
+    return f"""{sql_hits(lists)},
 gated AS (SELECT h.*, i.* EXCLUDE (source_ref) FROM hits h JOIN hashed i USING (source_ref) WHERE coverage >= 0.3),
 cands AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY rank) AS pos, (length(content) // 4 + 1)::INT AS cost FROM
-  (SELECT * FROM gated QUALIFY row_number() OVER (PARTITION BY task_id, content_hash ORDER BY rank) = 1))"""
-PACKED = f"""{CANDIDATES},
-walk AS (SELECT task_id, 0::BIGINT AS pos, 0::INT AS used, 0::INT AS n, false AS took FROM tasks UNION ALL
+  (SELECT * FROM gated QUALIFY row_number() OVER (PARTITION BY task_id, content_hash ORDER BY rank) = 1)),
+walk AS (SELECT task_id, 0::BIGINT AS pos, 0::INT AS used, 0::INT AS n, false AS took FROM {asked} UNION ALL
   SELECT w.task_id, c.pos, CASE WHEN w.n < 8 AND w.used + c.cost <= t.budget_tokens THEN w.used + c.cost ELSE w.used END,
     CASE WHEN w.n < 8 AND w.used + c.cost <= t.budget_tokens THEN w.n + 1 ELSE w.n END, w.n < 8 AND w.used + c.cost <= t.budget_tokens
-  FROM walk w JOIN tasks t USING (task_id) JOIN cands c ON c.task_id = w.task_id AND c.pos = w.pos + 1),
+  FROM walk w JOIN {asked} t USING (task_id) JOIN cands c ON c.task_id = w.task_id AND c.pos = w.pos + 1),
 packed AS (SELECT c.*, w.n, max(w.used) OVER (PARTITION BY task_id) AS total_used FROM cands c JOIN walk w USING (task_id, pos) WHERE w.took),
 package AS (SELECT *, '[' || n || ']' AS ref, CASE WHEN floor(date_diff('second', observed_at, TIMESTAMP '2024-07-01') / 86400) <= 90 THEN 'fresh'
   WHEN floor(date_diff('second', observed_at, TIMESTAMP '2024-07-01') / 86400) <= 365 THEN 'aging' ELSE 'stale' END AS freshness FROM packed)"""
+
+
+HITS, PACKED = sql_hits(), sql_packed()
 FACTS = f"""facts AS (SELECT 'event/' || event_id AS source_ref, user_id || '|' || event_type AS fact_key, floor(value * 100)::BIGINT::VARCHAR AS v, user_id, ts,
   CASE WHEN event_id % 3 = 0 THEN 0.85 ELSE 0.6 END::DOUBLE AS confidence, {sql_third("event_id", "'public'", "'internal'", "'private'")} AS scope FROM events)"""
 
 
+# ---- requests ----------------------------------------------------------------------------------------------------
+
+_KEYED = "(SELECT conv_id, turn, role AS api_key FROM conversations)"
+_KEYS = "(VALUES ('user', 'reader', ['public']), ('assistant', 'analyst', ['public', 'internal'])) AS p(api_key, agent, scopes)"
+
+
+def _keyed(spark, sf_dir):
+    """Turns as requests that carry a key, and the keys that are known."""
+    known = spark.createDataFrame([("user", "reader", ["public"]), ("assistant", "analyst", ["public", "internal"])], "api_key string, agent string, scopes array<string>")
+    return corpus.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("api_key")), known
+
+
+@query(f"SELECT conv_id, turn, agent, array_to_string(scopes, ',') AS scopes FROM {_KEYED} JOIN {_KEYS} USING (api_key)")
+def scoped_requests(spark, sf_dir):
+    rows = fusion.with_scopes(*_keyed(spark, sf_dir))
+    return rows.select("conv_id", "turn", "agent", F.array_join("scopes", ",").alias("scopes"))
+
+
+@query(f"SELECT conv_id, turn FROM {_KEYED} q WHERE NOT EXISTS (SELECT 1 FROM {_KEYS} WHERE p.api_key = q.api_key)")
+def rejected_requests(spark, sf_dir):
+    return fusion.rejected(*_keyed(spark, sf_dir)).select("conv_id", "turn")
+
+
 # ---- text -------------------------------------------------------------------------------------------------------
 
 
@@ -159,7 +191,7 @@ def freshness_grades(spark, sf_dir):
 
 
 @query("""SELECT event_id, 'FY ' || (2018 + event_id % 9) || ',Q' || (event_id % 4 + 1) || ' ' || (2018 + event_id % 7) AS periods,
-  CASE WHEN event_id % 9 = event_id % 7 THEN (2018 + event_id % 7)::VARCHAR ELSE (2018 + event_id % 7)::VARCHAR END AS years FROM events""")
+  (2018 + event_id % 7)::VARCHAR AS years FROM events""")
 def task_periods(spark, sf_dir):
     e = F.col("event_id")
     task = F.concat(F.lit("compare fy"), (2018 + e % 9).cast("string"), F.lit(" with Q"), (e % 4 + 1).cast("string"), F.lit(" "), (2018 + e % 7).cast("string"), F.lit(" please"))
@@ -507,7 +539,28 @@ def golden_metrics(spark, sf_dir):
     return evaluate.metrics(rows)
 
 
-@query(f"WITH RECURSIVE {PACKED} SELECT 0::BIGINT AS leaks FROM (SELECT count(*) FROM package)")
+_N = len(corpus.CONFIGURATIONS)
+_NUMBERS = f"(SELECT unnest(range({_N})) AS config)"
+_CHOSEN = " OR ".join(f"config = {k} AND list_no IN ({', '.join(map(str, own))})" for k, (_, own) in enumerate(corpus.CONFIGURATIONS))
+_CONFIGURED = f"SELECT list_no, task_id * {_N} + config AS task_id, source_ref, rank, coverage, matched FROM ({LISTS}), {_NUMBERS} WHERE {_CHOSEN}"
+_ASKED = f"(SELECT * EXCLUDE (task_id), task_id * {_N} + config AS task_id FROM tasks, {_NUMBERS})"
+_NAMES = ", ".join(f"'{name}'" for name, _ in corpus.CONFIGURATIONS)
+
+
+@query(f"""WITH RECURSIVE {sql_packed(_CONFIGURED, _ASKED)}, {_GOLD.replace("gold AS (", "one AS (", 1).replace("per AS (", f"gold AS (SELECT task_id * {_N} + config AS task_id, expected FROM one, {_NUMBERS}), per AS (", 1)}
+SELECT [{_NAMES}][task_id % {_N} + 1] AS configuration, count(*) AS tasks, round(avg(CASE WHEN wanted > 0 THEN (found > 0)::INT END), 9) AS hit_rate, round(avg(CASE WHEN wanted > 0 THEN found / wanted END), 9) AS recall,
+  round(avg(CASE WHEN wanted > 0 THEN coalesce(1.0::DOUBLE / first, 0) END), 9) AS mrr, round(avg(CASE WHEN wanted = 0 THEN (n_items = 0)::INT END), 9) AS refusals, sum(n_items)::BIGINT AS items FROM per GROUP BY ALL""")
+def configuration_metrics(spark, sf_dir):
+    """The metrics of each configuration, all in one plan: a task of each configuration is a task of its own."""
+    asked = corpus.configured(corpus.tasks(spark, sf_dir)).drop("config")
+    items = corpus.package_items(spark, sf_dir, corpus.configured_lists(spark, sf_dir), asked)
+    rows = evaluate.per_task(corpus.configured(_golden(spark, sf_dir)), items.withColumn("quote", tx.quote(F.col("content"))), package.missing_warnings(items, asked))
+    names = F.array(*[F.lit(name) for name, _ in corpus.CONFIGURATIONS])
+    found = evaluate.metrics(rows, "config").withColumn("configuration", names[F.col("config")])
+    return found.select("configuration", "tasks", "hit_rate", "recall", "mrr", "refusals", "items")
+
+
+@query(f"WITH RECURSIVE {PACKED} SELECT count(*) FILTER (NOT list_contains(t.scopes, p.scope)) AS leaks FROM package p JOIN tasks t USING (task_id)")
 def scope_leaks(spark, sf_dir):
     return evaluate.scope_leaks(corpus.package_items(spark, sf_dir), corpus.tasks(spark, sf_dir))
 
