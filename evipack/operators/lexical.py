@@ -8,13 +8,19 @@ from evipack.schema import DEFAULTS, Settings
 
 
 def item_terms(items: DataFrame) -> DataFrame:
-    """`items` (source_ref, scope, title, content) plus all its terms."""
-    return items.select("source_ref", "scope", terms(F.concat_ws(" ", "title", "content")).alias("terms"))
+    """`items` (source_ref, scope, title, content) plus all its terms.
+
+    Items are dealt by key while they are text: terms, counted by item, would be many times larger in a shuffle, and
+    every later grouping by item and term, or by task and item, finds its rows in place.
+    """
+    texts = items.select("source_ref", "scope", F.concat_ws(" ", "title", "content").alias("text")).repartition("source_ref")
+    return texts.select("source_ref", "scope", terms(F.col("text")).alias("terms"))
 
 
 def postings(items: DataFrame) -> DataFrame:
     """(source_ref, scope, n_terms, term, tf)."""
-    each = item_terms(items).select("source_ref", "scope", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
+    each = item_terms(items).select("source_ref", "scope", F.size("terms").alias("n_terms"), F.explode_outer("terms").alias("term"))
+    each = each.where("term IS NOT NULL")  # a plain explode would have the terms formed before the exchange too, to filter by them
     return each.groupBy("source_ref", "scope", "n_terms", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

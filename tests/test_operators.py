@@ -5,7 +5,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from evipack.operators import evaluate, facts, fusion, hooks, incremental, package, packing, vectors
+from evipack.operators import evaluate, facts, fusion, hooks, incremental, lexical, package, packing, vectors
+from evipack.plans import corpus
 from evipack.sources import normalize, readers
 from evipack.streaming import streams
 
@@ -143,3 +144,20 @@ def test_stream_equals_batch(spark, tmp_path):
     streams.stream_ingest(spark, landing, kind, lambda b: b.dropDuplicates(["source_ref"]), store, marks)
     streams.stream_ingest(spark, landing, kind, lambda b: b.dropDuplicates(["source_ref"]), store, marks)
     assert sorted(map(tuple, streams.current(spark, store).collect())) == [("a", "1"), ("b", "2"), ("c", "1")]
+
+
+def test_postings_and_matches(spark):
+    """Counts by item and term, null and empty texts included; both need no exchange of postings by item."""
+    rows = [("a", "public", "Net", "revenue revenue grew"), ("b", "private", None, "revenue fell"), ("c", "public", "", ""), ("d", "public", None, None)]
+    items = spark.createDataFrame(rows, "source_ref string, scope string, title string, content string")
+    posts = lexical.postings(items)
+    assert sorted((r.source_ref, r.term, r.tf, r.n_terms) for r in posts.collect()) == [("a", "grew", 1, 4), ("a", "net", 1, 4), ("a", "revenue", 2, 4), ("b", "fell", 1, 2), ("b", "revenue", 1, 2)]
+    assert {r.term: r.df for r in lexical.idf(items, posts).collect()} == {"grew": 1, "net": 1, "revenue": 2, "fell": 1}
+    tasks = spark.createDataFrame([(1, "net revenue", ["public"]), (2, "revenue", ["public", "private"])], "task_id long, task string, scopes array<string>")
+    found = lexical.matches(posts, lexical.task_terms(tasks, lexical.idf(items, posts))).collect()
+    assert sorted((r.task_id, r.source_ref, r.matched, r.all_terms) for r in found) == [(1, "a", ["net", "revenue"], True), (2, "a", ["revenue"], True), (2, "b", ["revenue"], True)]
+
+
+def test_configurations_are_tasks_of_their_own(spark):
+    rows = corpus.configured(spark.createDataFrame([(1,), (2,)], "task_id long")).collect()
+    assert sorted((r.task_id, r.config) for r in rows) == [(3, 0), (4, 1), (5, 2), (6, 0), (7, 1), (8, 2)]
