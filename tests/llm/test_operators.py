@@ -331,6 +331,18 @@ def test_html_wrapper_of_a_host(spark):
     assert found == {k: f"Story number {k} tells of {k} things" + ("\n\nextra" if k % 3 == 0 else "") for k in range(9)}
 
 
+def test_html_wrapper_inside_articles(spark):
+    """Repeats below an article are template too, unless whole articles are copied, with or without changes."""
+    page = "<body><article><h1>Story {k}</h1><p>It tells of {k} things and of {k} more</p><p>Read our other stories</p></article></body>"
+    rows = [(k, f"https://i.example/{k}", page.format(k=k)) for k in range(9)]
+    whole = "<body><p>{k}</p>{x}<main><p>A copied story with many words that all of its copies have</p><p>and an end</p>{y}</main></body>"
+    copies = [(k, f"https://j.example/{k}", whole.format(k=k, x="<ul><li>x</li></ul>" * (k % 3), y="")) for k in range(20, 29)]
+    changed = [(k, f"https://k.example/{k}", whole.format(k=k, x="", y=f"<p>{k}</p>")) for k in range(30, 39)]
+    found = dict(html.main_text(spark.createDataFrame(rows + copies + changed, "page_id long, url string, html string")).select("page_id", "text").collect())
+    story = "A copied story with many words that all of its copies have\n\nand an end"
+    assert found == {k: f"Story {k}\n\nIt tells of {k} things and of {k} more" for k in range(9)} | {k: story for k in range(20, 29)} | {k: f"{story}\n\n{k}" for k in range(30, 39)}
+
+
 def test_tree_matching():
     a = ["", [["body", [["div", []], ["p", []], ["ul", [["li", []]]]]]]]
     b = ["", [["body", [["p", []], ["ul", [["li", []]]], ["div", []]]]]]
