@@ -168,6 +168,23 @@ def test_quality_fits_repeated_rows_once(spark, docs, labels):
     assert quality.chosen_labels(labels, 4).count() == 4
 
 
+def test_quality_isolates_by_every_statistic(spark):
+    """Odd word lengths, repeated lines and repeated words below the base limit are rejected without a labelled example."""
+    draw = np.random.default_rng(3)
+    prose = lambda n: " ".join("".join(draw.choice(list("etaoinshrdlu"), draw.integers(2, 9))) for _ in range(n))
+    lines = lambda n: "\n".join(prose(10) for _ in range(n // 10))
+    good = [(k, lines(int(draw.integers(80, 600)))) for k in range(400)]
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    bad = [
+        (1000, " ".join("".join(draw.choice(letters, 300)) for _ in range(100))), (1001, " ".join(draw.choice(letters, 300))),
+        (1002, prose(165) + "\nread on here now" * 33), (1003, prose(200) + "\nmore" * 80),
+    ]
+    labels = spark.createDataFrame([(k, 1) for k in range(300)], "doc_id long, quality long")
+    found = quality.quality_rules(spark.createDataFrame(good + bad, "doc_id long, text string"), labels).collect()
+    kept = {r.doc_id: r.kept for r in found if not r.base_failed}
+    assert not any(kept[k] for k in (1000, 1001, 1002)) and sum(kept[k] for k in range(300, 400)) >= 95
+
+
 def test_forest_on_held_out_rows():
     draw = np.random.default_rng(0)
     good = np.column_stack([np.zeros(2000), np.zeros(2000), draw.beta(2, 80, 2000)])
