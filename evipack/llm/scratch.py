@@ -6,6 +6,7 @@ A written table cuts lineage, survives lost executors and gives later joins exac
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,14 @@ def root(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet under the shared folder and return it read again, with the same schema."""
-    path = f"{root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written_parts([df], name)
+
+
+def written_parts(parts: Iterable[DataFrame], name: str) -> DataFrame:
+    """Frames of one schema written one after the other as one table, so that no two of them need memory at once."""
+    table = None
+    for df in parts:
+        if table is None:
+            spark, schema, table = df.sparkSession, df.schema, f"{root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+        df.write.mode("append").parquet(table)
+    return spark.read.schema(schema).parquet(table)

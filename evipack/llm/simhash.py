@@ -3,7 +3,7 @@
 A 64-bit fingerprint is cut into four segments of 16 bits on a ring. Two fingerprints with at most three
 differing bits have a starting segment from which every chain of 1, 2, 3 and 4 consecutive segments holds at
 most 0, 1, 2 and 3 differing bits (the strong form of the pigeonhole principle). So equal starting segments
-propose candidates, the chain budgets prune them, and what survives has passed the full Hamming check.
+propose candidates, the chain budgets prune them one after the other, and what survives has passed the full Hamming check.
 
 Equal fingerprints count once. A bucket of more than `BUCKET` fingerprints is split by the segments of its
 remaining bits, of which again one must be equal, until it is small; nothing is capped or dropped.
@@ -13,11 +13,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evipack.llm import bloom
 from evipack.llm.components import connected_components
 from evipack.llm.scratch import written
+from evipack.llm.skew import join_groups, join_suspects, shielded
 
 SEED = 42
 SEGMENTS, SEGMENT_BITS, MAX_BITS = 4, 16, 3
@@ -48,39 +50,46 @@ def fingerprint(text: str) -> int:
 def _fingerprints(batches):
     for batch in batches:
         found = np.array([fingerprint(t or "") for t in batch.column(1).to_pylist()], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.view(np.int64))], ["doc_id", "digest", "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for each row; fp holds the 64 bits as a signed long. A null text counts as empty."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, digest: Column | None = None) -> DataFrame:
+    """(doc_id, digest, fp) for each row; fp holds the 64 bits as a signed long. A null text counts as empty. digest is null
+    unless a binary column is given, which comes along."""
+    own = F.lit(None).cast("binary") if digest is None else digest
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), own.alias("digest"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, digest binary, fp long")
 
 
 def _links_in(values: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect what is within reach in one bucket: (first of the component, other) for each other.
+    """Links between positions of one bucket that connect what is within reach in it.
 
-    `values` are rotated so that the bucket's equal segment is lowest.
+    `values` are rotated so that the bucket's equal segment is lowest. Pairs must keep the budget of each chain of
+    consecutive segments from the equal one on; pairs that exceed one are not looked at again, and those that keep the
+    longest one have passed the full check.
     """
     if len(values) < 2:
         return []
-    differ = values[:, None] ^ values[None, :]
-    near = np.ones(differ.shape, bool)
-    for chain in range(2, SEGMENTS + 1):  # chains of consecutive segments from the equal one, each within its budget
+    low = np.uint64((1 << (2 * SEGMENT_BITS)) - 1)
+    short = values & low
+    a, b = np.nonzero(np.triu(np.bitwise_count(short[:, None] ^ short[None, :]) <= 2 * MAX_BITS // SEGMENTS, 1))
+    for chain in range(3, SEGMENTS + 1):
         mask = np.uint64((1 << (SEGMENT_BITS * chain)) - 1)
-        near &= np.bitwise_count(differ & mask) <= chain * MAX_BITS // SEGMENTS
-    if np.count_nonzero(near) == len(values):
-        return []
-    free, out = np.ones(len(values), bool), []
-    for first in range(len(values)):
-        if not free[first]:
-            continue
-        free[first] = False
-        edge = [first]
-        while edge:
-            reached = np.flatnonzero(near[edge].any(axis=0) & free)
-            free[reached] = False
-            out.extend((first, int(x)) for x in reached)
-            edge = reached.tolist()
+        near = np.bitwise_count((values[a] ^ values[b]) & mask) <= chain * MAX_BITS // SEGMENTS
+        a, b = a[near], b[near]
+    root, out = list(range(len(values))), []
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = top(x), top(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((min(x, y), max(x, y)))
     return out
 
 
@@ -127,12 +136,14 @@ def near_links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """
     rows, width, found = _start(nodes), 64 - SEGMENT_BITS, []
     while True:
-        sizes = written(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-sizes")
-        shared = written(rows.join(sizes, "path"), "simhash-buckets")
-        small = shared.where(F.col("n") <= bucket).groupBy("path", "turn").agg(F.collect_list("fp").alias("fps"))
+        rows = written(rows, "simhash-places")
+        sizes = written(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("size", F.col("n")), "simhash-sizes")
+        shared = written(join_groups(rows, sizes, "path", "size"), "simhash-buckets")
+        last = width <= 1  # the bits are used up: a bucket has at most 64 different fingerprints
+        small = (shared if last else shared.where(F.col("n") <= bucket)).groupBy("path", "turn").agg(F.collect_list("fp").alias("fps"))
         found.append(small.select("turn", "fps").mapInPandas(_bucket_links, "a long, b long"))
         large = shared.where(F.col("n") > bucket)
-        if width <= 1 or large.isEmpty():
+        if last or large.isEmpty():
             break
         rows, width = _split(large.drop("n"), width)
     links = found[0]
@@ -141,24 +152,48 @@ def near_links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return links
 
 
+def _classes(rows: DataFrame, bucket: int) -> DataFrame:
+    """(fp, n, component_id, keeper) of the stored `rows` (doc_id, digest, fp), stored: how many rows have the fingerprint, the
+    smallest doc_id of its component, and the (doc_id, digest) of the row that stands for it."""
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
+    nodes = written(rows.groupBy("fp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
+    roots = connected_components(near_links(nodes, bucket)).withColumnRenamed("node", "fp")
+    rooted = written(nodes.join(roots, "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
+    least = written(rooted.groupBy("root").agg(F.min("first").alias("keeper"), F.count(F.lit(1)).alias("size")), "simhash-components")
+    named = join_groups(rooted.select("fp", "n", "root"), least, "root", "size")
+    return written(named.select("fp", "n", F.col("keeper.doc_id").alias("component_id"), "keeper"), "simhash-named")
+
+
 def simhash_near_dedup(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """One row per row of `docs` (doc_id, text; other columns are ignored): doc_id, fingerprint, component_id.
 
     Fingerprints link at three or fewer differing bits; component_id is the smallest doc_id that links reach, the
     row's own included. A null or wordless text has fingerprint zero, linked like any other. A null doc_id never
-    names a component (a component without any other has null). An empty table gives an empty result.
+    names a component (a component without any other has null). Repeated rows share their component. An empty table gives
+    an empty result.
     """
     rows = written(fingerprints(docs), "simhash-rows")
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
-    roots = connected_components(near_links(nodes, bucket)).withColumnRenamed("node", "fp")
-    rooted = written(nodes.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
-    least = written(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-components")
-    named = written(rooted.join(least, "root").select("fp", "component_id"), "simhash-named")
-    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = join_groups(rows, _classes(rows, bucket), "fp", "n")
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
 
+def keep_one_of_each(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """The rows of `docs` that stand for their component, with all columns: of each component the row with the smallest doc_id
+    (a null one last), then the smallest digest of the text.
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id names their component, with all columns. Only dropped ids are joined."""
-    found = simhash_near_dedup(docs)
-    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("dropped_id")).distinct().hint("merge")
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["dropped_id"]), "left_anti")
+    Rows are told by doc_id and digest, so repeated or null ids drop no other text; rows alike in both stay together.
+    Rows that a Bloom filter of the dropped ones does not know pass straight through; only the others shuffle. `docs` is
+    read twice and must give the same rows both times, as a stored table does.
+    """
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    mark = F.struct(F.col("doc_id").alias("id"), F.col("digest").alias("digest"))
+    rows = written(fingerprints(docs, digest), "simhash-rows")
+    found = join_groups(rows, _classes(rows, bucket), "fp", "n")
+    lost = found.where(~(F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("digest") == F.col("keeper.digest"))))
+    lost = lost.select(mark.alias("mark")).groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
+    lost = written(lost.withColumns({"h": F.xxhash64("mark"), "lost": F.lit(True)}), "simhash-lost")
+    own, back = shielded(docs)
+    named = docs.select(*own, F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"))
+    named = named.withColumn("mark", mark).drop("doc_id", "digest").withColumn("h", F.xxhash64("mark"))
+    tried = bloom.may_hold(named, lost, "simhash-lost").drop("h")
+    return join_suspects(tried, lost.select("mark", "lost", "n"), "mark", "n").where(F.col("lost").isNull()).select(*back)
