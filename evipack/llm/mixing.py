@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evipack.llm.scratch import written
+from evipack.llm.skew import shielded
 
 WEIGHTS, TOTAL, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
-#: Words that a shard holds on average, and rows, where many have few words or none.
-SHARD_WORDS, SHARD_ROWS = 1 << 19, 1 << 17
+#: Words that a shard holds on average, and rows, where many have few words or none; larger ones if that made more than SHARDS.
+SHARD_WORDS, SHARD_ROWS, SHARDS = 1 << 19, 1 << 17, 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 #: Draws with a standard deviation above this use the normal limit; below, the exact distribution is inverted.
 EXACT_SD = 50.0
@@ -50,20 +51,20 @@ def targets(sizes: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: float
 
 def _drawn(white: Column, black: Column, take: Column, *seed) -> Column:
     """How many of `take` draws without replacement are white: an integer, given `white` and `black` (longs)."""
-    every = (white + black).cast("double")
+    every = white.cast("double") + black.cast("double")
     lowest = F.greatest(F.lit(0).cast("long"), take - black)
     highest = F.least(white, take)
-    mean = F.when(every > 0, take * white / every).otherwise(F.lit(0.0))
+    mean = F.when(every > 0, take.cast("double") * (white.cast("double") / every)).otherwise(F.lit(0.0))
     spread = F.when(every > 1, F.sqrt(F.greatest(F.lit(0.0), mean * (black / every) * ((every - take) / (every - 1))))).otherwise(F.lit(0.0))
     normal = F.sqrt(-2 * F.log(uniform(*seed, F.lit("a")))) * F.cos(2 * 3.141592653589793 * uniform(*seed, F.lit("b")))
     rounded = F.round(mean + spread * normal).cast("long")
 
     first = F.greatest(lowest, F.floor(mean - 8 * spread - 2).cast("long"))
     last = F.least(highest, F.ceil(mean + 8 * spread + 2).cast("long"))
-    steps = F.sequence(first, last)
+    steps = F.when(spread <= EXACT_SD, F.sequence(first, F.greatest(first, last))).otherwise(F.array(last))
 
     def ratio(k: Column) -> Column:  # chance of k + 1 over that of k
-        return ((white - k).cast("double") * (take - k)) / ((k + 1).cast("double") * (black - take + k + 1))
+        return ((white - k).cast("double") * (take - k).cast("double")) / ((k + 1).cast("double") * (black - take + k + 1).cast("double"))
 
     def walk(state: Column, k: Column) -> Column:
         return F.struct((state.p * ratio(k)).alias("p"), (state.total + state.p).alias("total"))
@@ -96,62 +97,110 @@ def _split(quotas: DataFrame, held: DataFrame, level: int, seed: int) -> DataFra
     return rows.select("source", (F.col("node") * 2 + F.col("child")).alias("node"), "quota").where("quota > 0")
 
 
+def _size(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
+def _mark(text: Column) -> Column:
+    """Tells rows with one doc_id apart, and spreads those without any."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _shard(doc_id: Column, mark: Column, fan: Column, seed: int) -> Column:
+    return F.floor(uniform(F.lit(seed), F.lit("shard"), doc_id, mark) * fan).cast("long")
+
+
+def _turn(doc_id: Column, mark: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.lit("turn"), doc_id, mark)
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    return written(docs.select(F.col("doc_id").cast("long"), "source", _size(F.col("text")).alias("size"), _mark(F.col("text")).alias("mark")), "mix-sizes")
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: float = CAP, seed: int = 42, shard_words: int = SHARD_WORDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per row of `docs` (doc_id, text, source; other columns are ignored): doc_id, size, source_size, target,
-    taken, shard.
+    taken, shard, source.
 
     size counts the `[^\\x20\\x09-\\x0D]+` of the text (null: none). Each source's `taken` adds up to its rounded
     target exactly; no row gives more than `cap` times its size, and the order of the draw within a shard is by hash,
-    so reruns agree. A null source is a source of its own, last in the order. Rows repeated with one doc_id are taken
-    one after the other. Empty texts give nothing; an empty table gives an empty result.
+    so reruns agree. A null source is a source of its own, last in the order; so null ids do no harm. Rows repeated with one
+    doc_id are taken one after the other. Empty texts give nothing; an empty table gives an empty result.
     """
-    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    rows = written(docs.select(F.col("doc_id").cast("long"), "source", size.alias("size")), "mix-sizes")
-    return _taken(rows, weights, total, cap, seed, shard_words, shard_rows)
+    rows = _measured(docs)
+    return _drawn_rows(rows, *_quotas(rows, weights, total, cap, seed, shard_words, shard_rows), seed)
 
 
-def _taken(rows: DataFrame, weights, total, cap, seed, shard_words, shard_rows) -> DataFrame:
+def _quotas(rows: DataFrame, weights, total, cap, seed, shard_words, shard_rows) -> tuple[DataFrame, DataFrame]:
+    """(source, source_size, target, passes, rest, fan) of each source and (source, node, quota) of each shard, both stored."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
-    goal = targets(sizes, weights, total, cap).withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
+    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    goal = targets(sizes, weights, total, cap).withColumn("passes", passes)
     rest = F.round(F.col("target")).cast("long") - F.col("passes") * F.col("source_size")
-    goal = goal.withColumn("rest", F.greatest(F.lit(0).cast("long"), rest))
-    fan = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("n_rows") / shard_rows)).cast("long")
-    goal = written(goal.withColumn("fan", fan).drop("n_rows"), "mix-targets")
-    depth = 0
-    most = goal.agg(F.max("fan")).first()[0] or 1  # one number: how many shards the largest source needs
+    everything = rows.agg(F.sum("size"), F.count(F.lit(1))).first()  # two numbers
+    words, many = max(shard_words, (everything[0] or 0) // SHARDS), max(shard_rows, everything[1] // SHARDS)
+    fan = F.greatest(F.lit(1), F.ceil(F.col("source_size") / words), F.ceil(F.col("n_rows") / many)).cast("long")
+    goal = written(goal.withColumns({"rest": F.greatest(F.lit(0).cast("long"), rest), "fan": fan}).drop("n_rows"), "mix-targets")
+    most, depth = goal.agg(F.max("fan")).first()[0] or 1, 0  # one number: how many shards the largest source needs
     while 2**depth < most:
         depth += 1
 
-    g = goal.withColumnRenamed("source", "s")
-    shard = F.floor(uniform(F.lit(seed), F.lit("shard"), F.col("doc_id"), F.col("size")) * F.col("fan")).cast("long")
-    dealt = written(rows.join(g, F.col("source").eqNullSafe(F.col("s"))).withColumn("shard", shard).drop("s", "fan"), "mix-dealt")
-
-    leaves = dealt.groupBy("source", F.col("shard").alias("node")).agg(F.sum("size").alias("words"))
+    leaves = _dealt(rows, goal, seed).groupBy("source", F.col("shard").alias("node")).agg(F.sum("size").alias("words"))
     held = [written(leaves, "mix-leaves")]
     for _ in range(depth - 1):
         held.append(held[-1].groupBy("source", F.shiftright("node", 1).alias("node")).agg(F.sum("words").alias("words")))
     quotas = goal.select("source", F.lit(0).cast("long").alias("node"), F.col("rest").alias("quota")).where("quota > 0")
     for level, below in enumerate(reversed(held[:depth])):
         quotas = written(_split(quotas, below, level, seed), "mix-quotas")
+    return goal, quotas
+
+
+def _dealt(rows: DataFrame, goal: DataFrame, seed: int) -> DataFrame:
+    """Rows with what their source has to give, and their shard. Sources are a small side, which Spark broadcasts if it is."""
+    joined = rows.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    return joined.withColumn("shard", _shard(F.col("doc_id"), F.col("mark"), F.col("fan"), seed)).drop("s", "fan")
 
+
+def _drawn_rows(rows: DataFrame, goal: DataFrame, quotas: DataFrame, seed: int) -> DataFrame:
     q = quotas.select(F.col("source").alias("s"), F.col("node").alias("v"), "quota")
-    order = Window.partitionBy("source", "shard").orderBy("turn", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = dealt.withColumn("turn", F.xxhash64(F.lit(seed), F.lit("turn"), "doc_id", "size"))
+    order = Window.partitionBy("source", "shard").orderBy("turn", "doc_id", "mark").rowsBetween(Window.unboundedPreceding, -1)
+    drawn = _dealt(rows, goal, seed).withColumn("turn", _turn(F.col("doc_id"), F.col("mark"), seed))
     drawn = drawn.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0).cast("long")))
     drawn = drawn.join(q, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("v")), "left")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.coalesce("quota", F.lit(0).cast("long")) - F.col("before")))
-    return drawn.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + part).alias("taken"), "shard", "source")
+    taken = (F.col("passes") * F.col("size") + part).alias("taken")
+    return drawn.select("doc_id", "size", "source_size", "target", taken, "shard", "source", "turn", "mark", part.alias("part"))
+
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: float = CAP, seed: int = 42, shard_words: int = SHARD_WORDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The mix itself: each row of `docs` as often as the mix takes it whole (none, once or more), with all its columns.
 
-    A row that is taken in part, one in a shard at most, comes whole if at least half of it is taken. Rows repeated
-    with one doc_id share what is taken of it evenly.
+    A shard takes its rows in the order of their turn up to the one at which its quota ends, so that one place per shard tells
+    for each row of `docs` whether it is taken beyond the whole passes of its source; texts do not shuffle while
+    Spark finds the table of places (at most SHARDS and one per source) small enough to broadcast. The row at that place
+    comes whole if at least half of it is taken; rows alike in id, text and source are taken alike.
+    Null ids, texts and sources, repeated rows and empty tables are taken as in `mix`.
     """
-    taken = mix(docs, **options).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
-    named = written(taken.select(F.col("doc_id").alias("mixed_id"), copies.alias("copies")).where("copies > 0"), "mix-copies").hint("merge")
-    rows = docs.join(named, docs["doc_id"].eqNullSafe(named["mixed_id"]))
-    each = F.explode(F.sequence(F.lit(1), named["copies"])).alias("copy of the mix")
-    return rows.select(*[docs[c] for c in docs.columns], each).drop("copy of the mix")
+    rows = _measured(docs)
+    goal, quotas = _quotas(rows, weights, total, cap, seed, shard_words, shard_rows)
+    drawn = _drawn_rows(rows, goal, quotas, seed).where("part > 0")
+    alike = drawn.groupBy("source", "shard", "turn", "doc_id", "mark").agg(F.sum("part").alias("part"), F.sum("size").alias("size"))
+    last = F.max(F.struct(F.struct("turn", "doc_id", "mark").alias("place"), "part", "size")).alias("last")  # null ids come first, as in the draw
+    ends = alike.groupBy("source", "shard").agg(last).select(
+        F.col("source").alias("end source"), F.col("shard").alias("end shard"), F.col("last.place").alias("end place"),
+        (2 * F.col("last.part") >= F.col("last.size")).alias("end whole"),
+    )
+    ends = written(ends, "mix-ends")
+    own, back = shielded(docs)
+    each = docs.select(*own, F.col("doc_id").cast("long").alias("id"), F.col("source").alias("of"), _size(F.col("text")).alias("words"), _mark(F.col("text")).alias("mark of row"))
+    side = goal.select(F.col("source").alias("goal of"), F.col("passes").alias("goal passes"), F.col("fan").alias("goal fan"))
+    each = each.join(side, F.col("of").eqNullSafe(F.col("goal of")))
+    each = each.withColumns({"shard of row": _shard(F.col("id"), F.col("mark of row"), F.col("goal fan"), seed), "turn of row": _turn(F.col("id"), F.col("mark of row"), seed)})
+    each = each.join(ends, F.col("of").eqNullSafe(F.col("end source")) & (F.col("shard of row") == F.col("end shard")), "left")
+    here = F.struct(F.col("turn of row").alias("turn"), F.col("id").alias("doc_id"), F.col("mark of row").alias("mark"))
+    more = F.when(F.col("end place").isNull(), 0).when(here < F.col("end place"), 1).when(here == F.col("end place"), F.col("end whole").cast("int")).otherwise(0)
+    copies = F.when(F.col("words") > 0, F.col("goal passes").cast("int") + more).otherwise(0)
+    taken = each.withColumn("copies of row", copies).where(F.col("copies of row") > 0)
+    return taken.select(*[c for c in taken.columns if c.startswith("own ")], F.explode(F.sequence(F.lit(1), F.col("copies of row"))).alias("copy of row")).select(*back)

@@ -50,7 +50,7 @@ def op8_pii(spark, sf_dir):
     found = pii.pii_spans(_documents(spark, sf_dir))
     base = F.filter("spans", lambda x: x.kind.isin(*pii.BASE))
     counts = [F.expr(f"size(filter(spans, x -> x.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in pii.BASE]
-    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op9_line_dedup(spark, sf_dir):

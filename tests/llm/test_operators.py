@@ -361,7 +361,56 @@ def test_html_wrapper_inside_articles(spark):
 
 
 def test_tree_matching():
-    a = ["", [["body", [["div", []], ["p", []], ["ul", [["li", []]]]]]]]
-    b = ["", [["body", [["p", []], ["ul", [["li", []]]], ["div", []]]]]]
+    tree = lambda *nodes: html.read_tree("/".join(("-1:", *nodes)))
+    a, b = tree("0:body", "1:div", "1:p", "1:ul", "4:li"), tree("0:body", "1:p", "1:ul", "3:li", "1:div")
     size, pairs = html.simple_tree_matching(a, b)
-    assert size == 5 and ("/body/ul/li", "/body/ul/li") in pairs
+    assert size == 5 and (5, 4) in pairs and len(pairs) == 5
+
+    def recursive(x, y):  # the textbook form
+        if a[0][x] != b[0][y]:
+            return 0
+        best = [[0] * (len(b[2][y]) + 1) for _ in range(len(a[2][x]) + 1)]
+        for i, u in enumerate(a[2][x]):
+            for j, v in enumerate(b[2][y]):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + recursive(u, v))
+        return best[-1][-1] + 1
+
+    draw = random.Random(6)
+    for _ in range(100):
+        a, b = (tree(*[f"{draw.randint(0, k)}:{draw.choice('xyz')}" for k in range(draw.randint(1, 12))]) for _ in range(2))
+        size, pairs = html.simple_tree_matching(a, b)
+        assert size == recursive(0, 0) == len(pairs) and all(a[0][x] == b[0][y] for x, y in pairs)
+
+
+def test_html_deep_and_long_pages(spark):
+    deep = "<div>" * 1500 + "deep down {k} and more of {k}" + "</div>" * 1500
+    rows = [(k, f"https://d.example/{k}", deep.format(k=k)) for k in range(6)] + [(9, "https://e.example/", "<p>" + "long " * 200_000)]
+    found = dict(html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "text").collect())
+    assert found == {k: f"deep down {k} and more of {k}" for k in range(6)} | {9: ("long " * 200_000).strip()}
+
+
+def test_html_slots_decide(spark):
+    """Rotating adverts, menus and footers without any role, in two layouts of one host, against a count over all its pages."""
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(5))
+    ads, menus = [" ".join(word() for _ in range(6)) for _ in range(4)], [word() for _ in range(5)]
+    rows, wanted = [], {}
+    for k in range(60):
+        body = [" ".join(word() for _ in range(12)) for _ in range(draw.randint(1, 4))]
+        wanted[k] = "\n\n".join(body)
+        content = "".join(f"<p>{x}</p>" for x in body)
+        menu = "".join(f"<li>{draw.choice(menus)}</li>" for _ in range(3))
+        layout = f"<ul>{menu}</ul><section>{content}</section><div>{draw.choice(ads)}</div>" if k % 3 else f"<table><tr><td>{content}</td></tr></table><ol>{menu}</ol><h6>{draw.choice(ads)}</h6>"
+        rows.append((k, f"https://two.example/{k}", f"<body>{layout}</body>"))
+    found = dict(html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "text").collect())
+    assert found == wanted
+
+    # The same by plain counting: a block's place is its chain of tags.
+    pages = {k: (html.blocks(html.parse(page)), k) for k, _, page in rows}
+    seen = collections.defaultdict(list)
+    for (tree, own), k in pages.values():
+        for node, _, text in own:
+            seen[tree[node][2]].append((k, text))
+    fresh = {path: len({t for _, t in held}) / len(set(held)) for path, held in seen.items()}
+    plain = {k: "\n\n".join(t for node, _, t in own if fresh[tree[node][2]] >= 0.5) for (tree, own), k in pages.values()}
+    assert found == plain
