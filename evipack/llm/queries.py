@@ -70,19 +70,18 @@ _BIGRAMS = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' '
 
 ORACLES = {
     "op2_licenses": f"""
-WITH templates AS (SELECT k, license, {_BIGRAMS} AS b FROM (SELECT k, license, {_WORDS.format("t")} AS w FROM (VALUES {_LICENSE_ROWS}) AS x(k, license, t))),
-marked AS (SELECT row_number() OVER () AS r, doc_id, text, regexp_replace(text, '([.!?])[ \\t\\r\\x0b\\x0c]+', '\\1' || chr(10) || chr(1), 'g') AS cut FROM documents WHERE text IS NOT NULL),
-sentences AS (SELECT r, doc_id, replace(s, chr(1), '') AS u FROM (SELECT r, doc_id, unnest(string_split(cut, chr(10))) AS s FROM marked) WHERE replace(s, chr(1), '') <> ''),
-lines AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS u FROM marked),
-units AS (
-  SELECT r, doc_id, u FROM sentences
-  UNION ALL SELECT r, doc_id, u FROM lines l WHERE u <> '' AND NOT EXISTS (SELECT 1 FROM sentences s WHERE s.r = l.r AND s.u = l.u)
-  UNION ALL SELECT r, doc_id, text FROM marked WHERE contains(text, chr(10))),
-grams AS (SELECT r, n, doc_id, {_BIGRAMS} AS b FROM (SELECT r, row_number() OVER () AS n, doc_id, {_WORDS.format("u")} AS w FROM units WHERE u LIKE '%i%')),
-scored AS (SELECT r, n, doc_id, license, 2.0 * len(list_intersect(g.b, t.b)) / (len(g.b) + len(t.b)) AS d FROM grams g JOIN templates t
-  ON len(g.b) BETWEEN len(t.b) * 0.8 / 1.2 AND len(t.b) * 1.2 / 0.8),
-hits AS (SELECT DISTINCT r, n, doc_id, license, d FROM scored WHERE d >= 0.8 - 1e-12 QUALIFY d = max(d) OVER (PARTITION BY n))
-SELECT doc_id, license, round(max(d), 6)::DOUBLE AS dice, count(*)::BIGINT AS n_units FROM hits GROUP BY r, doc_id, license
+WITH templates AS (SELECT k, license, len(w) AS n, {_BIGRAMS} AS b FROM (SELECT k, license, {_WORDS.format("t")} AS w FROM (VALUES {_LICENSE_ROWS}) AS x(k, license, t))),
+texts AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("text")} AS w FROM documents WHERE text IS NOT NULL),
+grams AS (SELECT r, i, w[i] || ' ' || w[i + 1] AS g FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM texts)),
+places AS (SELECT r, k, i, g FROM grams JOIN (SELECT k, unnest(b) AS g FROM templates) USING (g)),
+likely AS (SELECT r, k FROM places JOIN templates USING (k) GROUP BY r, k, b HAVING count(DISTINCT g) >= len(b) * 0.8 / 1.2 - 1e-9),
+runs AS (SELECT r, doc_id, k, license, n, b, i, list_distinct(list_transform(range(i, least(i + n - 1, len(w))), lambda j: w[j] || ' ' || w[j + 1])) AS own
+  FROM likely JOIN places USING (r, k) JOIN templates USING (k) JOIN texts USING (r)),
+scored AS (SELECT r, doc_id, license, n, i, 2.0::DOUBLE * len(list_intersect(own, b)) / (len(own) + len(b)) AS d FROM runs),
+hits AS (SELECT DISTINCT * FROM scored WHERE d >= 0.8 - 1e-12),
+best AS (SELECT DISTINCT r, doc_id, license, i, d FROM hits h WHERE NOT EXISTS (SELECT 1 FROM hits o WHERE o.r = h.r AND o.i < h.i + h.n AND o.i + o.n > h.i
+  AND (o.d > h.d OR (o.d = h.d AND (o.n > h.n OR (o.n = h.n AND o.i < h.i))))))
+SELECT doc_id, license, round(max(d), 6)::DOUBLE AS dice, count(*)::BIGINT AS n_units FROM best GROUP BY r, doc_id, license
 """,
     "op5_exact_dedup": """
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g')) AS text_sha256 FROM documents),

@@ -23,8 +23,9 @@ from evipack.llm.skew import join_groups, join_suspects, shielded
 
 SEED = 42
 SEGMENTS, SEGMENT_BITS, MAX_BITS = 4, 16, 3
-#: Largest number of fingerprints compared with each other in one bucket.
-BUCKET = 512
+#: Largest number of fingerprints compared with each other in one bucket, and the least that it can be: so many different
+#: fingerprints may be left where all splits are used up.
+BUCKET, LEAST_BUCKET = 512, 64
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -134,16 +135,15 @@ def near_links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
     They are a spanning set: two fingerprints within reach are connected, though not always by a link of their own.
     """
-    rows, width, found = _start(nodes), 64 - SEGMENT_BITS, []
+    rows, width, found, bucket = _start(nodes), 64 - SEGMENT_BITS, [], max(bucket, LEAST_BUCKET)
     while True:
         rows = written(rows, "simhash-places")
         sizes = written(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("size", F.col("n")), "simhash-sizes")
         shared = written(join_groups(rows, sizes, "path", "size"), "simhash-buckets")
-        last = width <= 1  # the bits are used up: a bucket has at most 64 different fingerprints
-        small = (shared if last else shared.where(F.col("n") <= bucket)).groupBy("path", "turn").agg(F.collect_list("fp").alias("fps"))
+        small = shared.where(F.col("n") <= bucket).groupBy("path", "turn").agg(F.collect_list("fp").alias("fps"))
         found.append(small.select("turn", "fps").mapInPandas(_bucket_links, "a long, b long"))
         large = shared.where(F.col("n") > bucket)
-        if last or large.isEmpty():
+        if large.isEmpty():
             break
         rows, width = _split(large.drop("n"), width)
     links = found[0]
