@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from evipack.functions.text import let
 from evipack.schema import DEFAULTS
 
+# How dates, months and years are written, and which years are plausible.
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 FULL_DATE = rf"\b({MONTHS})\.? (\d{{1,2}}), (20\d\d)\b"
 MONTH_DATE = rf"\b({MONTHS}) (20\d\d)\b"
@@ -13,6 +14,7 @@ YEAR = r"\b(20[12]\d)\b"
 FIRST_YEAR, LAST_YEAR = 2019, 2026
 # Typical month and day on which a quarter's results appear; the fourth quarter's in the next year.
 REPORTED = {"Q1": (5, 15), "Q2": (8, 10), "Q3": (11, 10), "Q4": (2, 25)}
+# Quarters in prose.
 PROSE = {"first": "Q1", "second": "Q2", "third": "Q3", "fourth": "Q4"}
 
 

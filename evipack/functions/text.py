@@ -9,10 +9,12 @@ from evipack.schema import DEFAULTS
 
 # Words that say nothing about a task, short words that do, and spellings of one word.
 STOPWORDS = (
-    "the and for what which who how did does was were are with from that this into about when where why has have had its any "
-    "his her been will many much last year today yesterday currently out off some also over there their they them than then"
-).split()
-KEEP_SHORT = "fy q1 q2 q3 q4 ai 5g".split()
+    "the", "and", "for", "what", "which", "who", "how", "did", "does", "was", "were", "are", "with", "from", "that",
+    "this", "into", "about", "when", "where", "why", "has", "have", "had", "its", "any", "his", "her", "been",
+    "will", "many", "much", "last", "year", "today", "yesterday", "currently", "out", "off", "some", "also", "over",
+    "there", "their", "they", "them", "than", "then",
+)
+KEEP_SHORT = ("fy", "q1", "q2", "q3", "q4", "ai", "5g")
 ALIASES = {"full-year": "fy", "fiscal": "fy"}
 #: Letters, numbers and underscores of any script, with inner dots and hyphens.
 TERM = r"[\p{L}\p{N}_][\p{L}\p{N}_.\-]*"
@@ -59,7 +61,7 @@ def chunks(text: Column, limit: int = DEFAULTS.chunk_chars) -> Column:
 def terms(text: Column) -> Column:
     """Lower-case words longer than two letters or known short ones, without stop words; spellings unified. May repeat."""
     words = F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
-    kept = F.filter(words, lambda t: ((F.length(t) > 2) | t.isin(KEEP_SHORT)) & ~t.isin(STOPWORDS))
+    kept = F.filter(words, lambda t: ((F.length(t) > 2) | t.isin(*KEEP_SHORT)) & ~t.isin(*STOPWORDS))
 
     def unified(t: Column) -> Column:
         known = None

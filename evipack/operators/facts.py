@@ -34,27 +34,44 @@ def group_of_hits(hits: DataFrame, facts: DataFrame) -> DataFrame:
     return joined.drop("hit_key", "scopes")
 
 
-def evidence(facts: DataFrame, *by: str) -> DataFrame:
-    """The rows behind each key, winner first, as array `evidence`, with the listing of all values."""
-    own = F.struct(precedence().alias("p"), F.col("source_ref"), F.col("fact_value"), F.col("observed_at"), F.col("confidence"))
-    rows = facts.groupBy(*by, "fact_key").agg(F.array_sort(F.collect_list(own)).alias("evidence"))
+def evidence(facts: DataFrame, *by: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per key: the rows behind it, winner first, as array `evidence` (source_ref, fact_value, observed_at, confidence
+    and the columns in `carry`), n_rows, n_values, winner_ref, winner_value, and `listing` of all values.
+
+    A listing names every row of its key, so a key with very many rows makes a long one; `audit` needs no such row.
+    """
+    names = ("source_ref", "fact_value", "observed_at", "confidence", *carry)
+    own = F.struct(precedence().alias("p"), *[F.col(c) for c in names])
+    before = lambda a, b: F.when(a.p < b.p, -1).when(a.p > b.p, 1).otherwise(0)
+    rows = facts.groupBy(*by, "fact_key").agg(F.array_sort(F.collect_list(own), before).alias("evidence"))
     line = lambda e: F.concat(
-        e.fact_value, F.lit(" from "), e.source_ref, F.lit(" ("), F.coalesce(e.observed_at.cast("date").cast("string"), F.lit("undated")),
-        F.lit(", confidence "), e.confidence.cast("string"), F.lit(")"),
+        e.fact_value, F.lit(" in "), e.source_ref, F.lit(" of "), F.coalesce(e.observed_at.cast("date").cast("string"), F.lit("no date")),
+        F.lit(", trust "), e.confidence.cast("string"),
     )
-    return rows.withColumn("listing", F.array_join(F.transform("evidence", line), "; "))
+    return rows.withColumns({
+        "n_rows": F.size("evidence").cast("long"),
+        "n_values": F.size(F.array_distinct(F.transform("evidence", lambda e: comparable(e.fact_value)))).cast("long"),
+        "winner_ref": F.col("evidence")[0].source_ref, "winner_value": F.col("evidence")[0].fact_value,
+        "listing": F.array_join(F.transform("evidence", line), "; "),
+    })
+
+
+def duplicate_message() -> Column:
+    return F.concat(F.col("n_rows").cast("string"), F.lit(" sources agree that "), "fact_key", F.lit(" is "), "winner_value")
+
+
+def conflict_message() -> Column:
+    return F.concat(F.col("n_values").cast("string"), F.lit(" values are given for "), "fact_key", F.lit(": "), "listing")
 
 
 def duplicates(facts: DataFrame, *by: str) -> DataFrame:
     """Keys that several rows report with one value."""
-    found = audit(facts, *by).where("n_rows > 1 AND n_values = 1")
-    return found.withColumn("message", F.concat("fact_key", F.lit(" = "), "winner_value", F.lit(" is reported by "), F.col("n_rows").cast("string"), F.lit(" sources.")))
+    return audit(facts, *by).where("n_rows > 1 AND n_values = 1").withColumn("message", duplicate_message())
 
 
 def conflicts(facts: DataFrame, *by: str) -> DataFrame:
     """Keys with more than one value: the winner, and all values in a message."""
-    found = audit(facts, *by).where("n_values > 1").join(evidence(facts, *by), [*by, "fact_key"])
-    return found.withColumn("message", F.concat("fact_key", F.lit(" has "), F.col("n_values").cast("string"), F.lit(" different values: "), "listing", F.lit(".")))
+    return evidence(facts, *by).where("n_values > 1").withColumn("message", conflict_message())
 
 
 def without_repeats(hits: DataFrame) -> DataFrame:
@@ -62,3 +79,36 @@ def without_repeats(hits: DataFrame) -> DataFrame:
     by_key = Window.partitionBy("task_id", F.coalesce("fact_key", "content_hash")).orderBy("rank")
     by_hash = Window.partitionBy("task_id", "content_hash").orderBy("rank")
     return hits.withColumns({"of_key": F.row_number().over(by_key), "of_hash": F.row_number().over(by_hash)}).where("of_key = 1 AND of_hash = 1").drop("of_key", "of_hash")
+
+
+#: What an item brings into a package beside its key and value.
+ITEM = ("source", "doc_id", "kind", "title", "content", "fields", "timestamp_precision", "scope", "content_hash")
+
+
+def reconcile(relevant: DataFrame, groups: DataFrame) -> DataFrame:
+    """Candidates (task_id, rank, score, why, evidence, warning and the item columns) of relevant hits, in rank order.
+
+    `groups` are the rows of `group_of_hits`. A fact comes as the winner of its group, with the score and the reasons of the hit
+    that found it, all rows of the group as evidence, and a warning (kind, message, refs, resolution) if they agree or differ.
+    """
+    of = evidence(groups, "task_id", carry=ITEM).withColumnsRenamed({"fact_key": "group_key", "task_id": "group_task"})
+    own = F.struct("source_ref", "fact_value", "observed_at", "confidence", *ITEM)
+    rows = without_repeats(relevant).withColumn("own", own)
+    joined = rows.select("task_id", "rank", "score", "why", "fact_key", "own").join(of, (F.col("fact_key") == F.col("group_key")) & (F.col("task_id") == F.col("group_task")), "left")
+    alone = F.array(F.col("own"))
+    every = F.coalesce(F.transform("evidence", lambda e: F.struct(*[e[c].alias(c) for c in ("source_ref", "fact_value", "observed_at", "confidence", *ITEM)])), alone)
+    agreed, differ = (F.col("n_rows") > 1) & (F.col("n_values") == 1), F.col("n_values") > 1
+    reason = F.when(agreed, F.concat(F.lit("confirmed by "), F.col("n_rows").cast("string"), F.lit(" sources")))
+    reason = reason.when(differ, F.concat(F.lit("chosen over "), (F.col("n_values") - 1).cast("string"), F.lit(" other value(s): newest, then most trusted")))
+    refs = F.transform("evidence", lambda e: e.source_ref)
+
+    def warning(kind: str, message: Column, resolution: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), message.alias("message"), refs.alias("refs"), resolution.alias("resolution"))
+
+    kept = F.concat(F.lit("The value "), "winner_value", F.lit(" of "), "winner_ref", F.lit(" stands; the others are cited for disclosure."))
+    warned = F.when(agreed, warning("duplicate", duplicate_message(), F.lit("One item stands for all of them and cites each."))).when(differ, warning("conflict", conflict_message(), kept))
+    found = joined.withColumn("winner", every[0]).select(
+        "task_id", "rank", "score", F.when(reason.isNotNull(), F.concat("why", F.array(reason))).otherwise(F.col("why")).alias("why"),
+        every.alias("evidence"), warned.alias("warning"), "fact_key", *[F.col(f"winner.{c}").alias(c) for c in ("source_ref", "fact_value", "observed_at", "confidence", *ITEM)],
+    )
+    return found

@@ -70,13 +70,13 @@ def percent(share: Column) -> Column:
 
 def reasons(ranks: Column, coverage: Column, matched: Column, rerank_score: Column, note: Column, period: Column) -> Column:
     """Why a hit is there: its rank by channel, what it covers, its rerank score, its note, its period."""
-    covers = F.concat(F.lit(", covers "), percent(coverage), F.lit(" of the task's term weight: "), F.array_join(F.slice(matched, 1, 6), ", "))
+    covers = F.concat(F.lit(", covers "), percent(coverage), F.lit(" of what the task asks: "), F.array_join(F.slice(matched, 1, 6), ", "))
     lines = []
     for channel, (kind, label) in CHANNELS.items():
         rank = F.element_at(ranks, F.lit(channel))
         line = F.concat(F.lit(f"{label} rank "), rank.cast("string"))
         lines.append(F.when(rank.isNotNull(), F.concat(line, covers) if kind == "text" else line))
-    lines.append(F.concat(F.lit("LLM reranker score "), F.round(rerank_score, 0).cast("int").cast("string"), F.lit("/10")))
-    lines.append(F.concat(F.lit("indexed with context note: "), F.substring(note, 1, 120)))
-    lines.append(F.concat(F.lit("structured fact for "), period, F.lit(", compact and directly quotable")))
+    lines.append(F.concat(F.lit("reranked at "), F.round(rerank_score, 0).cast("int").cast("string"), F.lit(" of 10")))
+    lines.append(F.concat(F.lit("found with the note: "), F.substring(note, 1, 120)))
+    lines.append(F.concat(F.lit("a fact of "), period))
     return F.filter(F.array(*lines), lambda x: x.isNotNull())

@@ -51,7 +51,7 @@ def link_records(chosen: DataFrame, records: DataFrame, tasks: DataFrame, s: Set
     found = wanted.join(side, "record_ref", "left").join(tasks.select("task_id", "budget_tokens", "scopes"), "task_id")
     usable = F.when(F.array_contains("scopes", F.col("record_scope")), F.col("record_ref"))
     lists = found.groupBy("task_id", "budget_tokens").agg(
-        F.array_sort(F.collect_list(F.struct("n", usable.alias("ref"), "cost"))).alias("own"), F.collect_list("source_ref").alias("have"),
+        F.array_sort(F.collect_list(F.struct("n", usable.alias("ref"), "cost"))).alias("own"), F.collect_set("source_ref").alias("have"),
         F.max("used").alias("used"), F.count(F.lit(1)).cast("int").alias("held"),
     )
     start = F.struct(F.col("used"), F.col("held").alias("n"), F.col("have"), F.array().alias("out")).cast(LINK)

@@ -1,16 +1,16 @@
-"""The driver's tables as the library's inputs: items, tasks, facts, messages and records."""
-
-from functools import reduce
-from operator import or_
+"""The driver's tables as the library's inputs: the item store of all sources, tasks, facts, messages and records."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evipack.functions import text as tx
-from evipack.operators import facts as fc
-from evipack.operators import fusion, lexical, package, packing
+from evipack.operators import hooks, incremental, lexical, vectors
+from evipack.plans import resolve as rs
+from evipack.schema import DEFAULTS
+from evipack.sources import normalize
+from evipack.stored import stored
 
 AS_OF = "2024-07-01 00:00:00"
+ENTITY = "the company"
 #: Boilerplate of this corpus: its license sentences.
 RULES = [
     r"Released under the MIT License\.",
@@ -28,81 +28,154 @@ def _by_third(n, values):
     return F.when(n % 3 == 0, values[0]).when(n % 3 == 1, values[1]).otherwise(values[2])
 
 
+def documents(spark, sf_dir) -> DataFrame:
+    """(doc_id, text): documents that begin with a day, a month, a year or no date at all, by id."""
+    d = F.timestamp_add("DAY", (F.col("doc_id") % 1000).cast("int"), F.lit("2022-01-01 00:00:00").cast("timestamp_ntz"))
+    k = F.col("doc_id") % 4
+    dated = (
+        F.when(k == 0, F.concat(F.lit("Bonn, "), F.date_format(d, "MMMM d, yyyy"), F.lit(". ")))
+        .when(k == 1, F.concat(F.lit("In "), F.date_format(d, "MMMM yyyy"), F.lit(" it was reported. ")))
+        .when(k == 2, F.concat(F.lit("The year "), F.date_format(d, "yyyy"), F.lit(" in review. ")))
+        .otherwise("")
+    )
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(dated, F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def records(spark, sf_dir) -> DataFrame:
+    """Labels as records of their documents."""
+    quality, toxic = (F.concat(F.lit(f"{name} "), F.col(column).cast("string")) for name, column in (("quality", "quality"), ("toxicity", "toxic")))
+    none = F.array().cast("array<string>")
+    return table(spark, sf_dir, "labels").select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("Document "), "doc_id", F.lit(" rated")).alias("title"), F.concat(F.lit("It has "), quality, F.lit(" and "), toxic, F.lit(".")).alias("summary"),
+        F.array(quality, toxic).alias("key_metrics"), F.array(F.lit("Rating desk")).alias("organizations_norm"), F.lit(None).cast("array<string>").alias("people"), none.alias("technologies"),
+    )
+
+
 def items(spark, sf_dir) -> DataFrame:
-    """Documents as items: titled by their source, scope by id, dated day by day."""
-    day = F.timestamp_add("DAY", (F.col("doc_id") % 1000).cast("int"), F.lit("2022-01-01 00:00:00").cast("timestamp_ntz"))
-    rows = table(spark, sf_dir, "documents").select(
-        F.concat(F.lit("press_release/"), F.col("doc_id")).alias("source_ref"), F.lit("press_release").alias("source"),
-        F.col("doc_id").cast("string").alias("doc_id"), F.lit("unstructured").alias("kind"), F.coalesce("source", F.lit("")).alias("title"),
-        F.coalesce("text", F.lit("")).alias("content"), _by_third(F.col("doc_id"), ("public", "internal", "private")).alias("scope"),
-        day.alias("observed_at"), F.lit("day").alias("timestamp_precision"), F.lit(0.9).alias("confidence"),
+    """The item store, stored: chunks of documents, records, facts of results tables, messages and the facts they tag."""
+    docs, recs, messages = documents(spark, sf_dir), records(spark, sf_dir), notes(spark, sf_dir)
+    rows = normalize.all_items(
+        normalize.press_releases(docs, recs.select("doc_id", "title"), RULES), normalize.records(recs, docs), normalize.financial_facts(table_texts(spark, sf_dir), ENTITY),
+        normalize.internal_notes(messages), normalize.note_facts(messages, ENTITY),
     )
-    return rows.withColumn("content_hash", tx.content_hash(*[F.col(c) for c in ("title", "content", "observed_at", "timestamp_precision", "scope", "confidence")]))
+    return stored(rows, "items")
+
+
+def conversation(conv_id):
+    return F.concat(F.lit("conv"), F.lpad(conv_id.cast("string"), 5, "0"))
 
 
 def tasks(spark, sf_dir) -> DataFrame:
-    """Benchmark passages as tasks, with scopes and budgets by id."""
+    """Benchmark passages, and questions about each conversation and a year, as tasks with scopes and budgets by id."""
     scopes = [F.array(*[F.lit(s) for s in ("public", "internal", "private")[:k]]) for k in (1, 2, 3)]
-    return table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("task_id"), F.coalesce("text", F.lit("")).alias("task"), _by_third(F.col("item_id"), scopes).alias("scopes"),
-        (300 + (F.col("item_id") * 97) % 3000).cast("int").alias("budget_tokens"), F.lit(AS_OF).cast("timestamp_ntz").alias("as_of"),
-    )
+    passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("task_id"), F.coalesce("text", F.lit("")).alias("task"))
+    conv = F.col("conv_id")
+    asked = F.concat(conversation(conv), F.when(conv % 3 == 1, " FY2023").when(conv % 3 == 2, " fy2030").otherwise(""))
+    talks = table(spark, sf_dir, "conversations").select("conv_id").distinct().select((conv + 1_000_000).alias("task_id"), asked.alias("task"))
+    return passages.unionByName(talks).select(
+        "task_id", "task", _by_third(F.col("task_id"), scopes).alias("scopes"), (300 + (F.col("task_id") * 97) % 3000).cast("int").alias("budget_tokens"), F.lit(AS_OF).cast("timestamp_ntz").alias("as_of")
+    )
 
 
-def found(spark, sf_dir) -> DataFrame:
-    posts = lexical.postings(items(spark, sf_dir))
-    return lexical.matches(posts, lexical.task_terms(tasks(spark, sf_dir), lexical.idf(items(spark, sf_dir), posts)))
+def found(spark, sf_dir, store: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """Matches of all tasks, stored, as the loose list, the strict one and the coverage of hits all come from them."""
+    store = items(spark, sf_dir) if store is None else store
+    asked = tasks(spark, sf_dir) if asked is None else asked
+    posts = stored(lexical.postings(store), "postings")
+    return stored(lexical.matches(posts, lexical.task_terms(asked, lexical.idf(store, posts))), "matches")
 
 
 def lists(spark, sf_dir) -> DataFrame:
     """The loose list (0) and the strict one (1) of every task."""
-    matched = found(spark, sf_dir)
-    loose, strict = (
-        rows.select("task_id", "source_ref", F.lit("lexical").alias("channel"), F.lit(k).alias("list_no"), "rank", "coverage", "matched")
-        for k, rows in enumerate((lexical.loose_list(matched), lexical.strict_list(matched)))
-    )
-    return loose.unionByName(strict)
+    return rs.text_lists(found(spark, sf_dir), "lexical", 0)
 
 
-#: Configurations to compare: a name and the lists that are fused.
-CONFIGURATIONS = (("loose", (0,)), ("strict", (1,)), ("both", (0, 1)))
+def hits(spark, sf_dir) -> DataFrame:
+    store = items(spark, sf_dir)
+    matched = found(spark, sf_dir, store)
+    return rs.hits_of(tasks(spark, sf_dir), store, rs.text_lists(matched, "lexical", 0), matched)
 
 
-def configured(rows: DataFrame) -> DataFrame:
-    """Each row once per configuration (its number in `config`), with a task id of its own for each."""
-    n = len(CONFIGURATIONS)
-    each = rows.withColumn("config", F.explode(F.array(*[F.lit(k) for k in range(n)])))
-    return each.withColumn("task_id", F.col("task_id") * n + F.col("config"))
+def resolved(spark, sf_dir) -> rs.Package:
+    """Packages of all tasks from the lexical channel."""
+    store, asked = items(spark, sf_dir), stored(tasks(spark, sf_dir), "tasks")
+    matched = found(spark, sf_dir, store, asked)
+    return rs.resolve(asked, store, rs.hits_of(asked, store, rs.text_lists(matched, "lexical", 0), matched))
+
+
+# ---- several channels -------------------------------------------------------------------------------------------
+
+CHANNELS = ("lexical", "dense", "lexical_ctx", "dense_ctx")
+#: Configurations to compare: a name, the channels that are fused, and whether their hits are reranked.
+CONFIGURATIONS = (
+    ("lexical", ("lexical",), False), ("lexical, dense", ("lexical", "dense"), False), ("lexical, dense, reranked", ("lexical", "dense"), True),
+    ("contextual", ("lexical_ctx", "dense_ctx"), False), ("contextual, reranked", ("lexical_ctx", "dense_ctx"), True),
+)
+
+
+def with_vectors(spark, sf_dir, store: DataFrame) -> DataFrame:
+    """The store with notes and vectors: a chunk's note is its document's first sentence; the first chunk of document d has the
+    embedding of that number, and with its note that of d + 1, which falls back to the plain one."""
+    notes_of = hooks.write_notes(documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_hash"), F.col("text").alias("document"), F.lit("").alias("chunk")))
+    notes_of = notes_of.select(F.col("chunk_hash").alias("noted"), F.col("note").alias("context_note"))
+    rows = store.join(notes_of, (F.col("source") == "press_release") & (F.col("doc_id") == F.col("noted")), "left").drop("noted")
+    side = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    number = F.when((F.col("source") == "press_release") & F.col("source_ref").endswith("#0"), F.col("doc_id").try_cast("long"))
+    rows = rows.withColumns({"number": number, "next_number": number + 1})
+    rows = rows.join(side.withColumnRenamed("vec_id", "number"), "number", "left")
+    rows = rows.join(side.select(F.col("vec_id").alias("next_number"), F.col("embedding").alias("embedding_ctx")), "next_number", "left")
+    return incremental.with_fallback_vector(rows.drop("number", "next_number").withColumn("embedding_ctx", F.when(F.col("embedding").isNotNull(), F.col("embedding_ctx"))))
 
 
-def configured_lists(spark, sf_dir) -> DataFrame:
-    chosen = [(F.col("config") == k) & F.col("list_no").isin(*own) for k, (_, own) in enumerate(CONFIGURATIONS)]
-    return configured(lists(spark, sf_dir)).where(reduce(or_, chosen)).drop("config")
+def asked_vectors(spark, sf_dir, asked: DataFrame) -> DataFrame:
+    """Tasks with the embedding of their number, where there is one."""
+    side = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("task_id"), "embedding")
+    return asked.join(side, "task_id")
 
 
-def hits(spark, sf_dir, ranked: DataFrame | None = None) -> DataFrame:
-    """Fused lexical hits with coverage, matched terms and the items' columns; `ranked` stands for all lists."""
-    fused = fusion.fuse(lists(spark, sf_dir) if ranked is None else ranked, carry=("coverage", "matched"))
-    return fused.join(items(spark, sf_dir), "source_ref")
+def vector_list(asked: DataFrame, store: DataFrame, column: str, channel: str, number: int) -> DataFrame:
+    queries = asked.select(F.col("task_id").cast("string").alias("source_ref"), F.col("embedding").alias(column), "scopes")
+    top = vectors.cosine_top_k(queries, store, DEFAULTS.top_k, "source_ref", column, query_scopes="scopes", item_scope="scope")
+    return top.select(F.col("query_id").cast("long").alias("task_id"), F.col("item_id").alias("source_ref"), F.lit(channel).alias("channel"), F.lit(number).alias("list_no"), "rank")
 
 
-def candidates(spark, sf_dir, ranked: DataFrame | None = None) -> DataFrame:
-    kept = hits(spark, sf_dir, ranked).where(fusion.relevant(F.lit(None).cast("double"), F.col("coverage"), F.col("ranks")))
-    rows = kept.withColumns({"fact_key": F.lit(None).cast("string"), "fields": F.lit(None).cast("map<string,string>")})
-    return fc.without_repeats(rows)
+def channel_lists(spark, sf_dir, store: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lists of all channels (0, 1 lexical; 2 dense; 3, 4 lexical with notes; 5 dense with notes) and the plain matches."""
+    noted = store.withColumn("content", F.concat_ws(" ", "context_note", "content"))
+    plain, contextual = found(spark, sf_dir, store, asked), found(spark, sf_dir, noted, asked)
+    vectored = asked_vectors(spark, sf_dir, asked)
+    every = rs.text_lists(plain, "lexical", 0).unionByName(rs.text_lists(contextual, "lexical_ctx", 3))
+    every = every.unionByName(vector_list(vectored, store, "embedding", "dense", 2)).unionByName(vector_list(vectored, store, "embedding_ctx", "dense_ctx", 5))
+    return stored(every, "channel-lists"), plain
+
+
+def configured(rows: DataFrame) -> DataFrame:
+    """Each row once per configuration (its number in `config`), with a task id of its own for each."""
+    n = len(CONFIGURATIONS)
+    each = rows.withColumn("config", F.explode(F.array(*[F.lit(k) for k in range(n)])))
+    return each.withColumn("task_id", F.col("task_id") * n + F.col("config"))
 
 
-def packed(spark, sf_dir, ranked: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
-    """Chosen items with n, used and all columns; `ranked` and `asked` stand for all lists and tasks."""
-    cands = candidates(spark, sf_dir, ranked)
-    taken = packing.pack(cands, tasks(spark, sf_dir) if asked is None else asked)
-    return cands.join(taken, ["task_id", "rank"])
+def scored(fused: DataFrame) -> DataFrame:
+    """Scores 0 to 10 by task and item, with gaps; a stand-in for a model, kept in SQL's reach."""
+    size = F.length("source_ref")
+    return fused.where(size % 4 != 0).select("task_id", "source_ref", ((F.col("task_id") + size) % 11).cast("double").alias("rerank_score"))
 
 
-def package_items(spark, sf_dir, ranked: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
-    none = F.lit(None)
-    why = fusion.reasons(F.col("ranks"), F.col("coverage"), F.col("matched"), none.cast("double"), none.cast("string"), none.cast("string"))
-    return package.package_items(packed(spark, sf_dir, ranked, asked).withColumn("why", why), tasks(spark, sf_dir) if asked is None else asked)
+def compared(spark, sf_dir) -> tuple[rs.Package, DataFrame]:
+    """Packages of every configuration, all in one plan: a task of each configuration is a task of its own."""
+    store = stored(with_vectors(spark, sf_dir, items(spark, sf_dir)), "items-vectors")
+    asked = stored(tasks(spark, sf_dir), "tasks")
+    every, plain = channel_lists(spark, sf_dir, store, asked)
+    wanted = F.lit(False)
+    for k, (_, channels, _) in enumerate(CONFIGURATIONS):
+        wanted = wanted | ((F.col("config") == k) & F.col("channel").isin(*channels))
+    ranked = stored(configured(every).where(wanted).drop("config"), "configured-lists")
+    each = stored(configured(asked).drop("config"), "configured-tasks")
+    reranked = [k for k, (_, _, rerank) in enumerate(CONFIGURATIONS) if rerank]
+    scores = scored(ranked.where((F.col("task_id") % len(CONFIGURATIONS)).isin(*reranked)).select("task_id", "source_ref").distinct())
+    covered = configured(plain).drop("config")
+    return rs.resolve(each, store, rs.hits_of(each, store, ranked, covered, scores)), each
 
 
 def facts(spark, sf_dir, agreeing: bool = False) -> DataFrame:
@@ -117,12 +190,15 @@ def facts(spark, sf_dir, agreeing: bool = False) -> DataFrame:
 
 
 def notes(spark, sf_dir) -> DataFrame:
-    """Conversation turns as messages that tag two facts each."""
-    day = F.timestamp_add("HOUR", (F.col("conv_id") % 1000).cast("int"), F.lit("2023-01-01 00:00:00").cast("timestamp_ntz"))
-    ident = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    tagged = F.array(*[F.struct(F.concat(F.lit(f"{m}|FY "), (2018 + F.col("turn") % 8).cast("string")).alias("key"), (F.length(F.coalesce("text", F.lit(""))) + k).cast("string").alias("value")) for k, m in enumerate(("Length", "Length plus one"))])
+    """Conversation turns as messages that tag two facts each: a length, on which the turns of a year differ, and a status, on
+    which they agree."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    sent = F.timestamp_add("HOUR", (conv % 1000 + 24 * turn).cast("int"), F.lit("2023-01-01 00:00:00").cast("timestamp_ntz"))
+    ident, author = F.concat_ws("-", conv.cast("string"), turn.cast("string")), conversation(conv)
+    values = {"length": F.length(F.coalesce("text", F.lit(""))).cast("string"), "status": F.lit("open")}
+    tagged = F.array(*[F.struct(F.concat(author, F.lit(f" {m}|FY "), (2022 + turn % 2).cast("string")).alias("key"), v.alias("value")) for m, v in values.items()])
     return table(spark, sf_dir, "conversations").select(
-        ident.alias("id"), F.coalesce("role", F.lit("none")).alias("channel"), F.concat(F.lit("c"), F.col("conv_id")).alias("author"), day.alias("sent_at"),
+        ident.alias("id"), F.coalesce("role", F.lit("none")).alias("channel"), author.alias("author"), sent.alias("sent_at"),
         F.when(F.col("role") == "user", "public").when(F.col("role") == "assistant", "internal").otherwise("private").alias("scope"),
         F.coalesce("text", F.lit("")).alias("text"), tagged.alias("facts"),
     )
@@ -137,5 +213,5 @@ def table_texts(spark, sf_dir) -> DataFrame:
     )
     line = F.concat_ws("\n", "p_brand", F.concat(F.col("even").cast("string"), F.lit(".0")), F.concat(F.col("odd").cast("string"), F.lit(".0")), F.lit("5.0"))
     body = sums.groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("p_brand", line.alias("line")))).alias("own"))
-    head = F.lit("Results of the year.\nFY 2000\nFY 2001\nChange\n%\nmillions of €\n")
-    return body.select(F.col("s_nationkey").cast("string").alias("doc_id"), F.concat(head, F.array_join(F.transform("own", lambda x: x.line), "\n")).alias("text"))
+    head = F.lit("Results for Q4 2001.\nFY 2000\nFY 2001\nChange\n%\nmillions of €\n")
+    return body.select(F.concat(F.lit("n"), F.col("s_nationkey")).alias("doc_id"), F.concat(head, F.array_join(F.transform("own", lambda x: x.line), "\n")).alias("text"))

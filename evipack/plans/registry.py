@@ -4,11 +4,15 @@ from pyspark.sql import functions as F
 
 from evipack.functions import dates, tables
 from evipack.functions import text as tx
-from evipack.operators import evaluate, fusion, incremental, lexical, package, packing, vectors
+from evipack.operators import evaluate, fusion, hooks, incremental, lexical, package, vectors
 from evipack.operators import facts as fc
 from evipack.plans import corpus
+from evipack.plans import resolve as rs
 from evipack.schema import DEFAULTS
-from evipack.sources import normalize
+from evipack.sources import normalize, readers
+from evipack.sources import store as item_store
+from evipack.stored import fresh_path, stored
+from evipack.streaming import streams
 from evipack.streaming.streams import window_metrics
 
 QUERIES: dict = {}
@@ -43,50 +47,136 @@ def sql_third(n: str, a: str, b: str, c: str) -> str:
     return f"CASE {n} % 3 WHEN 0 THEN {a} WHEN 1 THEN {b} ELSE {c} END"
 
 
-ITEMS = f"""items AS (SELECT 'press_release/' || doc_id AS source_ref, doc_id::VARCHAR AS doc_id, coalesce(source, '') AS title, coalesce(text, '') AS content,
-  {sql_third("doc_id", "'public'", "'internal'", "'private'")} AS scope, TIMESTAMP '2022-01-01' + to_days((doc_id % 1000)::INT) AS observed_at FROM documents),
-hashed AS (SELECT *, sha256(title || '|' || content || '|' || strftime(observed_at, '%Y-%m-%d %H:%M:%S') || '|day|' || scope || '|0.9') AS content_hash FROM items),
-tasks AS (SELECT item_id AS task_id, coalesce(text, '') AS task, {sql_third("item_id", "['public']", "['public', 'internal']", "['public', 'internal', 'private']")} AS scopes,
-  (300 + (item_id * 97) % 3000)::INT AS budget_tokens FROM benchmark)"""
-POSTS = f"""{ITEMS},
-posts AS (SELECT source_ref, scope, n_terms, term, count(*) AS tf FROM (SELECT source_ref, scope, len(ts) AS n_terms, unnest(ts) AS term
-  FROM (SELECT source_ref, scope, {sql_terms("title || ' ' || content")} AS ts FROM items)) GROUP BY ALL),
-weights AS (SELECT term, count(*) AS df, ln((SELECT count(*) FROM items)::DOUBLE / count(*)) AS weight FROM posts GROUP BY term)"""
-FOUND = f"""{POSTS},
-tt AS (SELECT task_id, scopes, term, coalesce(weight, (SELECT max(weight) FROM weights)) AS w FROM (SELECT DISTINCT task_id, scopes, unnest({sql_terms("task")}) AS term FROM tasks) LEFT JOIN weights USING (term)),
-tt2 AS (SELECT *, count(*) OVER (PARTITION BY task_id) AS n_tt, sum(w) OVER (PARTITION BY task_id) AS total FROM tt),
-found AS (SELECT task_id, source_ref, round(CASE WHEN any_value(total) > 0 THEN sum(w) / any_value(total) ELSE 0 END, 9) AS coverage,
+def _nested(x: str) -> str:
+    for rule in corpus.RULES:
+        x = f"regexp_replace({x}, '{rule}', ' ', 'g')"
+    return f"regexp_replace({x}, '[ \\t]+', ' ', 'g')"
+
+
+def sql_chunks(name: str, docs: str) -> str:
+    """Chunks (doc_id, chunk_no, content) of `docs` (doc_id, text), as the greedy packing of stripped lines."""
+    return f"""{name}_paras AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM
+  (SELECT doc_id, i, regexp_replace(s[i], {_BLANK}, '', 'g') AS p FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM {docs}))) WHERE p <> ''),
+{name}_walk AS (SELECT doc_id, n, 0::BIGINT AS chunk_no, p AS cur FROM {name}_paras WHERE n = 1 UNION ALL
+  SELECT w.doc_id, q.n, CASE WHEN length(w.cur) + length(q.p) > 1400 THEN w.chunk_no + 1 ELSE w.chunk_no END,
+    CASE WHEN length(w.cur) + length(q.p) > 1400 THEN q.p ELSE w.cur || chr(10) || q.p END FROM {name}_walk w JOIN {name}_paras q ON q.doc_id = w.doc_id AND q.n = w.n + 1),
+{name} AS (SELECT doc_id, chunk_no, arg_max(cur, n) AS content FROM {name}_walk GROUP BY doc_id, chunk_no)"""
+
+
+DOCS = """docs AS (SELECT doc_id::VARCHAR AS doc_id, k, CASE k WHEN 0 THEN 'Bonn, ' || strftime(d, '%B %-d, %Y') || '. ' WHEN 1 THEN 'In ' || strftime(d, '%B %Y') || ' it was reported. '
+    WHEN 2 THEN 'The year ' || year(d) || ' in review. ' ELSE '' END || body AS text,
+  CASE k WHEN 0 THEN d WHEN 1 THEN date_trunc('month', d)::TIMESTAMP WHEN 2 THEN make_timestamp(year(d), 7, 1, 0, 0, 0) END AS observed_at, ['day', 'month', 'year', 'unknown'][k + 1] AS precision
+  FROM (SELECT doc_id, doc_id % 4 AS k, TIMESTAMP '2022-01-01' + to_days((doc_id % 1000)::INT) AS d, coalesce(text, '') AS body FROM documents))"""
+RECORDS = """recs AS (SELECT doc_id::VARCHAR AS doc_id, 'Document ' || doc_id || ' rated' AS title, 'quality ' || quality AS q, 'toxicity ' || toxic AS t FROM labels)"""
+NOTES = """notes AS (SELECT conv_id || '-' || turn AS id, coalesce(role, 'none') AS channel, 'conv' || lpad(conv_id::VARCHAR, 5, '0') AS author, TIMESTAMP '2023-01-01' + to_hours((conv_id % 1000 + 24 * turn)::INT) AS sent_at,
+  CASE role WHEN 'user' THEN 'public' WHEN 'assistant' THEN 'internal' ELSE 'private' END AS scope, coalesce(text, '') AS text, 'FY ' || (2022 + turn % 2) AS period FROM conversations),
+tagged AS (SELECT *, 0 AS j, author || ' length' AS metric, length(text)::VARCHAR AS v FROM notes UNION ALL SELECT *, 1, author || ' status', 'open' FROM notes)"""
+SUMS = """sums AS (SELECT s_nationkey, p_brand, sum(CASE WHEN year(l_shipdate) % 2 = 0 THEN l_quantity ELSE 0 END)::BIGINT AS even, sum(CASE WHEN year(l_shipdate) % 2 = 1 THEN l_quantity ELSE 0 END)::BIGINT AS odd
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY s_nationkey, p_brand),
+cells AS (SELECT 'n' || s_nationkey AS doc_id, p_brand AS metric, 'FY 2000' AS period, even || '.0' AS value FROM sums UNION ALL SELECT 'n' || s_nationkey, p_brand, 'FY 2001', odd || '.0' FROM sums)"""
+#: Every source as items, one after the other.
+ITEMS = f"""{DOCS}, {RECORDS}, {NOTES}, {SUMS},
+cleaned AS (SELECT doc_id, {_nested("text")} AS text FROM docs), {sql_chunks("chunks", "cleaned")},
+bare AS (
+  SELECT 'press_release' AS source, 'press_release/' || c.doc_id || '#' || chunk_no AS source_ref, c.doc_id, 'unstructured' AS kind, coalesce(r.title, 'Press release ' || c.doc_id) AS title, content,
+    NULL::VARCHAR AS period, NULL::VARCHAR AS value, NULL::VARCHAR AS fact_key, observed_at, precision, 'public' AS scope, 0.9::DOUBLE AS confidence FROM chunks c JOIN docs USING (doc_id) LEFT JOIN recs r ON r.doc_id = c.doc_id
+  UNION ALL SELECT 'record', 'record/' || r.doc_id, r.doc_id, 'structured', title, title || '. It has ' || q || ' and ' || t || '. Key metrics: ' || q || '; ' || t || '. Organizations: Rating desk.',
+    NULL, NULL, NULL, observed_at, coalesce(precision, 'unknown'), 'public', 0.75 FROM recs r LEFT JOIN docs d ON d.doc_id = r.doc_id
+  UNION ALL SELECT 'financial_fact', 'financial_fact/' || doc_id || ':' || metric || '|' || period, doc_id, 'structured', metric || ', ' || period,
+    'In the company''s results for Q4 2001 (document ' || doc_id || '), ' || metric || ' of ' || period || ' is ' || value || ', in the table''s unit.', period, value, metric || '|' || period, TIMESTAMP '2002-02-25', 'inferred', 'public', 0.85 FROM cells
+  UNION ALL SELECT 'internal_note', 'internal_note/' || id, id, 'unstructured', author || ' in #' || channel, text, NULL, NULL, NULL, sent_at, 'day', scope, 0.6 FROM notes
+  UNION ALL SELECT 'internal_note', 'internal_note/' || id || ':fact' || j, id, 'structured', metric || ', ' || period, author || ' wrote in #' || channel || ' that the company''s ' || metric || ' of ' || period || ' is ' || v || '.',
+    period, v, metric || '|' || period, sent_at, 'day', scope, 0.6 FROM tagged),
+items AS (SELECT *, sha256(title || '|' || content || '|' || coalesce(strftime(observed_at, '%Y-%m-%d %H:%M:%S'), 'None') || '|' || precision || '|' || scope || '|' || confidence) AS content_hash FROM bare),
+tasks AS (SELECT task_id, task, {sql_third("task_id", "['public']", "['public', 'internal']", "['public', 'internal', 'private']")} AS scopes, (300 + (task_id * 97) % 3000)::INT AS budget_tokens FROM
+  (SELECT item_id AS task_id, coalesce(text, '') AS task FROM benchmark UNION ALL
+   SELECT 1000000 + conv_id, 'conv' || lpad(conv_id::VARCHAR, 5, '0') || CASE conv_id % 3 WHEN 1 THEN ' FY2023' WHEN 2 THEN ' fy2030' ELSE '' END FROM (SELECT DISTINCT conv_id FROM conversations)))"""
+
+
+def sql_found(prefix: str, items: str = "items") -> str:
+    """Postings, weights and matches of one text channel; names begin with the prefix."""
+    p = prefix
+    return f"""{p}posts AS (SELECT source_ref, scope, n_terms, term, count(*) AS tf FROM (SELECT source_ref, scope, len(ts) AS n_terms, unnest(ts) AS term
+  FROM (SELECT source_ref, scope, {sql_terms("title || ' ' || content")} AS ts FROM {items})) GROUP BY ALL),
+{p}weights AS (SELECT term, count(*) AS df, ln((SELECT count(*) FROM {items})::DOUBLE / count(*)) AS weight FROM {p}posts GROUP BY term),
+{p}tt AS (SELECT task_id, scopes, term, coalesce(weight, (SELECT max(weight) FROM {p}weights)) AS w FROM (SELECT DISTINCT task_id, scopes, unnest({sql_terms("task")}) AS term FROM tasks) LEFT JOIN {p}weights USING (term)),
+{p}tt2 AS (SELECT *, count(*) OVER (PARTITION BY task_id) AS n_tt, sum(w) OVER (PARTITION BY task_id) AS total FROM {p}tt),
+{p}found AS (SELECT task_id, source_ref, round(CASE WHEN any_value(total) > 0 THEN sum(w) / any_value(total) ELSE 0 END, 9) AS coverage,
   round(sum(tf)::DOUBLE / (1 + ln(any_value(n_terms))), 9) AS text_rank, count(*) = any_value(n_tt) AS all_terms, list_sort(list(term)) AS matched
-  FROM posts JOIN tt2 USING (term) WHERE list_contains(scopes, scope) GROUP BY task_id, source_ref),
-loose AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY coverage DESC, text_rank DESC, source_ref) AS rank FROM
-  (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY text_rank DESC, source_ref) <= 150)) WHERE rank <= 30),
-strict AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY text_rank DESC, source_ref) AS rank FROM found WHERE all_terms) WHERE rank <= 30)"""
-LISTS = "SELECT 0 AS list_no, task_id, source_ref, rank, coverage, matched FROM loose UNION ALL SELECT 1, task_id, source_ref, rank, coverage, matched FROM strict"
-
-
-def sql_hits(lists: str = LISTS) -> str:
-    return f"""{FOUND},
-lists AS ({lists}),
-fused AS (SELECT task_id, source_ref, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(rank) AS best, any_value(coverage) AS coverage, any_value(matched) AS matched,
-  min(list_no) AS l, arg_min(rank, list_no) AS lr FROM lists GROUP BY task_id, source_ref),
-hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, l, lr, source_ref) AS rank FROM fused) WHERE rank <= 30)"""
-
-
-def sql_packed(lists: str = LISTS, asked: str = "tasks") -> str:
-    return f"""{sql_hits(lists)},
-gated AS (SELECT h.*, i.* EXCLUDE (source_ref) FROM hits h JOIN hashed i USING (source_ref) WHERE coverage >= 0.3),
-cands AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY rank) AS pos, (length(content) // 4 + 1)::INT AS cost FROM
-  (SELECT * FROM gated QUALIFY row_number() OVER (PARTITION BY task_id, content_hash ORDER BY rank) = 1)),
-walk AS (SELECT task_id, 0::BIGINT AS pos, 0::INT AS used, 0::INT AS n, false AS took FROM {asked} UNION ALL
-  SELECT w.task_id, c.pos, CASE WHEN w.n < 8 AND w.used + c.cost <= t.budget_tokens THEN w.used + c.cost ELSE w.used END,
-    CASE WHEN w.n < 8 AND w.used + c.cost <= t.budget_tokens THEN w.n + 1 ELSE w.n END, w.n < 8 AND w.used + c.cost <= t.budget_tokens
-  FROM walk w JOIN {asked} t USING (task_id) JOIN cands c ON c.task_id = w.task_id AND c.pos = w.pos + 1),
-packed AS (SELECT c.*, w.n, max(w.used) OVER (PARTITION BY task_id) AS total_used FROM cands c JOIN walk w USING (task_id, pos) WHERE w.took),
-package AS (SELECT *, '[' || n || ']' AS ref, CASE WHEN floor(date_diff('second', observed_at, TIMESTAMP '2024-07-01') / 86400) <= 90 THEN 'fresh'
-  WHEN floor(date_diff('second', observed_at, TIMESTAMP '2024-07-01') / 86400) <= 365 THEN 'aging' ELSE 'stale' END AS freshness FROM packed)"""
-
-
-HITS, PACKED = sql_hits(), sql_packed()
+  FROM {p}posts JOIN {p}tt2 USING (term) WHERE list_contains(scopes, scope) GROUP BY task_id, source_ref),
+{p}loose AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY coverage DESC, text_rank DESC, source_ref) AS rank FROM
+  (SELECT * FROM {p}found QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY text_rank DESC, source_ref) <= 150)) WHERE rank <= 30),
+{p}strict AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY text_rank DESC, source_ref) AS rank FROM {p}found WHERE all_terms) WHERE rank <= 30)"""
+
+
+FOUND = f"{ITEMS}, {sql_found('')}"
+LISTS = "SELECT 'lexical' AS channel, 0 AS list_no, task_id, source_ref, rank FROM loose UNION ALL SELECT 'lexical', 1, task_id, source_ref, rank FROM strict"
+_LABELS = {"lexical": "lexical match", "lexical_ctx": "lexical match (contextual index)", "dense": "semantic match", "dense_ctx": "semantic match (contextual index)"}
+
+
+def _line(channel: str) -> str:
+    rank = f"(SELECT min(rank) FROM lists l WHERE l.task_id = c.task_id AND l.source_ref = c.source_ref AND l.channel = '{channel}')"
+    covers = " || ', covers ' || round(coverage * 100)::INT || '% of what the task asks: ' || array_to_string(matched[1:6], ', ')" if channel.startswith("lexical") else ""
+    return f"'{_LABELS[channel]} rank ' || {rank}{covers}"
+
+
+def sql_hits(lists: str = LISTS, found: str = "found", asked: str = "tasks", score: str = "NULL::DOUBLE", note: str = "NULL::VARCHAR") -> str:
+    return f"""lists AS ({lists}),
+fused AS (SELECT task_id, source_ref, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(list_no) AS l, arg_min(rank, list_no) AS lr,
+  coalesce(min(CASE WHEN channel LIKE 'dense%' THEN rank END), 999) AS dense_rank FROM lists GROUP BY task_id, source_ref),
+cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, l, lr, source_ref) AS fused_rank FROM fused) WHERE fused_rank <= 30),
+covered AS (SELECT cut.*, coalesce(f.coverage, 0) AS coverage, coalesce(f.matched, []) AS matched, {score} AS rerank_score FROM cut LEFT JOIN {found} f USING (task_id, source_ref)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY coalesce(rerank_score, -1) DESC, score DESC, fused_rank, source_ref) AS rank FROM covered),
+hits AS (SELECT c.*, i.* EXCLUDE (source_ref), list_filter([{", ".join(_line(c) for c in _LABELS)}, 'reranked at ' || round(rerank_score)::INT || ' of 10',
+  'found with the note: ' || left({note}, 120), 'a fact of ' || period], lambda x: x IS NOT NULL) AS why FROM ranked c JOIN items i USING (source_ref))"""
+
+
+_ORDER_OF_FACTS = "observed_at DESC NULLS LAST, confidence DESC, source_ref"
+
+
+def sql_packed(asked: str = "tasks") -> str:
+    """From hits to packages: reconciliation, packing, linked records, warnings."""
+    return f"""gated AS (SELECT * FROM hits WHERE CASE WHEN rerank_score IS NOT NULL THEN rerank_score >= 4 ELSE coverage >= 0.3 OR dense_rank <= 10 END),
+firsts AS (SELECT * FROM gated QUALIFY row_number() OVER (PARTITION BY task_id, coalesce(fact_key, content_hash) ORDER BY rank) = 1 AND row_number() OVER (PARTITION BY task_id, content_hash ORDER BY rank) = 1),
+grp AS (SELECT k.task_id, i.* FROM (SELECT DISTINCT task_id, fact_key FROM hits WHERE fact_key IS NOT NULL) k JOIN items i USING (fact_key) JOIN {asked} t USING (task_id) WHERE list_contains(t.scopes, i.scope)),
+grps AS (SELECT task_id, fact_key, count(*) AS n_rows, count(DISTINCT trim(replace(value, ',', ''), ' ')) AS n_values, first(source_ref ORDER BY {_ORDER_OF_FACTS}) AS winner, first(value ORDER BY {_ORDER_OF_FACTS}) AS winner_value,
+  list(source_ref ORDER BY {_ORDER_OF_FACTS}) AS refs, string_agg(value || ' in ' || source_ref || ' of ' || coalesce(strftime(observed_at, '%Y-%m-%d'), 'no date') || ', trust ' || confidence, '; ' ORDER BY {_ORDER_OF_FACTS}) AS listing FROM grp GROUP BY ALL),
+cands AS (SELECT f.task_id, f.rank, f.score, CASE WHEN n_values > 1 THEN list_append(f.why, 'chosen over ' || (n_values - 1) || ' other value(s): newest, then most trusted') WHEN n_rows > 1 THEN list_append(f.why, 'confirmed by ' || n_rows || ' sources') ELSE f.why END AS why,
+  coalesce(g.refs, [f.source_ref]) AS refs, n_rows, n_values, winner_value, listing, i.*, (length(i.content) // 4 + 1)::INT AS cost, row_number() OVER (PARTITION BY f.task_id ORDER BY f.rank) AS pos
+  FROM firsts f LEFT JOIN grps g ON g.task_id = f.task_id AND g.fact_key = f.fact_key JOIN items i ON i.source_ref = coalesce(g.winner, f.source_ref)),
+walk AS (SELECT task_id, 0::BIGINT AS pos, 0::INT AS used, 0::INT AS n, false AS took, []::VARCHAR[] AS keys FROM {asked} UNION ALL
+  SELECT w.task_id, c.pos, CASE WHEN ok THEN w.used + c.cost ELSE w.used END, CASE WHEN ok THEN w.n + 1 ELSE w.n END, ok, CASE WHEN ok THEN list_append(w.keys, c.source || '/' || c.doc_id) ELSE w.keys END
+  FROM walk w JOIN {asked} t USING (task_id) JOIN cands c ON c.task_id = w.task_id AND c.pos = w.pos + 1, LATERAL (SELECT w.n < 8 AND w.used + c.cost <= t.budget_tokens
+    AND (c.kind <> 'unstructured' OR len(list_filter(w.keys, lambda x: x = c.source || '/' || c.doc_id)) < 2) AS ok)),
+packed AS (SELECT c.*, w.n, max(w.used) OVER (PARTITION BY task_id) AS total_used, count(*) OVER (PARTITION BY task_id) AS held FROM cands c JOIN walk w USING (task_id, pos) WHERE w.took),
+wanted AS (SELECT p.task_id, p.n AS parent, p.score, t.budget_tokens, r.source_ref AS ref, (length(r.content) // 4 + 1)::INT AS cost FROM packed p JOIN {asked} t USING (task_id)
+  LEFT JOIN items r ON r.source = 'record' AND p.source IN ('press_release', 'financial_fact') AND r.doc_id = p.doc_id AND list_contains(t.scopes, r.scope)),
+linking AS (SELECT task_id, 0::BIGINT AS pos, max(total_used)::INT AS used, max(held)::INT AS n, list(source_ref) AS have, false AS took FROM packed GROUP BY task_id UNION ALL
+  SELECT g.task_id, w.parent, CASE WHEN ok THEN g.used + w.cost ELSE g.used END, CASE WHEN ok THEN g.n + 1 ELSE g.n END, CASE WHEN ok THEN list_append(g.have, w.ref) ELSE g.have END, ok
+  FROM linking g JOIN wanted w ON w.task_id = g.task_id AND w.parent = g.pos + 1, LATERAL (SELECT coalesce(w.ref IS NOT NULL AND NOT list_contains(g.have, w.ref) AND g.used + w.cost <= w.budget_tokens AND g.n < 8, false) AS ok)),
+linked AS (SELECT g.task_id, g.n, g.pos AS parent, w.ref, w.score, max(g.used) OVER (PARTITION BY g.task_id) AS used FROM linking g JOIN wanted w ON w.task_id = g.task_id AND w.parent = g.pos WHERE g.took),
+whole_set AS (SELECT task_id, n, score, why, refs, n_rows, n_values, winner_value, listing, source_ref, total_used FROM packed
+  UNION ALL SELECT task_id, n, score, ['record of the release at [' || parent || ']'], [ref], NULL, NULL, NULL, NULL, ref, used FROM linked),
+graded AS (SELECT b.*, i.* EXCLUDE (source_ref), '[' || n || ']' AS ref, CASE WHEN observed_at IS NULL THEN 'unknown' WHEN floor(date_diff('second', observed_at, TIMESTAMP '2024-07-01') / 86400) <= 90 THEN 'fresh'
+  WHEN floor(date_diff('second', observed_at, TIMESTAMP '2024-07-01') / 86400) <= 365 THEN 'aging' ELSE 'stale' END AS freshness FROM whole_set b JOIN items i USING (source_ref)),
+package AS (SELECT * EXCLUDE (why), why || ['confidence ' || confidence || ': ' || {_TRUST}, 'freshness ' || freshness || ': observed ' || coalesce(strftime(observed_at, '%Y-%m-%d') || ' (' || precision || ' precision)', 'no timestamp in source')] AS why FROM graded),
+evidence AS (SELECT task_id, n, ref, pos - 1 AS pos, i.* FROM (SELECT task_id, n, ref, refs, unnest(range(1, len(refs) + 1)) AS pos FROM package) p JOIN items i ON i.source_ref = p.refs[p.pos]),
+told AS (
+  SELECT task_id, 'conflict' AS kind, n_values || ' values are given for ' || fact_key || ': ' || listing AS message, refs, 'The value ' || winner_value || ' of ' || source_ref || ' stands; the others are cited for disclosure.' AS resolution FROM package WHERE n_values > 1
+  UNION ALL SELECT task_id, 'duplicate', n_rows || ' sources agree that ' || fact_key || ' is ' || winner_value, refs, 'One item stands for all of them and cites each.' FROM package WHERE n_values = 1 AND n_rows > 1
+  UNION ALL SELECT task_id, 'stale', count(*) || ' of the items date from more than 365 days before 2024-07-01, and the task names no year that they hold', list(source_ref), 'Use newer items first; if there are none, tell the reader how old these are.'
+    FROM package JOIN {asked} t USING (task_id) WHERE freshness = 'stale' AND NOT list_bool_or(list_transform(regexp_extract_all(t.task, '\\b20\\d\\d\\b') || ['no year'], lambda y: contains(content, y))) GROUP BY task_id
+  UNION ALL SELECT task_id, 'missing', 'Nothing within the scopes of this task was found', [], 'Say that there is no answer in the sources at hand.' FROM {asked} WHERE task_id NOT IN (SELECT task_id FROM package)
+  UNION ALL SELECT task_id, 'missing', 'No item covers ' || p || ', which the task asks about', [], 'Give no figure for that period; say that it is not available.'
+    FROM (SELECT DISTINCT task_id, regexp_replace(upper(unnest(regexp_extract_all(task, '(?i)\\b((?:Q[1-4]|FY)\\s?20\\d\\d)\\b'))), '^(Q[1-4]|FY)\\s*', '\\1 ') AS p FROM {asked}) a
+    WHERE NOT EXISTS (SELECT 1 FROM package k WHERE k.task_id = a.task_id AND (k.period IS NOT DISTINCT FROM p OR contains(k.content, p)))),
+tags AS (SELECT task_id, source_ref, arg_max(ref, n) AS tag FROM evidence GROUP BY ALL),
+warnings AS (SELECT w.task_id, kind, message, resolution, list_sort(list(DISTINCT coalesce(tag, r)) FILTER (r IS NOT NULL)) AS refs FROM (SELECT *, unnest(CASE WHEN len(refs) > 0 THEN refs ELSE [NULL] END) AS r FROM told) w LEFT JOIN tags g ON g.task_id = w.task_id AND g.source_ref = r GROUP BY ALL)"""
+
+
+_TRUST = "CASE source WHEN 'press_release' THEN 'verbatim primary text' WHEN 'record' THEN 'record extracted by an LLM from the release' WHEN 'financial_fact' THEN 'deterministic parse of a reported table' ELSE 'informal message, not verified' END"
+HITS = f"{FOUND}, {sql_hits()}"
+PACKED = f"{HITS}, {sql_packed()}"
 FACTS = f"""facts AS (SELECT 'event/' || event_id AS source_ref, user_id || '|' || event_type AS fact_key, floor(value * 100)::BIGINT::VARCHAR AS v, user_id, ts,
   CASE WHEN event_id % 3 = 0 THEN 0.85 ELSE 0.6 END::DOUBLE AS confidence, {sql_third("event_id", "'public'", "'internal'", "'private'")} AS scope FROM events)"""
 
@@ -117,23 +207,12 @@ def rejected_requests(spark, sf_dir):
 # ---- text -------------------------------------------------------------------------------------------------------
 
 
-def _nested(x: str) -> str:
-    for rule in corpus.RULES:
-        x = f"regexp_replace({x}, '{rule}', ' ', 'g')"
-    return f"regexp_replace({x}, '[ \\t]+', ' ', 'g')"
-
-
 @query(f"SELECT doc_id, {_nested('text')} AS cleaned FROM documents")
 def strip_boilerplate(spark, sf_dir):
     return corpus.table(spark, sf_dir, "documents").select("doc_id", tx.strip_boilerplate(F.col("text"), corpus.RULES).alias("cleaned"))
 
 
-@query(f"""WITH RECURSIVE paras AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM
-  (SELECT doc_id, i, regexp_replace(s[i], {_BLANK}, '', 'g') AS p FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))) WHERE p <> ''),
-walk AS (SELECT doc_id, n, 0::BIGINT AS chunk_no, p AS cur FROM paras WHERE n = 1 UNION ALL
-  SELECT w.doc_id, q.n, CASE WHEN length(w.cur) + length(q.p) > 1400 THEN w.chunk_no + 1 ELSE w.chunk_no END,
-    CASE WHEN length(w.cur) + length(q.p) > 1400 THEN q.p ELSE w.cur || chr(10) || q.p END FROM walk w JOIN paras q ON q.doc_id = w.doc_id AND q.n = w.n + 1)
-SELECT doc_id, chunk_no, arg_max(cur, n) AS content FROM walk GROUP BY doc_id, chunk_no""")
+@query(f"WITH RECURSIVE {sql_chunks('chunks', 'documents')} SELECT * FROM chunks")
 def chunk_documents(spark, sf_dir):
     rows = corpus.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.chunks(F.col("text"))).alias("chunk_no", "content"))
     return rows.withColumn("chunk_no", F.col("chunk_no").cast("long"))
@@ -201,12 +280,7 @@ def task_periods(spark, sf_dir):
 
 # ---- tables and adapters ----------------------------------------------------------------------------------------
 
-_SUMS = """sums AS (SELECT s_nationkey, p_brand, sum(CASE WHEN year(l_shipdate) % 2 = 0 THEN l_quantity ELSE 0 END)::BIGINT AS even, sum(CASE WHEN year(l_shipdate) % 2 = 1 THEN l_quantity ELSE 0 END)::BIGINT AS odd
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY s_nationkey, p_brand),
-cells AS (SELECT s_nationkey::VARCHAR AS doc_id, p_brand AS metric, 'FY 2000' AS period, even || '.0' AS value FROM sums UNION ALL SELECT s_nationkey::VARCHAR, p_brand, 'FY 2001', odd || '.0' FROM sums)"""
-
-
-@query(f"WITH {_SUMS} SELECT * FROM cells")
+@query(f"WITH {SUMS} SELECT * FROM cells")
 def parse_tables(spark, sf_dir):
     rows = corpus.table_texts(spark, sf_dir)
     found = rows.where(tables.has_table(F.col("text"))).select("doc_id", F.explode(tables.facts(F.col("text"))).alias("f"))
@@ -226,69 +300,212 @@ def record_text(spark, sf_dir):
     return rows.select(F.col("s_suppkey").cast("string").alias("doc_id"), content.alias("content"))
 
 
-_NOTES = """notes AS (SELECT conv_id || '-' || turn AS id, coalesce(role, 'none') AS channel, 'c' || conv_id AS author, TIMESTAMP '2023-01-01' + to_hours((conv_id % 1000)::INT) AS sent_at,
-  CASE role WHEN 'user' THEN 'public' WHEN 'assistant' THEN 'internal' ELSE 'private' END AS scope, coalesce(text, '') AS text, turn FROM conversations),
-note_rows AS (SELECT 'internal_note/' || id AS source_ref, '#' || channel || ' message from ' || author AS title, text AS content, sent_at AS observed_at, scope, NULL AS fact_key, NULL AS fact_value FROM notes),
-fact_rows AS (SELECT 'internal_note/' || id || ':fact' || j AS source_ref, m || ', FY ' || y AS title, 'The company ' || m || ' for FY ' || y || ': ' || v || ' (stated in a #' || channel || ' message by ' || author || ').' AS content,
-  sent_at AS observed_at, scope, m || '|FY ' || y AS fact_key, v AS fact_value FROM
-  (SELECT *, 0 AS j, 'Length' AS m, 2018 + turn % 8 AS y, length(text)::VARCHAR AS v FROM notes UNION ALL SELECT *, 1, 'Length plus one', 2018 + turn % 8, (length(text) + 1)::VARCHAR FROM notes))"""
-_STAMP = "sha256(title || '|' || content || '|' || strftime(observed_at, '%Y-%m-%d %H:%M:%S') || '|day|' || scope || '|0.6')"
+_ITEM = "source_ref, doc_id, kind, title, content, period, value AS fact_value, fact_key, observed_at, precision AS timestamp_precision, scope, confidence, content_hash"
+
+
+def _as_row(rows):
+    return rows.select("source_ref", "doc_id", "kind", "title", "content", F.element_at("fields", "period").alias("period"), "fact_value", "fact_key", "observed_at", "timestamp_precision", "scope", "confidence", "content_hash")
+
+
+def _of(source: str, facts: bool | None = None) -> str:
+    more = "" if facts is None else f" AND fact_key IS {'NOT ' if facts else ''}NULL"
+    return f"WITH RECURSIVE {ITEMS} SELECT {_ITEM} FROM items WHERE source = '{source}'{more}"
+
+
+@query(_of("press_release"))
+def press_release_items(spark, sf_dir):
+    """Dated, cleaned and chunked documents, titled by their records."""
+    recs = corpus.records(spark, sf_dir).select("doc_id", "title")
+    return _as_row(normalize.press_releases(corpus.documents(spark, sf_dir), recs, corpus.RULES))
+
 
+@query(_of("record"))
+def record_items(spark, sf_dir):
+    return _as_row(normalize.records(corpus.records(spark, sf_dir), corpus.documents(spark, sf_dir)))
 
-@query(f"WITH {_NOTES} SELECT source_ref, title, content, observed_at, scope, fact_key, fact_value, {_STAMP} AS content_hash FROM fact_rows")
+
+@query(_of("financial_fact"))
+def financial_items(spark, sf_dir):
+    return _as_row(normalize.financial_facts(corpus.table_texts(spark, sf_dir), corpus.ENTITY))
+
+
+@query(_of("internal_note", False))
+def message_items(spark, sf_dir):
+    return _as_row(normalize.internal_notes(corpus.notes(spark, sf_dir)))
+
+
+@query(_of("internal_note", True))
 def message_facts(spark, sf_dir):
-    return normalize.note_facts(corpus.notes(spark, sf_dir), "The company").select("source_ref", "title", "content", "observed_at", "scope", "fact_key", "fact_value", "content_hash")
+    return _as_row(normalize.note_facts(corpus.notes(spark, sf_dir), corpus.ENTITY))
+
+
+@query(f"WITH {DOCS} SELECT doc_id, observed_at, precision AS timestamp_precision FROM docs")
+def document_dates(spark, sf_dir):
+    return normalize.dated(corpus.documents(spark, sf_dir)).drop("text")
 
 
-@query(f"WITH {ITEMS} SELECT source_ref, content_hash, 0.9::DOUBLE AS confidence, 'verbatim primary text' AS reason FROM hashed")
+@query(f"""WITH {SUMS} SELECT 'n' || s_nationkey AS doc_id, 'Results for Q4 2001.' AS narrative, TIMESTAMP '2002-02-25' AS observed_at, 'inferred' AS timestamp_precision FROM (SELECT DISTINCT s_nationkey FROM sums)""")
+def table_narratives(spark, sf_dir):
+    """What comes before a results table, and the date that its quarter gives."""
+    texts = corpus.table_texts(spark, sf_dir)
+    return normalize.dated(texts).select("doc_id", tables.narrative(F.col("text"), F.col("text")).alias("narrative"), "observed_at", "timestamp_precision")
+
+
+@query(f"WITH RECURSIVE {ITEMS} SELECT source_ref, content_hash, confidence, {_TRUST} AS reason FROM items")
 def content_hashes(spark, sf_dir):
     rows = corpus.items(spark, sf_dir)
     return rows.select("source_ref", "content_hash", normalize.confidence(F.col("source")).alias("confidence"), normalize.confidence_reason(F.col("source")).alias("reason"))
 
 
-@query(f"""WITH {_SUMS}, {_NOTES},
-counts AS (SELECT 'financial_fact' AS source, count(*) AS n, count(DISTINCT metric || '|' || period) AS n_keys FROM cells
-  UNION ALL SELECT 'internal_note', (SELECT count(*) FROM note_rows) + (SELECT count(*) FROM fact_rows), (SELECT count(DISTINCT fact_key) FROM fact_rows))
-SELECT source, n::BIGINT AS n, n_keys::BIGINT AS n_keys FROM counts""")
+@query(f"WITH RECURSIVE {ITEMS} SELECT source, {_ITEM} FROM items")
 def all_items(spark, sf_dir):
-    notes = corpus.notes(spark, sf_dir)
-    rows = normalize.all_items(normalize.financial_facts(corpus.table_texts(spark, sf_dir), "The company"), normalize.internal_notes(notes), normalize.note_facts(notes, "The company"))
-    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("fact_key").alias("n_keys"))
+    rows = corpus.items(spark, sf_dir)
+    return rows.select("source", *[c for c in _as_row(rows).columns if c != "period"], F.element_at("fields", "period").alias("period"))
+
+
+# ---- readers and writers: the driver's rows as files of each kind, read again --------------------------------------
+
+
+@query(f"WITH {RECORDS} SELECT doc_id, title, q || ',' || t AS metrics, 'Rating desk' AS organizations FROM recs")
+def record_lines(spark, sf_dir):
+    """Records as JSON lines, each with an older line of its doc_id before it; the last one counts."""
+    rows = corpus.records(spark, sf_dir)
+    older = rows.withColumns({"title": F.lit("older"), "place": F.lit(0)})
+    path = fresh_path(spark, "records")
+    rows.withColumn("place", F.lit(1)).unionByName(older).repartition("doc_id").sortWithinPartitions("doc_id", "place").drop("place").write.json(path)
+    found = readers.read_records(spark, path)
+    return found.select("doc_id", "title", F.array_join("key_metrics", ",").alias("metrics"), F.array_join("organizations_norm", ",").alias("organizations"))
+
+
+@query(f"WITH {NOTES} SELECT id, channel, author, sent_at, scope, text, string_agg(metric || '|' || period || '=' || v, ';' ORDER BY j) AS facts FROM tagged GROUP BY ALL")
+def message_lines(spark, sf_dir):
+    """Messages as JSON lines with ISO times."""
+    path = fresh_path(spark, "messages")
+    corpus.notes(spark, sf_dir).withColumn("sent_at", F.date_format("sent_at", "yyyy-MM-dd'T'HH:mm:ss")).write.json(path)
+    joined = F.array_join(F.transform("facts", lambda x: F.concat(x.key, F.lit("="), x.value)), ";")
+    return readers.read_notes(spark, path).select("id", "channel", "author", "sent_at", "scope", "text", joined.alias("facts"))
+
+
+@query("SELECT item_id::VARCHAR AS id, text AS query, CASE item_id % 2 WHEN 0 THEN 'answer' ELSE 'refuse' END AS expected_action, item_id::VARCHAR || ',' || (item_id + 1) AS expected FROM benchmark")
+def golden_lines(spark, sf_dir):
+    rows, path, n = corpus.table(spark, sf_dir, "benchmark"), fresh_path(spark, "golden"), F.col("item_id")
+    rows.select(n.cast("string").alias("id"), F.lit("factual").alias("category"), F.col("text").alias("query"), F.when(n % 2 == 0, "answer").otherwise("refuse").alias("expected_action"), F.array(n.cast("string"), (n + 1).cast("string")).alias("expected_doc_ids")).write.json(path)
+    return readers.read_golden(spark, path).select("id", "query", "expected_action", F.array_join("expected_doc_ids", ",").alias("expected"))
+
+
+@query("SELECT doc_id::VARCHAR AS doc_id, regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') AS text FROM documents")
+def document_files(spark, sf_dir):
+    """Documents as one text file each, in many folders, read again by the name of the file."""
+    path = fresh_path(spark, "documents")
+    rows = corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    readers.write_documents(rows, path)
+    return readers.read_document_folders(spark, path).select("doc_id", F.regexp_replace("text", r"\n\z", "").alias("text"))
+
+
+@query(f"WITH RECURSIVE {ITEMS} SELECT source_ref, content_hash FROM items")
+def stored_hashes(spark, sf_dir):
+    """Items written by scope; only keys and hashes are read again."""
+    path = fresh_path(spark, "items-by-scope")
+    readers.write_items(corpus.items(spark, sf_dir), path)
+    return readers.read_hashes(spark, path)
 
 
 # ---- incremental ------------------------------------------------------------------------------------------------
 
-_KNOWN = f"""{ITEMS}, raw AS (SELECT source_ref, content_hash, doc_id::BIGINT AS d FROM hashed),
+_KNOWN = f"""{ITEMS}, raw AS (SELECT source_ref, content_hash, length(content) AS d FROM items),
 known AS (SELECT source_ref, CASE WHEN d % 7 = 0 THEN 'old' ELSE content_hash END AS content_hash FROM raw WHERE d % 10 <> 0 UNION ALL SELECT 'gone/' || c_custkey, 'old' FROM customer),
 changed AS (SELECT r.* FROM raw r LEFT JOIN known k USING (source_ref) WHERE k.content_hash IS DISTINCT FROM r.content_hash)"""
 
 
 def _store(spark, sf_dir):
-    raw = corpus.items(spark, sf_dir).select("source_ref", "content_hash", F.col("doc_id").cast("long").alias("d"))
+    raw = corpus.items(spark, sf_dir).select("source_ref", "content_hash", F.length("content").alias("d"))
     old = F.when(F.col("d") % 7 == 0, "old").otherwise(F.col("content_hash"))
     gone = corpus.table(spark, sf_dir, "customer").select(F.concat(F.lit("gone/"), F.col("c_custkey")).alias("source_ref"), F.lit("old").alias("content_hash"))
     known = raw.where("d % 10 <> 0").select("source_ref", old.alias("content_hash")).unionByName(gone)
     return raw, known
 
 
-@query(f"WITH {_KNOWN} SELECT source_ref, content_hash FROM changed")
+@query(f"WITH RECURSIVE {_KNOWN} SELECT source_ref, content_hash FROM changed")
 def find_changed(spark, sf_dir):
     return incremental.find_changed(*_store(spark, sf_dir)).select("source_ref", "content_hash")
 
 
-@query("SELECT 'gone/' || c_custkey AS source_ref FROM customer")
+@query(f"WITH RECURSIVE {_KNOWN} SELECT source_ref FROM known WHERE source_ref NOT IN (SELECT source_ref FROM raw)")
 def removed_refs(spark, sf_dir):
     return incremental.removed(*_store(spark, sf_dir))
 
 
-@query(f"WITH {_KNOWN} SELECT source_ref, content_hash FROM raw")
+@query(f"WITH RECURSIVE {_KNOWN} SELECT source_ref, content_hash FROM raw")
 def upsert_items(spark, sf_dir):
+    """Changed rows and removed keys merged into a store of buckets, of which only the touched ones are written again."""
     raw, known = _store(spark, sf_dir)
-    changed = incremental.find_changed(raw, known).select("source_ref", "content_hash")
-    return incremental.upsert(known, changed, incremental.removed(raw, known))
+    path = fresh_path(spark, "store")
+    item_store.create(known, path, 16)
+    old = item_store.load(spark, path)
+    changed, gone = incremental.find_changed(raw.drop("d"), old), incremental.removed(raw, old)
+    item_store.merge(spark, path, changed, gone, 16)
+    return item_store.load(spark, path)
+
+
+_VECTORED = """vectored AS (SELECT doc_id, sha256(coalesce(text, '')) AS h, e.embedding IS NOT NULL AS has, c.embedding IS NOT NULL AS has_ctx, e.embedding AS plain, c.embedding AS ctx
+  FROM documents LEFT JOIN embeddings e ON e.vec_id = doc_id LEFT JOIN embeddings c ON c.vec_id = doc_id + 1 AND doc_id % 2 = 0)"""
+
 
+def _vectored(spark, sf_dir):
+    """Documents with the embedding of their number, and with notes, for even ones, that of the next one."""
+    side = corpus.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    rows = corpus.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d/"), "doc_id").alias("source_ref"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
+    rows = rows.join(side.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    return rows.join(side.select((F.col("vec_id") - 1).alias("doc_id"), F.col("embedding").alias("embedding_ctx")).where("doc_id % 2 = 0"), "doc_id", "left")
 
-@query(f"""WITH {_KNOWN} SELECT (SELECT count(*) FROM raw) AS total, (SELECT count(*) FROM changed) AS changed, (SELECT count(*) FROM customer) AS removed,
+
+@query(f"WITH {_VECTORED} SELECT 'd/' || doc_id AS source_ref FROM vectored WHERE NOT has")
+def missing_vectors(spark, sf_dir):
+    """Rows with their old hash that lack the vector which a channel needs."""
+    rows = _vectored(spark, sf_dir)
+    return incremental.find_changed(rows, rows, ("embedding",)).select("source_ref")
+
+
+@query(f"WITH {_VECTORED} SELECT doc_id, CASE WHEN has_ctx THEN 'own' WHEN has THEN 'plain' ELSE 'none' END AS kind, round(list_sum(list_transform(coalesce(ctx, plain), lambda x: x::DOUBLE)), 5) AS total FROM vectored")
+def fallback_vectors(spark, sf_dir):
+    rows = _vectored(spark, sf_dir).withColumn("had", F.col("embedding_ctx").isNotNull())
+    found = incremental.with_fallback_vector(rows)
+    kind = F.when(F.col("had"), "own").when(F.col("embedding_ctx").isNotNull(), "plain").otherwise("none")
+    total = F.when(F.col("embedding_ctx").isNotNull(), F.round(F.aggregate("embedding_ctx", F.lit(0.0), lambda a, x: a + x.cast("double")), 5))
+    return found.select("doc_id", kind.alias("kind"), total.alias("total"))
+
+
+_NOTED = "noted AS (SELECT doc_id, coalesce(source, '') AS title, coalesce(text, '') AS text, trim(string_split(coalesce(text, '')[1:14000], '. ')[1], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS note FROM documents)"
+
+
+def _noted(spark, sf_dir):
+    """Documents with the notes of the writer that needs no model, by way of the cache of notes."""
+    text = F.coalesce("text", F.lit(""))
+    rows = corpus.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("title"), text.alias("content"), F.sha2(text, 256).alias("content_hash"))
+    asked = rows.select(F.col("content_hash").alias("chunk_hash"), F.col("content").alias("document"), F.lit("").alias("chunk")).dropDuplicates(["chunk_hash"])
+    return incremental.with_notes(rows, stored(hooks.write_notes(asked), "notes"))
+
+
+@query(f"WITH {_NOTED} SELECT doc_id, note AS context_note FROM noted")
+def context_notes(spark, sf_dir):
+    return _noted(spark, sf_dir).select("doc_id", "context_note")
+
+
+@query(f"WITH {_NOTED} SELECT doc_id, array_to_string({sql_terms("title || ' ' || text")}, ' ') AS terms, array_to_string({sql_terms("title || ' ' || note || ' ' || text")}, ' ') AS terms_ctx FROM noted")
+def search_terms(spark, sf_dir):
+    found = incremental.search_terms(_noted(spark, sf_dir))
+    return found.select("doc_id", F.array_join("terms", " ").alias("terms"), F.array_join("terms_ctx", " ").alias("terms_ctx"))
+
+
+@query(f"SELECT doc_id, CASE WHEN len(ts) > 0 THEN 1.0::DOUBLE ELSE 0 END AS length, 64::BIGINT AS width FROM (SELECT doc_id, {sql_terms("coalesce(source, '') || chr(10) || coalesce(text, '')")} AS ts FROM documents)")
+def encoded_documents(spark, sf_dir):
+    """Vectors of the encoder that needs no model, in Arrow batches: their width, and length one for every text with terms."""
+    rows = corpus.table(spark, sf_dir, "documents").select("doc_id", hooks.encode(F.coalesce("source", F.lit("")), F.coalesce("text", F.lit(""))).alias("v"))
+    length = F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)), 4)
+    return rows.select("doc_id", length.alias("length"), F.size("v").cast("long").alias("width"))
+
+
+@query(f"""WITH RECURSIVE {_KNOWN} SELECT (SELECT count(*) FROM raw) AS total, (SELECT count(*) FROM changed) AS changed, (SELECT count(*) FROM known WHERE source_ref NOT IN (SELECT source_ref FROM raw)) AS removed,
   (SELECT count(DISTINCT content_hash) FROM changed) AS notes""")
 def ingest_summary(spark, sf_dir):
     raw, known = _store(spark, sf_dir)
@@ -306,23 +523,23 @@ def note_cache_misses(spark, sf_dir):
 # ---- retrieval --------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {POSTS} SELECT term, df::BIGINT AS df, round(weight, 9) AS weight FROM weights")
+@query(f"WITH RECURSIVE {FOUND} SELECT term, df::BIGINT AS df, round(weight, 9) AS weight FROM weights")
 def idf_weights(spark, sf_dir):
     items = corpus.items(spark, sf_dir)
     return lexical.idf(items, lexical.postings(items)).withColumn("weight", F.round("weight", 9))
 
 
-@query(f"WITH {FOUND} SELECT task_id, source_ref, coverage, array_to_string(matched, ' ') AS matched FROM found")
+@query(f"WITH RECURSIVE {FOUND} SELECT task_id, source_ref, coverage, array_to_string(matched, ' ') AS matched FROM found")
 def task_coverage(spark, sf_dir):
     return corpus.found(spark, sf_dir).select("task_id", "source_ref", "coverage", F.array_join("matched", " ").alias("matched"))
 
 
-@query(f"WITH {FOUND} SELECT task_id, source_ref, coverage, text_rank, rank::INT AS rank FROM loose")
+@query(f"WITH RECURSIVE {FOUND} SELECT task_id, source_ref, coverage, text_rank, rank::INT AS rank FROM loose")
 def loose_hits(spark, sf_dir):
     return lexical.loose_list(corpus.found(spark, sf_dir)).select("task_id", "source_ref", "coverage", "text_rank", "rank")
 
 
-@query(f"WITH {FOUND} SELECT task_id, source_ref, text_rank, rank::INT AS rank FROM strict")
+@query(f"WITH RECURSIVE {FOUND} SELECT task_id, source_ref, text_rank, rank::INT AS rank FROM strict")
 def strict_hits(spark, sf_dir):
     return lexical.strict_list(corpus.found(spark, sf_dir)).select("task_id", "source_ref", "text_rank", "rank")
 
@@ -336,35 +553,64 @@ def vector_topk(spark, sf_dir):
     return vectors.cosine_top_k(rows.where("vec_id % 20 = 0"), rows, DEFAULTS.top_k).withColumn("cosine", F.round("cosine", 6))
 
 
-@query(f"WITH {HITS} SELECT task_id, source_ref, score, best::INT AS best_rank, rank::INT AS rank FROM hits")
+_SCOPED = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS a, CASE vec_id % 3 WHEN 0 THEN ['public'] WHEN 1 THEN ['public', 'internal'] ELSE ['public', 'internal', 'private'] END AS scopes FROM embeddings WHERE vec_id % 20 = 0),
+p AS (SELECT query_id, vec_id AS item_id, round(list_cosine_similarity(a, embedding::DOUBLE[]), 9) AS c FROM q, embeddings WHERE list_contains(scopes, CASE vec_id % 3 WHEN 0 THEN 'public' WHEN 1 THEN 'internal' ELSE 'private' END))"""
+
+
+@query(f"""WITH {_SCOPED} SELECT query_id, item_id, round(c, 6) AS cosine, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, item_id) AS rank FROM p) WHERE rank <= 30""")
+def scoped_vector_topk(spark, sf_dir):
+    """As vector_topk, where a query only ever sees vectors of its scopes."""
+    scopes = [F.array(*[F.lit(s) for s in ("public", "internal", "private")[:k]]) for k in (1, 2, 3)]
+    n = F.col("vec_id")
+    rows = corpus.table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(n % 3 == 0, "public").when(n % 3 == 1, "internal").otherwise("private").alias("scope"), F.when(n % 3 == 0, scopes[0]).when(n % 3 == 1, scopes[1]).otherwise(scopes[2]).alias("scopes"))
+    found = vectors.cosine_top_k(rows.where("vec_id % 20 = 0"), rows, DEFAULTS.top_k, query_scopes="scopes", item_scope="scope")
+    return found.withColumn("cosine", F.round("cosine", 6))
+
+
+@query("""SELECT conv_id, turn, CASE role WHEN 'user' THEN 'lexical_ctx dense_ctx' WHEN 'assistant' THEN 'dense lexical' ELSE 'lexical' END AS channels FROM conversations""")
+def chosen_channels(spark, sf_dir):
+    """Turns as requests: users ask for nothing, assistants for two channels and an unknown one, others for one that there is."""
+    role, none = F.col("role"), F.array().cast("array<string>")
+    asked = F.when(role == "user", none).when(role == "assistant", F.array(F.lit("dense"), F.lit("other"), F.lit("lexical"))).otherwise(F.array(F.lit("lexical")))
+    rows = corpus.table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", F.array_join(fusion.chosen_channels(asked, list(corpus.CHANNELS)), " ").alias("channels"))
+
+
+@query(f"WITH RECURSIVE {HITS} SELECT task_id, source_ref, score, (SELECT min(rank) FROM lists l WHERE l.task_id = hits.task_id AND l.source_ref = hits.source_ref)::INT AS best_rank, rank::INT AS rank FROM hits")
 def rrf_fuse(spark, sf_dir):
-    return corpus.hits(spark, sf_dir).select("task_id", "source_ref", "score", F.element_at("ranks", F.lit("lexical")).alias("best_rank"), "rank")
+    return corpus.hits(spark, sf_dir).select("task_id", "source_ref", "score", F.element_at("ranks", F.lit("lexical")).alias("best_rank"), F.col("rank").cast("int").alias("rank"))
 
 
-_SCORES = "scored AS (SELECT h.*, CASE WHEN h.rank % 4 <> 0 THEN ((h.task_id + h.rank) % 11)::DOUBLE END AS rerank_score FROM hits h)"
+_SCORED = f"{FOUND}, {sql_hits(score='CASE WHEN length(cut.source_ref) % 4 <> 0 THEN ((cut.task_id + length(cut.source_ref)) % 11)::DOUBLE END')}"
 
 
 def _reranked(spark, sf_dir):
-    hits = corpus.hits(spark, sf_dir)
-    scores = hits.where("rank % 4 <> 0").select("task_id", "source_ref", ((F.col("task_id") + F.col("rank")) % 11).cast("double").alias("rerank_score"))
-    return fusion.rerank(hits, scores)
+    store = corpus.items(spark, sf_dir)
+    matched = corpus.found(spark, sf_dir, store)
+    lists = rs.text_lists(matched, "lexical", 0)
+    return rs.hits_of(corpus.tasks(spark, sf_dir), store, lists, matched, corpus.scored(lists.select("task_id", "source_ref").distinct()))
 
 
-@query(f"""WITH {HITS}, {_SCORES} SELECT task_id, source_ref, rerank_score, row_number() OVER (PARTITION BY task_id ORDER BY coalesce(rerank_score, -1) DESC, score DESC, rank, source_ref)::INT AS rank FROM scored""")
+@query(f"WITH RECURSIVE {_SCORED} SELECT task_id, source_ref, rerank_score, rank::INT AS rank FROM hits")
 def rerank_order(spark, sf_dir):
-    return _reranked(spark, sf_dir).select("task_id", "source_ref", "rerank_score", "rank")
+    return _reranked(spark, sf_dir).select("task_id", "source_ref", "rerank_score", F.col("rank").cast("int").alias("rank"))
 
 
-@query(f"WITH {HITS}, {_SCORES} SELECT task_id, source_ref FROM scored WHERE CASE WHEN rerank_score IS NOT NULL THEN rerank_score >= 4 ELSE coverage >= 0.3 END")
+@query(f"WITH RECURSIVE {_SCORED} SELECT task_id, source_ref FROM hits WHERE CASE WHEN rerank_score IS NOT NULL THEN rerank_score >= 4 ELSE coverage >= 0.3 END")
 def relevance_gate(spark, sf_dir):
     return _reranked(spark, sf_dir).where(fusion.relevant(F.col("rerank_score"), F.col("coverage"), F.col("ranks"))).select("task_id", "source_ref")
 
 
-@query(f"""WITH {HITS} SELECT task_id, source_ref, 'lexical match rank ' || best || ', covers ' || round(coverage * 100)::INT || '% of the task''s term weight: ' || array_to_string(matched[1:6], ', ') AS why FROM hits""")
+@query(f"WITH RECURSIVE {HITS} SELECT task_id, source_ref, least(10, (length(task) + length(left(content, 600))) % 13)::DOUBLE AS rerank_score FROM hits JOIN tasks USING (task_id)")
+def rerank_scores(spark, sf_dir):
+    """The reranker's hook over all hits, with a scorer that only measures, cut to its range."""
+    hits = corpus.hits(spark, sf_dir).join(corpus.tasks(spark, sf_dir).select("task_id", "task"), "task_id")
+    return hooks.rerank_scores(hits, lambda task, title, content: (len(task) + len(content)) % 13)
+
+
+@query(f"WITH RECURSIVE {HITS} SELECT task_id, source_ref, array_to_string(why, ' / ') AS why FROM hits")
 def hit_reasons(spark, sf_dir):
-    none = F.lit(None)
-    why = fusion.reasons(F.col("ranks"), F.col("coverage"), F.col("matched"), none.cast("double"), none.cast("string"), none.cast("string"))
-    return corpus.hits(spark, sf_dir).select("task_id", "source_ref", F.array_join(why, " / ").alias("why"))
+    return corpus.hits(spark, sf_dir).select("task_id", "source_ref", F.array_join("why", " / ").alias("why"))
 
 
 # ---- facts ------------------------------------------------------------------------------------------------------
@@ -378,14 +624,14 @@ def fact_winners(spark, sf_dir):
     return fc.audit(corpus.facts(spark, sf_dir))
 
 
-@query(f"""WITH {_AGREE} SELECT fact_key, first(source_ref ORDER BY {_ORDER}) AS winner_ref, fact_key || ' = ' || any_value(v) || ' is reported by ' || count(*) || ' sources.' AS message
+@query(f"""WITH {_AGREE} SELECT fact_key, first(source_ref ORDER BY {_ORDER}) AS winner_ref, count(*) || ' sources agree that ' || fact_key || ' is ' || any_value(v) AS message
   FROM g GROUP BY fact_key HAVING count(*) > 1 AND count(DISTINCT v) = 1""")
 def fact_duplicates(spark, sf_dir):
     return fc.duplicates(corpus.facts(spark, sf_dir, agreeing=True)).select("fact_key", "winner_ref", "message")
 
 
-@query(f"""WITH {_AGREE} SELECT fact_key, first(source_ref ORDER BY {_ORDER}) AS winner_ref, fact_key || ' has ' || count(DISTINCT v) || ' different values: ' ||
-  string_agg(v || ' from ' || source_ref || ' (' || strftime(ts, '%Y-%m-%d') || ', confidence ' || confidence || ')', '; ' ORDER BY {_ORDER}) || '.' AS message
+@query(f"""WITH {_AGREE} SELECT fact_key, first(source_ref ORDER BY {_ORDER}) AS winner_ref, count(DISTINCT v) || ' values are given for ' || fact_key || ': ' ||
+  string_agg(v || ' in ' || source_ref || ' of ' || strftime(ts, '%Y-%m-%d') || ', trust ' || confidence, '; ' ORDER BY {_ORDER}) AS message
   FROM g GROUP BY fact_key HAVING count(DISTINCT v) > 1""")
 def fact_conflicts(spark, sf_dir):
     return fc.conflicts(corpus.facts(spark, sf_dir, agreeing=True)).select("fact_key", "winner_ref", "message")
@@ -415,65 +661,73 @@ def reconcile_candidates(spark, sf_dir):
     return fc.without_repeats(rows).select("task_id", "source_ref", "rank")
 
 
+@query(f"WITH {_AGREE} SELECT fact_key, count(*) AS n_rows, count(DISTINCT v) AS n_values, string_agg(source_ref, ' ' ORDER BY {_ORDER}) AS refs FROM g GROUP BY fact_key")
+def fact_evidence(spark, sf_dir):
+    """All rows behind each key, the winner first."""
+    refs = F.array_join(F.transform("evidence", lambda e: e.source_ref), " ")
+    return fc.evidence(corpus.facts(spark, sf_dir, agreeing=True)).select("fact_key", "n_rows", "n_values", refs.alias("refs"))
+
+
 # ---- packages ---------------------------------------------------------------------------------------------------
 
 
 @query(f"WITH RECURSIVE {PACKED} SELECT task_id, source_ref, n, total_used AS used FROM packed")
 def pack_budget(spark, sf_dir):
-    return corpus.packed(spark, sf_dir).select("task_id", "source_ref", "n", "used")
+    found = corpus.resolved(spark, sf_dir).items.where(~F.exists("why", lambda w: w.startswith("record of the release")))
+    return found.select("task_id", "source_ref", "n", "used")
 
 
-_RECORD = "'Quality ' || quality || ', toxic ' || toxic"
+@query(f"WITH RECURSIVE {PACKED} SELECT task_id, n, why[1] AS parent, source_ref, total_used AS used FROM package WHERE why[1] LIKE 'record of the release%'")
+def link_records(spark, sf_dir):
+    """Records that packages got beside the releases and facts in them."""
+    found = corpus.resolved(spark, sf_dir).items.where(F.col("why")[0].startswith("record of the release"))
+    return found.select("task_id", "n", F.col("why")[0].alias("parent"), "source_ref", "used")
 
 
-@query(f"""WITH RECURSIVE {PACKED},
-recs AS (SELECT 'record/' || doc_id AS ref, {sql_third("doc_id", "'public'", "'internal'", "'private'")} AS scope, (length({_RECORD}) // 4 + 1)::INT AS cost FROM labels),
-wanted AS (SELECT p.task_id, p.n AS parent, p.total_used, max(p.n) OVER (PARTITION BY p.task_id) AS held, t.budget_tokens, CASE WHEN list_contains(t.scopes, r.scope) THEN r.ref END AS ref, r.cost,
-  row_number() OVER (PARTITION BY p.task_id ORDER BY p.n) AS pos FROM packed p JOIN tasks t USING (task_id) LEFT JOIN recs r ON r.ref = 'record/' || p.doc_id),
-go AS (SELECT DISTINCT task_id, 0::BIGINT AS pos, total_used::INT AS used, held::INT AS n, false AS took FROM wanted UNION ALL
-  SELECT g.task_id, w.pos, CASE WHEN ok THEN g.used + w.cost ELSE g.used END, CASE WHEN ok THEN g.n + 1 ELSE g.n END, ok FROM go g
-  JOIN (SELECT * FROM wanted) w ON w.task_id = g.task_id AND w.pos = g.pos + 1, LATERAL (SELECT coalesce(w.ref IS NOT NULL AND g.used + w.cost <= w.budget_tokens AND g.n < 8, false) AS ok))
-SELECT g.task_id, g.n, w.parent, w.ref AS source_ref, max(g.used) OVER (PARTITION BY g.task_id) AS used FROM go g JOIN wanted w USING (task_id, pos) WHERE g.took""")
-def link_records(spark, sf_dir):
-    labels = corpus.table(spark, sf_dir, "labels")
-    content = F.concat(F.lit("Quality "), F.col("quality").cast("string"), F.lit(", toxic "), F.col("toxic").cast("string"))
-    scope = F.when(F.col("doc_id") % 3 == 0, "public").when(F.col("doc_id") % 3 == 1, "internal").otherwise("private")
-    recs = labels.select(F.concat(F.lit("record/"), F.col("doc_id")).alias("source_ref"), scope.alias("scope"), content.alias("content"))
-    return packing.link_records(corpus.packed(spark, sf_dir), recs, corpus.tasks(spark, sf_dir))
+@query(f"WITH RECURSIVE {PACKED} SELECT task_id, n, ref, source_ref, kind, title, content, freshness, round(score, 4) AS score, array_to_string(why, ' / ') AS why FROM package")
+def package_items(spark, sf_dir):
+    return corpus.resolved(spark, sf_dir).items.select("task_id", "n", "ref", "source_ref", "kind", "title", "content", "freshness", "score", F.array_join("why", " / ").alias("why"))
 
 
-_WHY = """'lexical match rank ' || best || ', covers ' || round(coverage * 100)::INT || '% of the task''s term weight: ' || array_to_string(matched[1:6], ', ') ||
-  ' / confidence 0.9: verbatim primary text / freshness ' || freshness || ': observed ' || strftime(observed_at, '%Y-%m-%d') || ' (day precision)'"""
+@query(f"WITH RECURSIVE {PACKED} SELECT task_id, n, pos::INT AS pos, source, source_ref, doc_id, observed_at, precision AS timestamp_precision, scope, confidence, left(content, 280) AS quote FROM evidence")
+def package_evidence(spark, sf_dir):
+    """Every source behind every item: all rows of a fact, the winner first."""
+    return corpus.resolved(spark, sf_dir).evidence.drop("ref")
 
 
-@query(f"WITH RECURSIVE {PACKED} SELECT task_id, n, ref, title, content, freshness, round(score, 4) AS score, {_WHY} AS why FROM package")
-def package_items(spark, sf_dir):
-    return corpus.package_items(spark, sf_dir).select("task_id", "n", "ref", "title", "content", "freshness", "score", F.array_join("why", " / ").alias("why"))
+def _warned(kind: str) -> str:
+    return f"WITH RECURSIVE {PACKED} SELECT task_id, message, array_to_string(refs, ' ') AS refs, resolution FROM warnings WHERE kind = '{kind}'"
 
 
-@query(f"WITH RECURSIVE {PACKED} SELECT task_id, n, 'press_release' AS source, source_ref, doc_id, observed_at, scope, 0.9::DOUBLE AS confidence, left(content, 280) AS quote FROM package")
-def package_evidence(spark, sf_dir):
-    return package.package_evidence(corpus.package_items(spark, sf_dir)).select("task_id", "n", "source", "source_ref", "doc_id", "observed_at", "scope", "confidence", "quote")
+def _warnings(spark, sf_dir, kind: str):
+    found = corpus.resolved(spark, sf_dir).warnings.where(F.col("kind") == kind)
+    return found.select("task_id", "message", F.array_join("refs", " ").alias("refs"), "resolution")
 
 
-_STALE = """stale AS (SELECT task_id, count(*) || ' item(s) are older than 365 days as of 2024-07-01 and the task does not ask about their period.' AS message, list_sort(list(ref)) AS refs FROM package WHERE freshness = 'stale' GROUP BY task_id)"""
+@query(_warned("conflict"))
+def conflict_warnings(spark, sf_dir):
+    return _warnings(spark, sf_dir, "conflict")
 
 
-@query(f"WITH RECURSIVE {PACKED}, {_STALE} SELECT task_id, message, array_to_string(refs, ' ') AS refs FROM stale")
+@query(_warned("duplicate"))
+def duplicate_warnings(spark, sf_dir):
+    return _warnings(spark, sf_dir, "duplicate")
+
+
+@query(_warned("stale"))
 def stale_warnings(spark, sf_dir):
-    items = corpus.package_items(spark, sf_dir)
-    found = package.cite(package.stale_warnings(items, corpus.tasks(spark, sf_dir)), package.package_evidence(items))
-    return found.select("task_id", "message", F.array_join("refs", " ").alias("refs"))
+    return _warnings(spark, sf_dir, "stale")
 
 
-@query(f"WITH RECURSIVE {PACKED} SELECT task_id, 'missing' AS kind, 'No in-scope evidence found for this task.' AS message FROM tasks WHERE task_id NOT IN (SELECT task_id FROM package)")
+@query(_warned("missing").replace("array_to_string(refs, ' ') AS refs", "'' AS refs"))
 def missing_warnings(spark, sf_dir):
-    return package.missing_warnings(corpus.package_items(spark, sf_dir), corpus.tasks(spark, sf_dir)).select("task_id", "kind", "message")
+    """Tasks without any item, and periods that no item of a package covers."""
+    return _warnings(spark, sf_dir, "missing")
 
 
-@query(f"""WITH {_NOTES}, asked AS (SELECT o_orderkey AS task_id, 'FY ' || (2015 + o_orderkey % 12) AS period FROM orders),
+@query("""WITH asked AS (SELECT o_orderkey AS task_id, 'FY ' || (2015 + o_orderkey % 12) AS period FROM orders),
 own AS (SELECT o_orderkey AS task_id, 'FY ' || (2015 + o_custkey % 12) AS period FROM orders)
-SELECT task_id, 'The task mentions ' || period || ' but no in-scope evidence covers that period.' AS message FROM asked EXCEPT SELECT task_id, 'The task mentions ' || period || ' but no in-scope evidence covers that period.' FROM own""")
+SELECT task_id, 'No item covers ' || period || ', which the task asks about' AS message FROM (SELECT * FROM asked EXCEPT SELECT * FROM own)""")
 def period_gaps(spark, sf_dir):
     """Each order asks about one fiscal year and holds one item of another."""
     orders = corpus.table(spark, sf_dir, "orders")
@@ -483,32 +737,61 @@ def period_gaps(spark, sf_dir):
     return package.period_gaps(items, tasks).select("task_id", "message")
 
 
-@query(f"""WITH RECURSIVE {PACKED}, considered AS (SELECT task_id, count(*) AS c FROM hits GROUP BY task_id), spent AS (SELECT task_id, max(total_used) AS u FROM packed GROUP BY task_id)
+_HEADS = """considered AS (SELECT task_id, count(*) AS c FROM hits GROUP BY task_id), spent AS (SELECT task_id, max(total_used) AS u FROM package GROUP BY task_id)"""
+
+
+@query(f"""WITH RECURSIVE {PACKED}, {_HEADS}
 SELECT task_id, array_to_string(scopes, ' ') AS scopes, coalesce(c, 0)::BIGINT AS candidates_considered, coalesce(u, 0)::INT AS tokens_used, budget_tokens FROM tasks LEFT JOIN considered USING (task_id) LEFT JOIN spent USING (task_id)""")
 def package_heads(spark, sf_dir):
-    rows = package.heads(corpus.tasks(spark, sf_dir), corpus.hits(spark, sf_dir), corpus.packed(spark, sf_dir))
+    rows = corpus.resolved(spark, sf_dir).heads
     return rows.select("task_id", F.array_join("scopes_applied", " ").alias("scopes"), "candidates_considered", "tokens_used", "budget_tokens")
 
 
-@query(f"""WITH RECURSIVE {PACKED}, lines AS (SELECT task_id, string_agg('- ' || regexp_replace(trim(string_split(content, '. ')[1], ' '), '\\.+$', '') || '. ' || ref, chr(10) ORDER BY n) AS answer FROM package WHERE n <= 3 GROUP BY task_id)
-SELECT task_id, coalesce(answer, 'The context package is empty, so this task cannot be answered from available sources.') AS answer FROM tasks LEFT JOIN lines USING (task_id)""")
+@query(f"""WITH RECURSIVE {PACKED}, {_HEADS}, ev AS (SELECT task_id, n, string_agg(source_ref, ',' ORDER BY pos) AS e FROM evidence GROUP BY ALL),
+its AS (SELECT task_id, string_agg(p.ref || '=' || e, ' ' ORDER BY n) AS items FROM package p JOIN ev USING (task_id, n) GROUP BY task_id), told_of AS (SELECT task_id, string_agg(kind, ' ' ORDER BY kind) AS warnings FROM warnings GROUP BY task_id)
+SELECT task_id, coalesce(items, '') AS items, coalesce(warnings, '') AS warnings, coalesce(u, 0)::INT AS tokens_used FROM tasks LEFT JOIN its USING (task_id) LEFT JOIN told_of USING (task_id) LEFT JOIN spent USING (task_id)""")
+def nested_packages(spark, sf_dir):
+    """The whole package of each task in one row: items with the evidence of each, and warnings."""
+    rows = corpus.resolved(spark, sf_dir).nested()
+    cited = lambda i: F.concat(i.ref, F.lit("="), F.array_join(F.transform(i.evidence, lambda e: e.source_ref), ","))
+    items, kinds = F.array_join(F.transform("items", cited), " "), F.array_join(F.array_sort(F.transform("warnings", lambda w: w.kind)), " ")
+    return rows.select("task_id", F.coalesce(items, F.lit("")).alias("items"), F.coalesce(kinds, F.lit("")).alias("warnings"), "tokens_used")
+
+
+@query(f"""WITH RECURSIVE {PACKED}, lines AS (SELECT task_id, 0 AS part, n::VARCHAR AS a, '' AS b, '- ' || regexp_replace(trim(string_split(content, '. ')[1], ' '), '\\.+$', '') || '. ' || ref AS line FROM package WHERE n <= 3
+  UNION ALL SELECT task_id, 1, kind, message, '- Warning (' || kind || '): ' || message FROM warnings WHERE task_id IN (SELECT task_id FROM package)),
+told_all AS (SELECT task_id, string_agg(line, chr(10) ORDER BY part, a, b) AS answer FROM lines GROUP BY task_id)
+SELECT task_id, coalesce(answer, 'No item of the sources bears on this task, so there is no answer.') AS answer FROM tasks LEFT JOIN told_all USING (task_id)""")
 def extractive_answers(spark, sf_dir):
-    items = corpus.package_items(spark, sf_dir)
-    none = items.select("task_id", F.lit("").alias("kind"), F.lit("").alias("message")).limit(0)
-    return package.extractive_answers(corpus.tasks(spark, sf_dir), items, none)
+    found = corpus.resolved(spark, sf_dir)
+    return package.extractive_answers(corpus.tasks(spark, sf_dir), found.items, found.warnings)
 
 
-@query(f"""WITH RECURSIVE {PACKED}, body AS (SELECT task_id, string_agg(ref || ' ' || title || ' | freshness=' || freshness || ' | ' || source_ref || ' scope=' || scope || ' confidence=0.9 observed=' || strftime(observed_at, '%Y-%m-%d') || chr(10) || content, chr(10) || chr(10) ORDER BY n) AS t FROM package GROUP BY task_id)
-SELECT task_id, 'CONTEXT PACKAGE:' || chr(10) || coalesce(t, '(the package is empty)') AS text FROM tasks LEFT JOIN body USING (task_id)""")
+@query(f"""WITH RECURSIVE {PACKED}, ev AS (SELECT task_id, n, string_agg(source_ref || ' scope=' || scope || ' confidence=' || confidence || ' observed=' || coalesce(strftime(observed_at, '%Y-%m-%d'), 'unknown'), ', ' ORDER BY pos) AS e FROM evidence GROUP BY ALL),
+body AS (SELECT task_id, string_agg(p.ref || ' ' || title || ' | freshness=' || freshness || ' | ' || e || chr(10) || content, chr(10) || chr(10) ORDER BY n) AS t FROM package p JOIN ev USING (task_id, n) GROUP BY task_id),
+notes_of AS (SELECT task_id, 'WARNINGS:' || chr(10) || string_agg('- ' || kind || ' [' || coalesce(array_to_string(refs, ' '), '') || ']: ' || message || '. ' || resolution, chr(10) ORDER BY kind, message) AS w FROM warnings GROUP BY task_id)
+SELECT task_id, 'CONTEXT PACKAGE:' || chr(10) || CASE WHEN t IS NULL AND w IS NULL THEN '(the package is empty)' ELSE concat_ws(chr(10) || chr(10), t, w) END AS text FROM tasks LEFT JOIN body USING (task_id) LEFT JOIN notes_of USING (task_id)""")
 def package_text(spark, sf_dir):
-    return package.package_text(corpus.tasks(spark, sf_dir), corpus.package_items(spark, sf_dir))
+    found = corpus.resolved(spark, sf_dir)
+    return package.package_text(corpus.tasks(spark, sf_dir), found.items, found.warnings)
 
 
 # ---- evaluation and streams -------------------------------------------------------------------------------------
 
-_GOLD = """gold AS (SELECT item_id AS task_id, list(doc_id::VARCHAR) FILTER (doc_id IS NOT NULL) AS expected FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY item_id),
-per AS (SELECT g.task_id, coalesce(len(expected), 0) AS wanted, (SELECT count(DISTINCT p.doc_id) FROM package p WHERE p.task_id = g.task_id AND list_contains(g.expected, p.doc_id)) AS found,
-  (SELECT min(n) FROM package p WHERE p.task_id = g.task_id AND list_contains(g.expected, p.doc_id)) AS first, (SELECT count(*) FROM package p WHERE p.task_id = g.task_id) AS n_items FROM gold g)"""
+
+def sql_gold(configs: int = 1) -> str:
+    """Golden questions and what packages hold of them; task ids of several configurations follow each other."""
+    return f"""one AS (SELECT item_id AS task_id, coalesce(list(doc_id::VARCHAR) FILTER (doc_id IS NOT NULL), []) AS expected FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY item_id),
+gold AS (SELECT task_id * {configs} + config AS task_id, expected FROM one, (SELECT unnest(range({configs})) AS config)),
+per AS (SELECT g.task_id, len(expected) AS wanted, (SELECT count(DISTINCT p.doc_id) FROM evidence p WHERE p.task_id = g.task_id AND list_contains(g.expected, p.doc_id)) AS found,
+  (SELECT min(n) FROM evidence p WHERE p.task_id = g.task_id AND list_contains(g.expected, p.doc_id)) AS first, (SELECT count(*) FROM package p WHERE p.task_id = g.task_id) AS n_items,
+  (SELECT count(*) FROM warnings w WHERE w.task_id = g.task_id AND kind = 'missing') AS missing,
+  (SELECT count(*) FROM package p WHERE p.task_id = g.task_id AND len(why) > 0 AND NOT EXISTS (SELECT 1 FROM evidence e WHERE e.task_id = p.task_id AND e.n = p.n AND NOT (e.source_ref <> '' AND e.scope <> '' AND e.precision <> '' AND e.content <> '' AND e.confidence IS NOT NULL))) AS whole FROM gold g)"""
+
+
+_MEASURES = """count(*) AS tasks, round(avg(CASE WHEN wanted > 0 THEN (found > 0)::INT END), 9) AS hit_rate, round(avg(CASE WHEN wanted > 0 THEN found / wanted END), 9) AS recall,
+  round(avg(CASE WHEN wanted > 0 THEN coalesce(1.0::DOUBLE / first, 0) END), 9) AS mrr, round(avg(CASE WHEN wanted = 0 THEN (n_items = 0 OR missing > 0)::INT END), 9) AS refusals,
+  round(coalesce(sum(whole)::DOUBLE / nullif(sum(n_items), 0), 1), 9) AS attribution, sum(n_items)::BIGINT AS items, round(avg(n_items), 9) AS items_per_package"""
 
 
 def _golden(spark, sf_dir):
@@ -517,52 +800,79 @@ def _golden(spark, sf_dir):
     Documents are found by their terms first (all of the passage's), then by the text itself.
     """
     tasks = corpus.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("task_id"), F.col("text").alias("passage"))
-    asked = corpus.tasks(spark, sf_dir).withColumn("scopes", F.array(F.lit("public"), F.lit("internal"), F.lit("private")))
-    items = corpus.items(spark, sf_dir)
     # A passage's first and last words may be parts of words of the document, so its inner words find it.
-    inner = F.regexp_replace("task", r"^\S+\s|\s\S+$", "")
-    posts = lexical.postings(items)
-    found = lexical.matches(posts, lexical.task_terms(asked.withColumn("task", inner), lexical.idf(items, posts))).where("all_terms")
-    pairs = found.join(items.select("source_ref", "doc_id", "content"), "source_ref").join(tasks, "task_id").where(F.contains("content", F.col("passage")))
-    expected = pairs.groupBy("task_id").agg(F.collect_list("doc_id").alias("expected"))
+    asked = tasks.select("task_id", F.regexp_replace("passage", r"^\S+\s|\s\S+$", "").alias("task"), F.array(F.lit("public")).alias("scopes"))
+    whole = corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_ref"), F.lit("public").alias("scope"), F.lit("").alias("title"), F.coalesce("text", F.lit("")).alias("content"))
+    posts = stored(lexical.postings(whole), "golden-postings")
+    found = lexical.matches(posts, lexical.task_terms(asked, lexical.idf(whole, posts))).where("all_terms").select("task_id", "source_ref")
+    pairs = found.join(whole.select("source_ref", "content"), "source_ref").join(tasks, "task_id").where(F.contains("content", F.col("passage")))
+    expected = pairs.groupBy("task_id").agg(F.collect_list("source_ref").alias("expected"))
     rows = tasks.select("task_id").join(expected, "task_id", "left")
     return rows.select("task_id", F.coalesce("expected", F.array().cast("array<string>")).alias("expected"), F.when(F.col("expected").isNull(), "refuse").otherwise("answer").alias("action"))
 
 
-@query(f"""WITH RECURSIVE {PACKED}, {_GOLD} SELECT count(*) AS tasks, round(avg(CASE WHEN wanted > 0 THEN (found > 0)::INT END), 9) AS hit_rate, round(avg(CASE WHEN wanted > 0 THEN found / wanted END), 9) AS recall,
-  round(avg(CASE WHEN wanted > 0 THEN coalesce(1.0::DOUBLE / first, 0) END), 9) AS mrr, round(avg(CASE WHEN wanted = 0 THEN (n_items = 0)::INT END), 9) AS refusals, 1.0::DOUBLE AS attribution,
-  sum(n_items)::BIGINT AS items, round(avg(n_items), 9) AS items_per_package FROM per""")
+@query(f"WITH RECURSIVE {PACKED}, {sql_gold()} SELECT {_MEASURES} FROM per")
 def golden_metrics(spark, sf_dir):
-    items = corpus.package_items(spark, sf_dir)
-    warnings = package.missing_warnings(items, corpus.tasks(spark, sf_dir))
-    rows = evaluate.per_task(_golden(spark, sf_dir), items.withColumn("quote", tx.quote(F.col("content"))), warnings)
-    return evaluate.metrics(rows)
+    found = corpus.resolved(spark, sf_dir)
+    return evaluate.metrics(evaluate.per_task(_golden(spark, sf_dir), found.items, found.evidence, found.warnings))
 
 
 _N = len(corpus.CONFIGURATIONS)
+_CTX = f"""firsts_of AS (SELECT doc_id, trim(string_split(text[1:14000], '. ')[1], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS note FROM docs),
+noted AS (SELECT i.* EXCLUDE (content), concat_ws(' ', note, content) AS content FROM items i LEFT JOIN firsts_of f ON i.source = 'press_release' AND f.doc_id = i.doc_id)"""
+_DENSE = """vecs AS (SELECT i.source_ref, i.scope, e.embedding::DOUBLE[] AS plain, coalesce(c.embedding, e.embedding)::DOUBLE[] AS ctx FROM items i JOIN embeddings e ON e.vec_id = i.doc_id::BIGINT LEFT JOIN embeddings c ON c.vec_id = e.vec_id + 1 WHERE source = 'press_release' AND source_ref LIKE '%#0'),
+near AS (SELECT task_id, v.source_ref, round(list_cosine_similarity(q.embedding::DOUBLE[], plain), 9) AS a, round(list_cosine_similarity(q.embedding::DOUBLE[], ctx), 9) AS b FROM tasks JOIN embeddings q ON q.vec_id = task_id, vecs v WHERE list_contains(scopes, v.scope)),
+dense AS (SELECT * FROM (SELECT task_id, source_ref, row_number() OVER (PARTITION BY task_id ORDER BY a DESC, source_ref) AS rank FROM near) WHERE rank <= 30),
+dense_ctx AS (SELECT * FROM (SELECT task_id, source_ref, row_number() OVER (PARTITION BY task_id ORDER BY b DESC, source_ref) AS rank FROM near) WHERE rank <= 30)"""
+_EVERY = f"""every AS ({LISTS} UNION ALL SELECT 'dense', 2, task_id, source_ref, rank FROM dense UNION ALL SELECT 'lexical_ctx', 3, task_id, source_ref, rank FROM ctx_loose
+  UNION ALL SELECT 'lexical_ctx', 4, task_id, source_ref, rank FROM ctx_strict UNION ALL SELECT 'dense_ctx', 5, task_id, source_ref, rank FROM dense_ctx)"""
+_ALL_CHANNELS = f"{FOUND}, {_CTX}, {sql_found('ctx_', 'noted')}, {_DENSE}, {_EVERY}"
+
+
+@query(f"WITH RECURSIVE {_ALL_CHANNELS} SELECT channel, list_no, task_id, source_ref, rank::INT AS rank FROM every")
+def channel_lists(spark, sf_dir):
+    """The lists of all four channels, each under the scopes of its task."""
+    store = stored(corpus.with_vectors(spark, sf_dir, corpus.items(spark, sf_dir)), "items-vectors")
+    return corpus.channel_lists(spark, sf_dir, store, corpus.tasks(spark, sf_dir))[0].select("channel", "list_no", "task_id", "source_ref", F.col("rank").cast("int").alias("rank"))
+
+
+@query(f"WITH RECURSIVE {_ALL_CHANNELS}, fused_of AS (SELECT task_id, source_ref, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(list_no) AS l, arg_min(rank, list_no) AS lr, list_sort(list(DISTINCT channel)) AS channels FROM every GROUP BY ALL) "
+       "SELECT task_id, source_ref, score, array_to_string(channels, ' ') AS channels, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, l, lr, source_ref) AS rank FROM fused_of) WHERE rank <= 30")
+def fused_channels(spark, sf_dir):
+    """Text and vector lists of four channels fused in one ranking."""
+    store = stored(corpus.with_vectors(spark, sf_dir, corpus.items(spark, sf_dir)), "items-vectors")
+    found = fusion.fuse(corpus.channel_lists(spark, sf_dir, store, corpus.tasks(spark, sf_dir))[0])
+    return found.select("task_id", "source_ref", "score", F.array_join(F.array_sort(F.map_keys("ranks")), " ").alias("channels"), F.col("rank").cast("int").alias("rank"))
+
+
+_CHOSEN = " OR ".join(f"config = {k} AND channel IN ({quoted(own)})" for k, (_, own, _) in enumerate(corpus.CONFIGURATIONS))
 _NUMBERS = f"(SELECT unnest(range({_N})) AS config)"
-_CHOSEN = " OR ".join(f"config = {k} AND list_no IN ({', '.join(map(str, own))})" for k, (_, own) in enumerate(corpus.CONFIGURATIONS))
-_CONFIGURED = f"SELECT list_no, task_id * {_N} + config AS task_id, source_ref, rank, coverage, matched FROM ({LISTS}), {_NUMBERS} WHERE {_CHOSEN}"
-_ASKED = f"(SELECT * EXCLUDE (task_id), task_id * {_N} + config AS task_id FROM tasks, {_NUMBERS})"
-_NAMES = ", ".join(f"'{name}'" for name, _ in corpus.CONFIGURATIONS)
-
-
-@query(f"""WITH RECURSIVE {sql_packed(_CONFIGURED, _ASKED)}, {_GOLD.replace("gold AS (", "one AS (", 1).replace("per AS (", f"gold AS (SELECT task_id * {_N} + config AS task_id, expected FROM one, {_NUMBERS}), per AS (", 1)}
-SELECT [{_NAMES}][task_id % {_N} + 1] AS configuration, count(*) AS tasks, round(avg(CASE WHEN wanted > 0 THEN (found > 0)::INT END), 9) AS hit_rate, round(avg(CASE WHEN wanted > 0 THEN found / wanted END), 9) AS recall,
-  round(avg(CASE WHEN wanted > 0 THEN coalesce(1.0::DOUBLE / first, 0) END), 9) AS mrr, round(avg(CASE WHEN wanted = 0 THEN (n_items = 0)::INT END), 9) AS refusals, sum(n_items)::BIGINT AS items FROM per GROUP BY ALL""")
-def configuration_metrics(spark, sf_dir):
-    """The metrics of each configuration, all in one plan: a task of each configuration is a task of its own."""
-    asked = corpus.configured(corpus.tasks(spark, sf_dir)).drop("config")
-    items = corpus.package_items(spark, sf_dir, corpus.configured_lists(spark, sf_dir), asked)
-    rows = evaluate.per_task(corpus.configured(_golden(spark, sf_dir)), items.withColumn("quote", tx.quote(F.col("content"))), package.missing_warnings(items, asked))
-    names = F.array(*[F.lit(name) for name, _ in corpus.CONFIGURATIONS])
-    found = evaluate.metrics(rows, "config").withColumn("configuration", names[F.col("config")])
-    return found.select("configuration", "tasks", "hit_rate", "recall", "mrr", "refusals", "items")
-
-
-@query(f"WITH RECURSIVE {PACKED} SELECT count(*) FILTER (NOT list_contains(t.scopes, p.scope)) AS leaks FROM package p JOIN tasks t USING (task_id)")
+_RERANKED = ", ".join(str(k) for k, (_, _, rerank) in enumerate(corpus.CONFIGURATIONS) if rerank)
+_COMPARED = f"""{_ALL_CHANNELS}, asked AS (SELECT * EXCLUDE (task_id), task_id * {_N} + config AS task_id FROM tasks, {_NUMBERS}),
+found_each AS (SELECT * EXCLUDE (task_id), task_id * {_N} + config AS task_id FROM found, {_NUMBERS}),
+{sql_hits(f"SELECT channel, list_no, task_id * {_N} + config AS task_id, source_ref, rank FROM every, {_NUMBERS} WHERE {_CHOSEN}", "found_each", "asked",
+          f"CASE WHEN cut.task_id % {_N} IN ({_RERANKED}) AND length(cut.source_ref) % 4 <> 0 THEN ((cut.task_id + length(cut.source_ref)) % 11)::DOUBLE END")}, {sql_packed("asked")}"""
+
+
+@query(f"WITH RECURSIVE {_COMPARED}, {sql_gold(_N)} SELECT [{quoted([n for n, _, _ in corpus.CONFIGURATIONS])}][task_id % {_N} + 1] AS configuration, {_MEASURES} FROM per GROUP BY ALL")
+def ablation_metrics(spark, sf_dir):
+    """The metrics of five configurations of channels and reranking, all in one plan."""
+    found, _ = corpus.compared(spark, sf_dir)
+    rows = evaluate.per_task(corpus.configured(_golden(spark, sf_dir)), found.items, found.evidence, found.warnings)
+    names = F.array(*[F.lit(name) for name, _, _ in corpus.CONFIGURATIONS])
+    return evaluate.metrics(rows, "config").withColumn("configuration", names[F.col("config")]).drop("config")
+
+
+@query(f"WITH RECURSIVE {_COMPARED} SELECT count(*) FILTER (NOT list_contains(t.scopes, p.scope)) AS leaks FROM evidence p JOIN asked t USING (task_id)")
+def channel_leaks(spark, sf_dir):
+    """Evidence outside the scopes of its task, over all channels and configurations."""
+    found, asked = corpus.compared(spark, sf_dir)
+    return evaluate.scope_leaks(found.evidence, asked)
+
+
+@query(f"WITH RECURSIVE {PACKED} SELECT count(*) FILTER (NOT list_contains(t.scopes, p.scope)) AS leaks FROM evidence p JOIN tasks t USING (task_id)")
 def scope_leaks(spark, sf_dir):
-    return evaluate.scope_leaks(corpus.package_items(spark, sf_dir), corpus.tasks(spark, sf_dir))
+    return evaluate.scope_leaks(corpus.resolved(spark, sf_dir).evidence, corpus.tasks(spark, sf_dir))
 
 
 @query("""WITH t AS (SELECT conv_id, turn, list_filter(string_split(regexp_replace(text, '([.!?])[ \\t\\r\\f]+|\\n+', '\\1' || chr(1), 'g'), chr(1)), lambda x: length(trim(x, ' ')) > 20) AS s FROM
@@ -575,15 +885,42 @@ def citation_coverage(spark, sf_dir):
     return corpus.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.round(evaluate.citation_coverage(text, refs), 9).alias("coverage"))
 
 
-@query(f"""WITH RECURSIVE {PACKED}, held AS (SELECT task_id, count(*) AS c, list(doc_id) AS docs FROM package GROUP BY task_id)
-SELECT task_id, coalesce(c, 0) <= 4 AND coalesce(list_contains(docs, (task_id * 7)::VARCHAR), false) AS passed FROM tasks LEFT JOIN held USING (task_id)""")
+@query(f"""WITH RECURSIVE {PACKED}, cited AS (SELECT task_id, list(doc_id) AS docs, list(source_ref) AS refs FROM evidence GROUP BY task_id),
+held AS (SELECT task_id, count(*) AS c, list(DISTINCT kind) AS kinds, list(value) AS vals FROM package GROUP BY task_id), warned AS (SELECT task_id, list(kind) AS w FROM warnings GROUP BY task_id),
+cases AS (SELECT task_id, task_id % 5 AS k FROM tasks),
+judged AS (SELECT task_id, list_filter([
+  CASE WHEN k <> 0 AND NOT list_has_any(coalesce(docs, []), [(task_id * 7)::VARCHAR, (task_id - 1000000) || '-1', task_id::VARCHAR]) THEN 'docs' END,
+  CASE WHEN k = 1 AND NOT list_has_all(coalesce(kinds, []), ['structured', 'unstructured']) THEN 'kinds' END, CASE WHEN k IN (1, 2) AND NOT list_contains(coalesce(w, []), 'conflict') THEN 'warning' END,
+  CASE WHEN k = 2 AND NOT list_contains(coalesce(vals, []), 'open') THEN 'value' END, CASE WHEN k >= 3 AND len(list_filter(coalesce(refs, []), lambda r: starts_with(r, 'internal_note/1'))) > 0 THEN 'excluded' END,
+  CASE WHEN k <> 3 AND coalesce(c, 0) > 4 THEN 'items' END], lambda x: x IS NOT NULL) AS failed FROM cases LEFT JOIN cited USING (task_id) LEFT JOIN held USING (task_id) LEFT JOIN warned USING (task_id))
+SELECT task_id, len(failed) = 0 AS passed, array_to_string(failed, ',') AS failed FROM judged""")
 def case_checks(spark, sf_dir):
-    items = corpus.package_items(spark, sf_dir)
-    cases = corpus.tasks(spark, sf_dir).select("task_id", F.array((F.col("task_id") * 7).cast("string")).alias("expected_docs"), F.lit(None).cast("string").alias("expected_warning"), F.lit(4).alias("max_items"))
-    return evaluate.case_checks(cases, items, package.missing_warnings(items, corpus.tasks(spark, sf_dir)))
+    """Demands on the packages of all tasks: any of some documents, kinds, a warning, a value, a prefix that must not appear, a size."""
+    t, found = F.col("task_id"), corpus.resolved(spark, sf_dir)
+    k = t % 5
+    docs = F.array((t * 7).cast("string"), F.concat((t - 1_000_000).cast("string"), F.lit("-1")), t.cast("string"))
+    cases = corpus.tasks(spark, sf_dir).select(
+        "task_id", F.when(k != 0, docs).alias("expected_docs"), F.when(k == 1, F.array(F.lit("structured"), F.lit("unstructured"))).alias("expected_kinds"), F.when(k.isin(1, 2), "conflict").alias("expected_warning"),
+        F.when(k == 2, "open").alias("expected_value"), F.when(k >= 3, "internal_note/1").alias("excluded_prefix"), F.when(k != 3, 4).alias("max_items"),
+    )
+    return evaluate.case_checks(cases, found.items, found.evidence, found.warnings)
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type AS kind, count(*) AS requests, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def window_metrics_by_hour(spark, sf_dir):
     rows = corpus.table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("event_type").alias("kind"), "value")
     return window_metrics(rows)
+
+
+@query("SELECT 'd/' || doc_id AS source_ref, sha256(coalesce(text, '')) AS content_hash FROM documents")
+def stream_ingest(spark, sf_dir):
+    """Documents that land in two parts, some of the second with another text before, streamed into a store of buckets."""
+    landing, path, marks = (fresh_path(spark, name) for name in ("landing", "stream-store", "stream-marks"))
+    rows = corpus.table(spark, sf_dir, "documents").select(F.concat(F.lit("d/"), "doc_id").alias("source_ref"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"), (F.col("doc_id") % 3).alias("part"))
+    item_store.create(rows.limit(0).drop("part"), path, 16)
+    schema = rows.drop("part").schema
+    early = rows.where("part = 0").unionByName(rows.where("part = 1").withColumn("content_hash", F.lit("old")))
+    for landed in (early, rows.where("part > 0")):
+        landed.drop("part").write.mode("append").parquet(landing)
+        streams.stream_ingest(spark, landing, schema, lambda batch: batch, path, marks, buckets=16)
+    return item_store.load(spark, path)

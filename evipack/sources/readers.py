@@ -42,3 +42,20 @@ def write_items(items: DataFrame, path: str) -> None:
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.write.mode("overwrite").json(path)
+
+
+def write_documents(docs: DataFrame, folder: str) -> None:
+    """(doc_id, text) as a folder with one text file per document, which ends in \\n, each written where its row lies."""
+    docs.write.partitionBy("doc_id").text(folder)
+
+
+def read_document_folders(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, text) from folders `doc_id=...` with one text file each."""
+    rows = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
+    return rows.select(F.col("doc_id").cast("string").alias("doc_id"), F.regexp_replace("value", r"\r\n?", "\n").alias("text"))
+
+
+def write_package(found, folder: str) -> None:
+    """The long form of packages: heads, items, evidence and warnings, each as a table."""
+    for name in ("heads", "items", "evidence", "warnings"):
+        getattr(found, name).write.mode("overwrite").parquet(f"{folder}/{name}")

@@ -4,21 +4,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evipack.operators import incremental
+from evipack.sources import store as st
 
 
-def stream_ingest(spark: SparkSession, landing: str, schema, to_items, store: str, checkpoint: str):
-    """Run all waiting files through the upsert, version by version; running it again changes nothing.
+def stream_ingest(spark: SparkSession, landing: str, schema, to_items, store: str, checkpoint: str, order: str = "source_ref", buckets: int = st.BUCKETS):
+    """Run all waiting files through the upsert; running it again changes nothing.
 
-    `to_items` maps a batch to item rows. Each micro-batch writes `store/v=<n>` and names it current only when it is
-    whole, so a batch that is run again after a loss overwrites its own version. Absence is no deletion in a stream.
+    `to_items` maps a batch to item rows; of rows with one key in a batch the last by `order` counts. A micro-batch is
+    compared with the store by key and hash and rewrites only the buckets that it touches, so a batch that is run again after a
+    loss finds its rows in place. Absence is no deletion in a stream. `store` must exist (`sources.store.create`).
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        raw = incremental.last_of_each(to_items(batch), "arrived") if "arrived" in batch.columns else to_items(batch)
-        known = current(spark, store, before=number)
-        changed = raw if known is None else incremental.find_changed(raw, known)
-        following = changed if known is None else incremental.upsert(known, changed, changed.select("source_ref").limit(0))
-        following.write.mode("overwrite").parquet(f"{store}/v={number:09d}")
+        raw = incremental.last_of_each(to_items(batch), order)
+        known = st.load(spark, store)
+        changed = incremental.find_changed(raw, known)
+        st.merge(spark, store, changed, changed.select("source_ref").limit(0), buckets)
 
     stream = spark.readStream.schema(schema).parquet(landing)
     query = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -26,16 +27,6 @@ def stream_ingest(spark: SparkSession, landing: str, schema, to_items, store: st
     return query
 
 
-def current(spark: SparkSession, store: str, before: int | None = None) -> DataFrame | None:
-    """The newest version of the store, or None."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(store)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [s.getPath() for s in files.listStatus(path)] if files.exists(path) else []
-    done = [p for p in found if p.getName().startswith("v=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    numbers = sorted(n for n in (int(p.getName()[2:]) for p in done) if before is None or n < before)
-    return spark.read.parquet(f"{store}/v={numbers[-1]:09d}") if numbers else None
-
-
 def window_metrics(requests: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Per window and kind: requests and summed value. `requests` has ts, kind, value; works on streams and tables."""
     timed = requests.withWatermark("ts", late) if requests.isStreaming else requests

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evipack.operators import evaluate, facts, fusion, hooks, incremental, lexical, package, packing, vectors
 from evipack.plans import corpus
-from evipack.sources import normalize, readers
+from evipack.sources import normalize, readers, store
 from evipack.streaming import streams
 
 FACT = "source_ref string, fact_key string, fact_value string, observed_at timestamp_ntz, confidence double"
@@ -26,7 +26,7 @@ def test_conflict_and_duplicate(spark):
     conflict = facts.conflicts(df).collect()
     assert [(r.fact_key, r.winner_ref, r.n_rows, r.n_values) for r in conflict] == [("Service|FY 2022", "a", 3, 2)]
     assert [e.source_ref for e in conflict[0].evidence] == ["a", "b", "c"]
-    assert "91,947 from b (2023-03-02, confidence 0.6)" in conflict[0].message
+    assert "91,947 in b of 2023-03-02, trust 0.6" in conflict[0].message
     assert [(r.fact_key, r.winner_ref) for r in facts.duplicates(df).collect()] == [("Dividend|FY 2023", "d")]
 
 
@@ -127,7 +127,7 @@ def test_rendering(spark):
     items = spark.createDataFrame([(1, 1, "[1]", "First sentence. Second sentence.")], "task_id int, n int, ref string, content string")
     warnings = spark.createDataFrame([(1, "stale", "old")], "task_id int, kind string, message string")
     found = dict(package.extractive_answers(tasks, items, warnings).collect())
-    assert found[1] == "- First sentence. [1]\n- Warning (stale): old" and "cannot be answered" in found[2]
+    assert found[1] == "- First sentence. [1]\n- Warning (stale): old" and "no answer" in found[2]
 
 
 def test_citation_coverage(spark):
@@ -137,13 +137,14 @@ def test_citation_coverage(spark):
 
 def test_stream_equals_batch(spark, tmp_path):
     kind = "source_ref string, content_hash string"
-    landing, store, marks = (f"{tmp_path}/{n}" for n in ("landing", "store", "marks"))
+    landing, path, marks = (f"{tmp_path}/{n}" for n in ("landing", "store", "marks"))
+    store.create(spark.createDataFrame([], kind), path, 4)
     spark.createDataFrame([("a", "1"), ("b", "1")], kind).write.mode("append").parquet(landing)
-    streams.stream_ingest(spark, landing, kind, lambda b: b.dropDuplicates(["source_ref"]), store, marks)
-    spark.createDataFrame([("b", "2"), ("c", "1")], kind).write.mode("append").parquet(landing)
-    streams.stream_ingest(spark, landing, kind, lambda b: b.dropDuplicates(["source_ref"]), store, marks)
-    streams.stream_ingest(spark, landing, kind, lambda b: b.dropDuplicates(["source_ref"]), store, marks)
-    assert sorted(map(tuple, streams.current(spark, store).collect())) == [("a", "1"), ("b", "2"), ("c", "1")]
+    streams.stream_ingest(spark, landing, kind, lambda b: b, path, marks, "content_hash", 4)
+    spark.createDataFrame([("b", "1"), ("b", "2"), ("c", "1")], kind).write.mode("append").parquet(landing)
+    streams.stream_ingest(spark, landing, kind, lambda b: b, path, marks, "content_hash", 4)
+    streams.stream_ingest(spark, landing, kind, lambda b: b, path, marks, "content_hash", 4)
+    assert sorted(map(tuple, store.load(spark, path).select("source_ref", "content_hash").collect())) == [("a", "1"), ("b", "2"), ("c", "1")]
 
 
 def test_postings_and_matches(spark):
@@ -160,4 +161,50 @@ def test_postings_and_matches(spark):
 
 def test_configurations_are_tasks_of_their_own(spark):
     rows = corpus.configured(spark.createDataFrame([(1,), (2,)], "task_id long")).collect()
-    assert sorted((r.task_id, r.config) for r in rows) == [(3, 0), (4, 1), (5, 2), (6, 0), (7, 1), (8, 2)]
+    assert sorted((r.task_id, r.config) for r in rows) == [(5 * t + k, k) for t in (1, 2) for k in range(5)]
+
+
+def test_store_rewrites_touched_buckets(spark, tmp_path):
+    """Changed, new and deleted keys, a bucket that loses its only row, and the same merge once more."""
+    kind, path = "source_ref string, content_hash string", f"{tmp_path}/store"
+    rows = [(f"k{i}", "1") for i in range(20)]
+    store.create(spark.createDataFrame(rows, kind), path, 64)
+    before = {r.bucket: r.f for r in spark.read.parquet(path).selectExpr("bucket", "_metadata.file_path AS f").collect()}
+    changed, gone = spark.createDataFrame([("k1", "2"), ("new", "1")], kind), spark.createDataFrame([("k2", "")], kind)
+    for _ in range(2):
+        store.merge(spark, path, changed, gone, 64)
+        found = dict(store.load(spark, path).collect())
+        assert found == {k: v for k, v in {**dict(rows), "k1": "2", "new": "1"}.items() if k != "k2"}
+    after = {r.bucket: r.f for r in spark.read.parquet(path).selectExpr("bucket", "_metadata.file_path AS f").collect()}
+    assert 10 < sum(after[b] == f for b, f in before.items()) < len(before)
+
+
+def test_reconcile(spark):
+    """A fact comes as its newest in-scope row, with the hit's score, all rows as evidence, and a warning."""
+    row = lambda ref, value, d, scope="public", key="Sales|FY 2022": (ref, key, value, day(2023, 1, d), 0.6, "internal_note", "d", "structured", ref, f"text {ref}", {"value": value}, "day", scope, ref)
+    kind = "source_ref string, fact_key string, fact_value string, observed_at timestamp_ntz, confidence double, source string, doc_id string, kind string, title string, content string, fields map<string,string>, timestamp_precision string, scope string, content_hash string"
+    items = spark.createDataFrame([row("a", "5", 1), row("b", "6", 3), row("c", "7", 9, "private"), row("d", "1", 1, key="Staff|FY 2022"), row("e", "1", 2, key="Staff|FY 2022"), row("f", None, 1, key=None)], kind)
+    hits = items.where("source_ref IN ('a', 'd', 'f')").selectExpr("1L AS task_id", "*", "array('public') AS scopes", "0.5 AS score", "array('why') AS why", "CASE source_ref WHEN 'a' THEN 1 WHEN 'd' THEN 2 ELSE 3 END AS rank")
+    found = facts.reconcile(hits, facts.group_of_hits(hits, items.where("fact_key IS NOT NULL"))).orderBy("rank").collect()
+    assert [(r.source_ref, [e.source_ref for e in r.evidence], r.warning and r.warning.kind, len(r.why)) for r in found] == [("b", ["b", "a"], "conflict", 2), ("e", ["e", "d"], "duplicate", 2), ("f", ["f"], None, 1)]
+    assert found[0].warning.refs == ["b", "a"] and "stands" in found[0].warning.resolution
+
+
+def test_vectors_keep_to_scopes(spark):
+    rows = [(k, [float(k), 1.0], ("public", "private")[k % 2], ["public"] if k % 4 else ["public", "private"]) for k in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, scope string, scopes array<string>")
+    found = vectors.cosine_top_k(df.where("vec_id % 4 < 2"), df, 50, block=3, query_scopes="scopes", item_scope="scope").collect()
+    assert {(r.query_id, r.item_id) for r in found} == {(q, i) for q in range(40) if q % 4 < 2 for i in range(40) if i % 2 == 0 or q % 4 == 0}
+
+
+def test_case_checks(spark):
+    """One expected document is enough; every other demand counts, and what is null is not asked for."""
+    cases = spark.createDataFrame(
+        [(1, ["5", "9"], ["structured"], "stale", "7", "x/", 2), (2, ["9"], None, None, None, None, None), (3, None, ["a", "b"], "conflict", "8", "note/", 0), (4, None, None, None, None, None, 0)],
+        "task_id long, expected_docs array<string>, expected_kinds array<string>, expected_warning string, expected_value string, excluded_prefix string, max_items int",
+    )
+    items = spark.createDataFrame([(k, "structured", {"value": "7"}) for k in (1, 2, 3)], "task_id long, kind string, fields map<string,string>")
+    evidence = spark.createDataFrame([(k, "5", "note/1") for k in (1, 2, 3)], "task_id long, doc_id string, source_ref string")
+    warnings = spark.createDataFrame([(1, "stale")], "task_id long, kind string")
+    found = {r.task_id: (r.passed, r.failed) for r in evaluate.case_checks(cases, items, evidence, warnings).collect()}
+    assert found == {1: (True, ""), 2: (False, "docs"), 3: (False, "kinds,warning,value,excluded,items"), 4: (True, "")}
