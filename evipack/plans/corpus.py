@@ -53,7 +53,9 @@ def records(spark, sf_dir) -> DataFrame:
 
 def items(spark, sf_dir) -> DataFrame:
     """The item store, stored: chunks of documents, records, facts of results tables, messages and the facts they tag."""
-    docs, recs, messages = documents(spark, sf_dir), records(spark, sf_dir), notes(spark, sf_dir)
+    recs, messages = records(spark, sf_dir), notes(spark, sf_dir)
+    # dated once for chunks and records; both join by doc_id, so dealing the texts by it here replaces their joins' exchange
+    docs = stored(normalize.dated(documents(spark, sf_dir).repartition("doc_id")), "dated-documents")
     rows = normalize.all_items(
         normalize.press_releases(docs, recs.select("doc_id", "title"), RULES), normalize.records(recs, docs), normalize.financial_facts(table_texts(spark, sf_dir), ENTITY),
         normalize.internal_notes(messages), normalize.note_facts(messages, ENTITY),
