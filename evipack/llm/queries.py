@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evipack.llm import bpe, exact_dedup, html, licenses, line_dedup, mixing, pii, quality, simhash, token_counts
+from evipack.llm import bpe, exact_dedup, filter_audit, html, licenses, line_dedup, middle, mixing, pii, quality, sharding, simhash, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,22 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_licenses, op3_token_counts, op4_quality, op5_exact_dedup, op6_bpe, op7_html, op8_pii, op9_line_dedup, op10_mixing)}
+def op11_sharding(spark, sf_dir):
+    found = sharding.kd_shards(_documents(spark, sf_dir), shards=40)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit.filter_audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_middle(spark, sf_dir):
+    found = middle.fill_in_middle(_documents(spark, sf_dir))
+    again = middle.restored(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_licenses, op3_token_counts, op4_quality, op5_exact_dedup, op6_bpe, op7_html, op8_pii, op9_line_dedup, op10_mixing, op11_sharding, op12_filter_audit, op13_middle)}
 
 _LICENSE_ROWS = ", ".join("({}, '{}', '{}')".format(k, n, t.replace("'", "''")) for k, (n, t) in enumerate(licenses.TEMPLATES))
 _WORDS = "string_split(trim(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')), ' ')"
@@ -95,5 +110,36 @@ common AS (SELECT k, max(doc_id) AS keeper FROM lines WHERE length(k) >= 40 GROU
 marked AS (SELECT l.doc_id, i, line, keeper IS NOT NULL AND keeper <> doc_id AS gone FROM lines l LEFT JOIN common c USING (k))
 SELECT doc_id, count(*)::BIGINT AS n_lines, count_if(gone)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM marked GROUP BY doc_id
+""",
+    # every order applied step by step to every set of failures
+    "op12_filter_audit": """
+WITH RECURSIVE texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+words AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, doc_id > min(doc_id) OVER (PARTITION BY t) AS again FROM texts),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+failed AS (SELECT part, (len(w) < 100) AS a, (100 * len(list_distinct(w)) < 80 * len(w)) AS b, (100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t)) AS c,
+  regexp_matches(t, '[#$%&*|]') AS d, coalesce(again, false) AS e, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM words LEFT JOIN marks USING (doc_id)),
+sets AS (SELECT part, list_filter([CASE WHEN a THEN 'A' END, CASE WHEN b THEN 'B' END, CASE WHEN c THEN 'C' END, CASE WHEN d THEN 'D' END, CASE WHEN e THEN 'E' END], lambda x: x IS NOT NULL) AS f,
+  count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY ALL),
+walk AS (SELECT '' AS o UNION ALL SELECT o || x FROM walk, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(x) WHERE NOT contains(o, x)),
+steps AS (SELECT o AS filter_order, k::INT AS step, o[k] AS x, string_split(o[1:k - 1], '') AS earlier FROM walk, range(1, 6) r(k) WHERE length(o) = 5),
+told AS (SELECT part, filter_order, step, x,
+  coalesce(sum(n) FILTER (NOT list_has_any(f, earlier) AND NOT list_contains(f, x)), 0) AS kept,
+  coalesce(sum(n) FILTER (NOT list_has_any(f, earlier) AND list_contains(f, x)), 0) AS removed,
+  coalesce(sum(n) FILTER (list_has_any(f, earlier) AND list_contains(f, x)), 0) AS redundant,
+  coalesce(sum(n) FILTER (f = [x]), 0) AS unique_fails,
+  coalesce(sum(good) FILTER (NOT list_has_any(f, earlier) AND list_contains(f, x)), 0) AS good_lost,
+  coalesce(sum(toxic) FILTER (NOT list_has_any(f, earlier) AND list_contains(f, x)), 0) AS toxic_lost
+  FROM sets, steps GROUP BY part, filter_order, step, x)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+  toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM told
+""",
+    "op13_middle": """
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+draws AS (SELECT doc_id, t, regexp_extract_all(t, '[^\\n]*\\n|[^\\n]+') AS l, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2, ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM texts),
+cuts AS (SELECT doc_id, t, l, len(l) AS n, least(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS a, greatest(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM draws),
+parts AS (SELECT doc_id, t, n, form, array_to_string(l[1:a], '') AS p, array_to_string(l[a + 1:b], '') AS m, array_to_string(l[b + 1:], '') AS s FROM cuts)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM parts
 """,
 }
