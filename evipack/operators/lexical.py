@@ -1,11 +1,36 @@
-"""Lexical channel for many tasks at once: postings, inverse document frequency, coverage, strict and loose lists."""
+"""Lexical channel for many tasks at once: postings, inverse document frequency, coverage, strict and loose lists.
 
-from pyspark.sql import DataFrame, Window
+A task's lists come from candidates, not from all its matches. Terms that few items have (rare ones) propose all these items by their
+postings. Terms that many items have (hot ones) would match a large share of the table for every task; of an item without any rare
+term of the task only its hot terms count, so it can be on a list only if it is among the best by hot terms alone. These are
+found part by part without a row per match (`operators.topk`). Candidates then get their whole score from the terms of
+their item, one row each.
+"""
+
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evipack.functions.text import terms
+from evipack.operators import topk
 from evipack.schema import DEFAULTS, Settings
 
+#: A term is hot if more than this share of all items have it, and more than so many.
+HOT_SHARE, HOT_LEAST = 1 / 512, 64
+
+
+class Index(NamedTuple):
+    """What the lists are made from: `postings`, `weights` (term, df, weight) and `items` (source_ref, scope, n_terms, tfs, a map
+    of term frequencies); and the number of items, those without terms included."""
+
+    postings: DataFrame
+    weights: DataFrame
+    items: DataFrame
+    n_items: int
+
 
 def item_terms(items: DataFrame) -> DataFrame:
     """`items` (source_ref, scope, title, content) plus all its terms.
@@ -24,6 +49,11 @@ def postings(items: DataFrame) -> DataFrame:
     return each.groupBy("source_ref", "scope", "n_terms", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def item_maps(posts: DataFrame) -> DataFrame:
+    """(source_ref, scope, n_terms, tfs): the postings of each item as a map of term frequencies."""
+    return posts.groupBy("source_ref", "scope", "n_terms").agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("tfs"))
+
+
 def idf(items: DataFrame, posts: DataFrame) -> DataFrame:
     """(term, df, weight): ln(items / items with the term), over all scopes."""
     n = items.agg(F.count(F.lit(1)).alias("n_items"))
@@ -60,6 +90,96 @@ def matches(posts: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
+def _bounded(wanted: DataFrame) -> DataFrame:
+    """A row per task: scopes, total, and its terms with weights, as one array."""
+    each = F.collect_list(F.struct("term", "w")).alias("wanted")
+    return wanted.groupBy("task_id").agg(F.first("scopes").alias("scopes"), F.first("total").alias("total"), each)
+
+
+def scored(pairs: DataFrame, index: Index, wanted: DataFrame) -> DataFrame:
+    """The row of `matches` for each of `pairs` (task_id, source_ref, distinct); pairs that share no term are left out."""
+    rows = pairs.join(_bounded(wanted), "task_id").join(index.items, "source_ref")
+    own = F.filter("wanted", lambda x: F.map_contains_key("tfs", x.term))
+    add = lambda of: F.aggregate("own", F.lit(0.0), lambda a, x: a + of(x))
+    rows = rows.select("task_id", "source_ref", "tfs", "n_terms", "total", F.size("wanted").alias("n_wanted"), own.alias("own")).where(F.size("own") > 0)
+    return rows.select(
+        "task_id", "source_ref",
+        F.round(F.when(F.col("total") > 0, add(lambda x: x.w) / F.col("total")).otherwise(0.0), 9).alias("coverage"),
+        F.round(add(lambda x: F.element_at("tfs", x.term)) / (1 + F.log("n_terms")), 9).alias("text_rank"),
+        F.sort_array(F.transform("own", lambda x: x.term)).alias("matched"), (F.size("own") == F.col("n_wanted")).alias("all_terms"),
+    )
+
+
+def hot_from(index: Index, share: float = HOT_SHARE, least: int = HOT_LEAST) -> float:
+    return max(least, share * index.n_items)
+
+
+def rare_pairs(index: Index, wanted: DataFrame, hot: float) -> DataFrame:
+    """(task_id, source_ref) of in-scope items with any term of the task that at most `hot` items have."""
+    rare = wanted.join(index.weights.where(F.col("df") <= hot).select("term"), "term", "left_semi")
+    met = index.postings.select("source_ref", "scope", "term").join(rare.select("task_id", "scopes", "term"), "term")
+    return met.where(F.array_contains("scopes", F.col("scope"))).select("task_id", "source_ref").distinct()
+
+
+def _counts(asked: pa.Table, held: pa.Table, k: int) -> np.ndarray:
+    """Keys of the k best items by hot terms, for tasks with nothing else also among the items that have them all."""
+    own, theirs = asked["terms"].combine_chunks(), held["terms"].combine_chunks()
+    known, place = np.unique(own.flatten().to_numpy(), return_inverse=True)
+    sizes = np.diff(own.offsets.to_numpy())
+    has = np.zeros((len(own), len(known)))
+    has[np.repeat(np.arange(len(own)), sizes), place] = 1
+    scopes, whole = topk.seen(asked["scopes"].to_pylist(), held["scope"].to_pylist()), asked["whole"].to_numpy()
+    best = np.full((len(own), 2 * k), topk.NOTHING)
+    norms = held["norm"].to_numpy()
+    for at in range(0, len(theirs), topk.STEP):
+        some, tfs = theirs.slice(at, topk.STEP), held["tfs"].combine_chunks().slice(at, topk.STEP)
+        found = np.searchsorted(known, hashes := some.flatten().to_numpy())
+        found[found == len(known)] = 0
+        hit = known[found] == hashes if len(known) else np.zeros(0, bool)
+        rows = np.repeat(np.arange(len(some)), np.diff(some.offsets.to_numpy()))[hit]
+        dense = np.zeros((len(some), len(known)))
+        dense[rows, found[hit]] = tfs.flatten().to_numpy()[hit]
+        positions = has @ dense.T
+        numbers = np.arange(at, at + len(some))
+        fresh = np.where((positions > 0) & scopes[:, numbers], topk.keys(positions / norms[numbers], numbers[None, :]), topk.NOTHING)
+        every = np.where((has @ (dense > 0).T == sizes[:, None]) & whole[:, None], fresh, topk.NOTHING)
+        for half, more in ((slice(0, k), fresh), (slice(k, 2 * k), every)):
+            won = (more > best[:, half].min(axis=1)[:, None]).any(axis=1)
+            best[won, half] = topk.better(best[won, half], more[won])
+    return best
+
+
+def hot_pairs(index: Index, wanted: DataFrame, hot: float, k: int, part: int = topk.PART, block: int = topk.BLOCK) -> DataFrame:
+    """(task_id, source_ref) of the k best in-scope items by the terms of the task that more than `hot` items have, and of the k best that
+    have all terms, for tasks with hot terms only. Rows are as many as tasks, parts and k allow, whatever matches."""
+    asked = wanted.join(index.weights.where(F.col("df") > hot).select("term"), "term").groupBy("task_id").agg(
+        F.first("scopes").alias("scopes"), F.collect_list(F.xxhash64("term")).alias("terms"), (F.count(F.lit(1)) == F.first("n_task_terms")).alias("whole")
+    )
+    items = index.items.select(
+        F.col("source_ref").alias("id"), "scope", (1 + F.log("n_terms")).alias("norm"), F.transform(F.map_keys("tfs"), lambda t: F.xxhash64(t)).alias("terms"), F.map_values("tfs").alias("tfs")
+    )
+    found = topk.best_pairs(asked.withColumnRenamed("task_id", "id"), items, k, _counts, ("task_id", "source_ref", "rank_by_hot"), part, block)
+    return found.select("task_id", "source_ref").distinct()
+
+
+def candidates(index: Index, wanted: DataFrame, s: Settings = DEFAULTS, hot: float | None = None) -> DataFrame:
+    """(task_id, source_ref) of all items that can be on the loose or strict list of a task.
+
+    An item with no rare term of the task and a place on a list has fewer than k items before it; each of them would be before it by
+    hot terms alone as well, or is one of the k best by these. A few more than k are kept, for scores that differ by rounding only.
+    """
+    hot = hot_from(index) if hot is None else hot
+    return rare_pairs(index, wanted, hot).unionByName(hot_pairs(index, wanted, hot, s.top_k * s.wide + 8)).distinct()
+
+
+def with_all_terms(index: Index, wanted: DataFrame) -> DataFrame:
+    """(task_id, source_ref) of in-scope items that have every term of the task: its rarest term proposes them."""
+    known = wanted.join(index.weights.select("term", "df"), "term")
+    rarest = known.groupBy("task_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.first("scopes").alias("scopes"))
+    met = index.postings.select("source_ref", "scope", "term").join(rarest, "term").where(F.array_contains("scopes", F.col("scope")))
+    return scored(met.select("task_id", "source_ref").distinct(), index, wanted).where("all_terms").select("task_id", "source_ref")
+
+
 def _ranked(rows: DataFrame, k: int, *order) -> DataFrame:
     turn = F.row_number().over(Window.partitionBy("task_id").orderBy(*order, F.col("source_ref")))
     return rows.withColumn("rank", turn).where(F.col("rank") <= k)

@@ -79,29 +79,41 @@ def tasks(spark, sf_dir) -> DataFrame:
     )
 
 
-def found(spark, sf_dir, store: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
-    """Matches of all tasks, stored, as the loose list, the strict one and the coverage of hits all come from them."""
-    store = items(spark, sf_dir) if store is None else store
-    asked = tasks(spark, sf_dir) if asked is None else asked
+def text_index(store: DataFrame) -> lexical.Index:
+    """Postings, weights and term maps of a store, each stored."""
     posts = stored(lexical.postings(store), "postings")
-    return stored(lexical.matches(posts, lexical.task_terms(asked, lexical.idf(store, posts))), "matches")
+    return lexical.Index(posts, stored(lexical.idf(store, posts), "weights"), stored(lexical.item_maps(posts), "term-maps"), store.count())
 
 
-def lists(spark, sf_dir) -> DataFrame:
-    """The loose list (0) and the strict one (1) of every task."""
-    return rs.text_lists(found(spark, sf_dir), "lexical", 0)
+def found(index: lexical.Index, wanted: DataFrame) -> DataFrame:
+    """Scored candidates of all tasks, stored, as the loose list, the strict one and the coverage of hits all come from them."""
+    return stored(lexical.scored(lexical.candidates(index, wanted), index, wanted), "candidates")
 
 
-def hits(spark, sf_dir) -> DataFrame:
+def searched(spark, sf_dir, store: DataFrame, asked: DataFrame) -> tuple[lexical.Index, DataFrame, DataFrame]:
+    """The index of a store, the terms of the tasks, and what they find."""
+    index = text_index(store)
+    wanted = stored(lexical.task_terms(asked, index.weights), "task-terms")
+    return index, wanted, found(index, wanted)
+
+
+def matches(spark, sf_dir) -> DataFrame:
+    """Every match of every task."""
     store = items(spark, sf_dir)
-    matched = found(spark, sf_dir, store)
-    return rs.hits_of(tasks(spark, sf_dir), store, rs.text_lists(matched, "lexical", 0), matched)
+    index = text_index(store)
+    return lexical.matches(index.postings, lexical.task_terms(tasks(spark, sf_dir), index.weights))
+
+
+def hits(spark, sf_dir) -> DataFrame:
+    store, asked = items(spark, sf_dir), stored(tasks(spark, sf_dir), "tasks")
+    _, _, matched = searched(spark, sf_dir, store, asked)
+    return rs.hits_of(asked, store, rs.text_lists(matched, "lexical", 0), matched)
 
 
 def resolved(spark, sf_dir) -> rs.Package:
     """Packages of all tasks from the lexical channel."""
     store, asked = items(spark, sf_dir), stored(tasks(spark, sf_dir), "tasks")
-    matched = found(spark, sf_dir, store, asked)
+    _, _, matched = searched(spark, sf_dir, store, asked)
     return rs.resolve(asked, store, rs.hits_of(asked, store, rs.text_lists(matched, "lexical", 0), matched))
 
 
@@ -142,13 +154,16 @@ def vector_list(asked: DataFrame, store: DataFrame, column: str, channel: str, n
 
 
 def channel_lists(spark, sf_dir, store: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The lists of all channels (0, 1 lexical; 2 dense; 3, 4 lexical with notes; 5 dense with notes) and the plain matches."""
+    """The lists of all channels (0, 1 lexical; 2 dense; 3, 4 lexical with notes; 5 dense with notes), and what the plain terms of a
+    task cover in every item on one of them."""
     noted = store.withColumn("content", F.concat_ws(" ", "context_note", "content"))
-    plain, contextual = found(spark, sf_dir, store, asked), found(spark, sf_dir, noted, asked)
+    index, wanted, plain = searched(spark, sf_dir, store, asked)
+    _, _, contextual = searched(spark, sf_dir, noted, asked)
     vectored = asked_vectors(spark, sf_dir, asked)
     every = rs.text_lists(plain, "lexical", 0).unionByName(rs.text_lists(contextual, "lexical_ctx", 3))
     every = every.unionByName(vector_list(vectored, store, "embedding", "dense", 2)).unionByName(vector_list(vectored, store, "embedding_ctx", "dense_ctx", 5))
-    return stored(every, "channel-lists"), plain
+    every = stored(every, "channel-lists")
+    return every, stored(lexical.scored(every.select("task_id", "source_ref").distinct(), index, wanted), "covered")
 
 
 def configured(rows: DataFrame) -> DataFrame:

@@ -531,17 +531,21 @@ def idf_weights(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {FOUND} SELECT task_id, source_ref, coverage, array_to_string(matched, ' ') AS matched FROM found")
 def task_coverage(spark, sf_dir):
-    return corpus.found(spark, sf_dir).select("task_id", "source_ref", "coverage", F.array_join("matched", " ").alias("matched"))
+    return corpus.matches(spark, sf_dir).select("task_id", "source_ref", "coverage", F.array_join("matched", " ").alias("matched"))
+
+
+def _found(spark, sf_dir):
+    return corpus.searched(spark, sf_dir, corpus.items(spark, sf_dir), stored(corpus.tasks(spark, sf_dir), "tasks"))[2]
 
 
 @query(f"WITH RECURSIVE {FOUND} SELECT task_id, source_ref, coverage, text_rank, rank::INT AS rank FROM loose")
 def loose_hits(spark, sf_dir):
-    return lexical.loose_list(corpus.found(spark, sf_dir)).select("task_id", "source_ref", "coverage", "text_rank", "rank")
+    return lexical.loose_list(_found(spark, sf_dir)).select("task_id", "source_ref", "coverage", "text_rank", "rank")
 
 
 @query(f"WITH RECURSIVE {FOUND} SELECT task_id, source_ref, text_rank, rank::INT AS rank FROM strict")
 def strict_hits(spark, sf_dir):
-    return lexical.strict_list(corpus.found(spark, sf_dir)).select("task_id", "source_ref", "text_rank", "rank")
+    return lexical.strict_list(_found(spark, sf_dir)).select("task_id", "source_ref", "text_rank", "rank")
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 20 = 0),
@@ -585,10 +589,10 @@ _SCORED = f"{FOUND}, {sql_hits(score='CASE WHEN length(cut.source_ref) % 4 <> 0
 
 
 def _reranked(spark, sf_dir):
-    store = corpus.items(spark, sf_dir)
-    matched = corpus.found(spark, sf_dir, store)
+    store, asked = corpus.items(spark, sf_dir), stored(corpus.tasks(spark, sf_dir), "tasks")
+    matched = corpus.searched(spark, sf_dir, store, asked)[2]
     lists = rs.text_lists(matched, "lexical", 0)
-    return rs.hits_of(corpus.tasks(spark, sf_dir), store, lists, matched, corpus.scored(lists.select("task_id", "source_ref").distinct()))
+    return rs.hits_of(asked, store, lists, matched, corpus.scored(lists.select("task_id", "source_ref").distinct()))
 
 
 @query(f"WITH RECURSIVE {_SCORED} SELECT task_id, source_ref, rerank_score, rank::INT AS rank FROM hits")
@@ -797,14 +801,14 @@ _MEASURES = """count(*) AS tasks, round(avg(CASE WHEN wanted > 0 THEN (found > 0
 def _golden(spark, sf_dir):
     """Passages as questions; the documents that hold a passage are expected, a passage in none is to be refused.
 
-    Documents are found by their terms first (all of the passage's), then by the text itself.
+    Documents are found by the passage's rarest term first, then by all of them, then by the text itself.
     """
     tasks = corpus.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("task_id"), F.col("text").alias("passage"))
     # A passage's first and last words may be parts of words of the document, so its inner words find it.
     asked = tasks.select("task_id", F.regexp_replace("passage", r"^\S+\s|\s\S+$", "").alias("task"), F.array(F.lit("public")).alias("scopes"))
     whole = corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_ref"), F.lit("public").alias("scope"), F.lit("").alias("title"), F.coalesce("text", F.lit("")).alias("content"))
-    posts = stored(lexical.postings(whole), "golden-postings")
-    found = lexical.matches(posts, lexical.task_terms(asked, lexical.idf(whole, posts))).where("all_terms").select("task_id", "source_ref")
+    index = corpus.text_index(whole)
+    found = lexical.with_all_terms(index, stored(lexical.task_terms(asked, index.weights), "golden-terms"))
     pairs = found.join(whole.select("source_ref", "content"), "source_ref").join(tasks, "task_id").where(F.contains("content", F.col("passage")))
     expected = pairs.groupBy("task_id").agg(F.collect_list("source_ref").alias("expected"))
     rows = tasks.select("task_id").join(expected, "task_id", "left")

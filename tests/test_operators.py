@@ -109,7 +109,7 @@ def test_vectors_in_blocks(spark):
     rows = [(k, [float(k % 7), float(k % 5), 1.0]) for k in range(60)] + [(60, None), (61, [0.0, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     queries = df.where("vec_id % 20 = 0")
-    few, all_at_once = (sorted(map(tuple, vectors.cosine_top_k(queries, df, 5, block=b).collect())) for b in (7, 1000))
+    few, all_at_once = (sorted(map(tuple, vectors.cosine_top_k(queries, df, 5, block=b, part=4 * b).collect())) for b in (2, 1000))
     assert few == all_at_once and len(few) == 3 * 5
 
 
