@@ -49,9 +49,17 @@ def postings(items: DataFrame) -> DataFrame:
     return each.groupBy("source_ref", "scope", "n_terms", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def item_maps(posts: DataFrame) -> DataFrame:
-    """(source_ref, scope, n_terms, tfs): the postings of each item as a map of term frequencies."""
-    return posts.groupBy("source_ref", "scope", "n_terms").agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("tfs"))
+def item_maps(items: DataFrame) -> DataFrame:
+    """(source_ref, scope, n_terms, tfs): a row per item, with its term frequencies as a map, empty if it has no terms."""
+    each = item_terms(items).select("source_ref", "scope", F.size("terms").alias("n_terms"), F.explode_outer("terms").alias("term"))
+    counted = each.groupBy("source_ref", "scope", "n_terms", "term").agg(F.count(F.lit(1)).alias("tf"))
+    own = F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf")))
+    return counted.groupBy("source_ref", "scope", "n_terms").agg(F.map_from_entries(own).alias("tfs"))
+
+
+def postings_of(maps: DataFrame) -> DataFrame:
+    """The postings of items whose maps are known."""
+    return maps.select("source_ref", "scope", "n_terms", F.explode("tfs").alias("term", "tf"))
 
 
 def idf(items: DataFrame, posts: DataFrame) -> DataFrame:
@@ -155,7 +163,7 @@ def hot_pairs(index: Index, wanted: DataFrame, hot: float, k: int, part: int = t
     asked = wanted.join(index.weights.where(F.col("df") > hot).select("term"), "term").groupBy("task_id").agg(
         F.first("scopes").alias("scopes"), F.collect_list(F.xxhash64("term")).alias("terms"), (F.count(F.lit(1)) == F.first("n_task_terms")).alias("whole")
     )
-    items = index.items.select(
+    items = index.items.where("n_terms > 0").select(
         F.col("source_ref").alias("id"), "scope", (1 + F.log("n_terms")).alias("norm"), F.transform(F.map_keys("tfs"), lambda t: F.xxhash64(t)).alias("terms"), F.map_values("tfs").alias("tfs")
     )
     found = topk.best_pairs(asked.withColumnRenamed("task_id", "id"), items, k, _counts, ("task_id", "source_ref", "rank_by_hot"), part, block)

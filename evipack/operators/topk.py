@@ -65,8 +65,9 @@ def best_pairs(queries: DataFrame, items: DataFrame, k: int, score: Callable, na
 
     def run(asked: pa.Table, held: pa.Table) -> pa.Table:
         asked, held = asked.combine_chunks(), held.sort_by("id").combine_chunks()
-        found = [_pairs(asked, part, score(asked, part, k), names) for part in (held.slice(at, NUMBERS) for at in range(0, held.num_rows, NUMBERS))]
-        return pa.concat_tables(found) if found and asked.num_rows else _pairs(asked, held, np.zeros((0, 0), np.int64), names)
+        if not asked.num_rows or not held.num_rows:
+            return _pairs(asked, held, np.zeros((0, 0), np.int64), names)
+        return pa.concat_tables([_pairs(asked, some, score(asked, some, k), names) for some in (held.slice(at, NUMBERS) for at in range(0, held.num_rows, NUMBERS))])
 
     each = left.groupBy("of part", "of block").cogroup(right.groupBy("of part", "of block"))
     return each.applyInArrow(run, schema)

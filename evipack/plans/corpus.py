@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from evipack.operators import hooks, incremental, lexical, vectors
 from evipack.plans import resolve as rs
 from evipack.schema import DEFAULTS
-from evipack.sources import normalize
-from evipack.stored import stored
+from evipack.sources import normalize, text_index
+from evipack.stored import fresh_path, stored
 
 AS_OF = "2024-07-01 00:00:00"
 ENTITY = "the company"
@@ -51,16 +51,42 @@ def records(spark, sf_dir) -> DataFrame:
     )
 
 
-def items(spark, sf_dir) -> DataFrame:
-    """The item store, stored: chunks of documents, records, facts of results tables, messages and the facts they tag."""
+def all_items(spark, sf_dir) -> DataFrame:
+    """The rows of all sources: chunks of documents, records, facts of results tables, messages and the facts they tag."""
     recs, messages = records(spark, sf_dir), notes(spark, sf_dir)
     # dated once for chunks and records; both join by doc_id, so dealing the texts by it here replaces their joins' exchange
     docs = stored(normalize.dated(documents(spark, sf_dir).repartition("doc_id")), "dated-documents")
-    rows = normalize.all_items(
+    return normalize.all_items(
         normalize.press_releases(docs, recs.select("doc_id", "title"), RULES), normalize.records(recs, docs), normalize.financial_facts(table_texts(spark, sf_dir), ENTITY),
         normalize.internal_notes(messages), normalize.note_facts(messages, ENTITY),
     )
-    return stored(rows, "items")
+
+
+_held: dict[tuple[str, str, str], object] = {}
+
+
+def once(spark, sf_dir: str, name: str, make):
+    """What `make` gives, kept for the session: the item store and its index are made once and read by every query after that."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _held:
+        _held[key] = make()
+    return _held[key]
+
+
+def items(spark, sf_dir) -> DataFrame:
+    """The item store."""
+    return once(spark, sf_dir, "items", lambda: stored(all_items(spark, sf_dir), "items"))
+
+
+def items_index(spark, sf_dir) -> lexical.Index:
+    """The text index of the item store."""
+
+    def make() -> lexical.Index:
+        path = fresh_path(spark, "index")
+        text_index.create(items(spark, sf_dir), path)
+        return text_index.load(spark, path)
+
+    return once(spark, sf_dir, "index", make)
 
 
 def conversation(conv_id):
@@ -79,10 +105,11 @@ def tasks(spark, sf_dir) -> DataFrame:
     )
 
 
-def text_index(store: DataFrame) -> lexical.Index:
-    """Postings, weights and term maps of a store, each stored."""
-    posts = stored(lexical.postings(store), "postings")
-    return lexical.Index(posts, stored(lexical.idf(store, posts), "weights"), stored(lexical.item_maps(posts), "term-maps"), store.count())
+def index_of(store: DataFrame) -> lexical.Index:
+    """The index of a table that is searched once."""
+    maps = stored(lexical.item_maps(store), "term-maps")
+    posts = lexical.postings_of(maps)
+    return lexical.Index(posts, stored(lexical.idf(store, posts), "weights"), maps, store.count())
 
 
 def found(index: lexical.Index, wanted: DataFrame) -> DataFrame:
@@ -90,30 +117,28 @@ def found(index: lexical.Index, wanted: DataFrame) -> DataFrame:
     return stored(lexical.scored(lexical.candidates(index, wanted), index, wanted), "candidates")
 
 
-def searched(spark, sf_dir, store: DataFrame, asked: DataFrame) -> tuple[lexical.Index, DataFrame, DataFrame]:
-    """The index of a store, the terms of the tasks, and what they find."""
-    index = text_index(store)
+def searched(asked: DataFrame, index: lexical.Index) -> tuple[DataFrame, DataFrame]:
+    """The terms of the tasks and what they find."""
     wanted = stored(lexical.task_terms(asked, index.weights), "task-terms")
-    return index, wanted, found(index, wanted)
+    return wanted, found(index, wanted)
 
 
 def matches(spark, sf_dir) -> DataFrame:
     """Every match of every task."""
-    store = items(spark, sf_dir)
-    index = text_index(store)
+    index = items_index(spark, sf_dir)
     return lexical.matches(index.postings, lexical.task_terms(tasks(spark, sf_dir), index.weights))
 
 
 def hits(spark, sf_dir) -> DataFrame:
-    store, asked = items(spark, sf_dir), stored(tasks(spark, sf_dir), "tasks")
-    _, _, matched = searched(spark, sf_dir, store, asked)
-    return rs.hits_of(asked, store, rs.text_lists(matched, "lexical", 0), matched)
+    asked = stored(tasks(spark, sf_dir), "tasks")
+    matched = searched(asked, items_index(spark, sf_dir))[1]
+    return rs.hits_of(asked, items(spark, sf_dir), rs.text_lists(matched, "lexical", 0), matched)
 
 
-def resolved(spark, sf_dir) -> rs.Package:
+def resolved(spark, sf_dir, asked: DataFrame | None = None) -> rs.Package:
     """Packages of all tasks from the lexical channel."""
-    store, asked = items(spark, sf_dir), stored(tasks(spark, sf_dir), "tasks")
-    _, _, matched = searched(spark, sf_dir, store, asked)
+    asked = stored(tasks(spark, sf_dir) if asked is None else asked, "tasks")
+    store, matched = items(spark, sf_dir), searched(asked, items_index(spark, sf_dir))[1]
     return rs.resolve(asked, store, rs.hits_of(asked, store, rs.text_lists(matched, "lexical", 0), matched))
 
 
@@ -157,8 +182,8 @@ def channel_lists(spark, sf_dir, store: DataFrame, asked: DataFrame) -> tuple[Da
     """The lists of all channels (0, 1 lexical; 2 dense; 3, 4 lexical with notes; 5 dense with notes), and what the plain terms of a
     task cover in every item on one of them."""
     noted = store.withColumn("content", F.concat_ws(" ", "context_note", "content"))
-    index, wanted, plain = searched(spark, sf_dir, store, asked)
-    _, _, contextual = searched(spark, sf_dir, noted, asked)
+    index = items_index(spark, sf_dir)
+    (wanted, plain), (_, contextual) = searched(asked, index), searched(asked, index_of(noted))
     vectored = asked_vectors(spark, sf_dir, asked)
     every = rs.text_lists(plain, "lexical", 0).unionByName(rs.text_lists(contextual, "lexical_ctx", 3))
     every = every.unionByName(vector_list(vectored, store, "embedding", "dense", 2)).unionByName(vector_list(vectored, store, "embedding_ctx", "dense_ctx", 5))

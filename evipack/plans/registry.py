@@ -11,6 +11,7 @@ from evipack.plans import resolve as rs
 from evipack.schema import DEFAULTS
 from evipack.sources import normalize, readers
 from evipack.sources import store as item_store
+from evipack.sources import text_index
 from evipack.stored import fresh_path, stored
 from evipack.streaming import streams
 from evipack.streaming.streams import window_metrics
@@ -359,7 +360,8 @@ def content_hashes(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {ITEMS} SELECT source, {_ITEM} FROM items")
 def all_items(spark, sf_dir):
-    rows = corpus.items(spark, sf_dir)
+    """Made anew; all other queries read the store of the session."""
+    rows = corpus.all_items(spark, sf_dir)
     return rows.select("source", *[c for c in _as_row(rows).columns if c != "period"], F.element_at("fields", "period").alias("period"))
 
 
@@ -437,13 +439,13 @@ def removed_refs(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {_KNOWN} SELECT source_ref, content_hash FROM raw")
 def upsert_items(spark, sf_dir):
-    """Changed rows and removed keys merged into a store of buckets, of which only the touched ones are written again."""
+    """Changed rows and removed keys merged into a store of several parts."""
     raw, known = _store(spark, sf_dir)
     path = fresh_path(spark, "store")
-    item_store.create(known, path, 16)
+    item_store.create(known, path, 1 << 12)
     old = item_store.load(spark, path)
     changed, gone = incremental.find_changed(raw.drop("d"), old), incremental.removed(raw, old)
-    item_store.merge(spark, path, changed, gone, 16)
+    item_store.merge(spark, path, changed, gone)
     return item_store.load(spark, path)
 
 
@@ -535,7 +537,7 @@ def task_coverage(spark, sf_dir):
 
 
 def _found(spark, sf_dir):
-    return corpus.searched(spark, sf_dir, corpus.items(spark, sf_dir), stored(corpus.tasks(spark, sf_dir), "tasks"))[2]
+    return corpus.searched(stored(corpus.tasks(spark, sf_dir), "tasks"), corpus.items_index(spark, sf_dir))[1]
 
 
 @query(f"WITH RECURSIVE {FOUND} SELECT task_id, source_ref, coverage, text_rank, rank::INT AS rank FROM loose")
@@ -548,6 +550,33 @@ def strict_hits(spark, sf_dir):
     return lexical.strict_list(_found(spark, sf_dir)).select("task_id", "source_ref", "text_rank", "rank")
 
 
+def _upserted(spark, sf_dir) -> lexical.Index:
+    """An index of an old version of the store, brought up to date by three upserts: at first some items are missing, some have another text
+    and some should not be there; items are changed back, added and removed by turns."""
+    now, path = corpus.items(spark, sf_dir).select("source_ref", "scope", "title", "content"), fresh_path(spark, "upserted-index")
+    turn = F.pmod(F.xxhash64("source_ref"), F.lit(9))
+    extra = corpus.table(spark, sf_dir, "customer").select(F.concat(F.lit("gone/"), F.col("c_custkey")).alias("source_ref"), F.lit("public").alias("scope"), F.lit("left over").alias("title"), F.lit("net revenue of 2023").alias("content"))
+    old = F.when(turn < 3, F.concat(F.lit("older words "), F.substring("content", 1, 200))).otherwise(F.col("content"))
+    text_index.create(now.where(turn != 4).withColumn("content", old).unionByName(extra), path, 1 << 13)
+    for k in range(3):
+        gone = extra.where(F.pmod(F.xxhash64("source_ref"), F.lit(3)) == k)
+        text_index.update(spark, path, now.where((turn == k) | ((turn == 4) & (F.pmod(F.xxhash64("source_ref", F.lit(1)), F.lit(3)) == k))), gone)
+    return text_index.load(spark, path)
+
+
+@query(f"WITH RECURSIVE {FOUND} SELECT term, df::BIGINT AS df, round(weight, 9) AS weight FROM weights")
+def upserted_weights(spark, sf_dir):
+    """Document frequencies after three upserts, as if they were counted anew."""
+    return _upserted(spark, sf_dir).weights.select("term", "df", F.round("weight", 9).alias("weight"))
+
+
+@query(f"WITH RECURSIVE {FOUND} SELECT task_id, source_ref, coverage, text_rank, rank::INT AS rank FROM loose")
+def upserted_loose_hits(spark, sf_dir):
+    """The loose list from an index after three upserts."""
+    found = corpus.searched(stored(corpus.tasks(spark, sf_dir), "tasks"), _upserted(spark, sf_dir))[1]
+    return lexical.loose_list(found).select("task_id", "source_ref", "coverage", "text_rank", "rank")
+
+
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 20 = 0),
 p AS (SELECT query_id, vec_id AS item_id, round(list_cosine_similarity(a, embedding::DOUBLE[]), 9) AS c FROM q, embeddings)
 SELECT query_id, item_id, round(c, 6) AS cosine, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, item_id) AS rank FROM p) WHERE rank <= 30""")
@@ -590,7 +619,7 @@ _SCORED = f"{FOUND}, {sql_hits(score='CASE WHEN length(cut.source_ref) % 4 <> 0
 
 def _reranked(spark, sf_dir):
     store, asked = corpus.items(spark, sf_dir), stored(corpus.tasks(spark, sf_dir), "tasks")
-    matched = corpus.searched(spark, sf_dir, store, asked)[2]
+    matched = corpus.searched(asked, corpus.items_index(spark, sf_dir))[1]
     lists = rs.text_lists(matched, "lexical", 0)
     return rs.hits_of(asked, store, lists, matched, corpus.scored(lists.select("task_id", "source_ref").distinct()))
 
@@ -807,7 +836,7 @@ def _golden(spark, sf_dir):
     # A passage's first and last words may be parts of words of the document, so its inner words find it.
     asked = tasks.select("task_id", F.regexp_replace("passage", r"^\S+\s|\s\S+$", "").alias("task"), F.array(F.lit("public")).alias("scopes"))
     whole = corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_ref"), F.lit("public").alias("scope"), F.lit("").alias("title"), F.coalesce("text", F.lit("")).alias("content"))
-    index = corpus.text_index(whole)
+    index = corpus.index_of(whole)
     found = lexical.with_all_terms(index, stored(lexical.task_terms(asked, index.weights), "golden-terms"))
     pairs = found.join(whole.select("source_ref", "content"), "source_ref").join(tasks, "task_id").where(F.contains("content", F.col("passage")))
     expected = pairs.groupBy("task_id").agg(F.collect_list("source_ref").alias("expected"))
@@ -918,13 +947,13 @@ def window_metrics_by_hour(spark, sf_dir):
 
 @query("SELECT 'd/' || doc_id AS source_ref, sha256(coalesce(text, '')) AS content_hash FROM documents")
 def stream_ingest(spark, sf_dir):
-    """Documents that land in two parts, some of the second with another text before, streamed into a store of buckets."""
+    """Documents that land in two parts, some of the second with another text before, streamed into a store."""
     landing, path, marks = (fresh_path(spark, name) for name in ("landing", "stream-store", "stream-marks"))
     rows = corpus.table(spark, sf_dir, "documents").select(F.concat(F.lit("d/"), "doc_id").alias("source_ref"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"), (F.col("doc_id") % 3).alias("part"))
-    item_store.create(rows.limit(0).drop("part"), path, 16)
+    item_store.create(rows.limit(0).drop("part"), path)
     schema = rows.drop("part").schema
     early = rows.where("part = 0").unionByName(rows.where("part = 1").withColumn("content_hash", F.lit("old")))
     for landed in (early, rows.where("part > 0")):
         landed.drop("part").write.mode("append").parquet(landing)
-        streams.stream_ingest(spark, landing, schema, lambda batch: batch, path, marks, buckets=16)
+        streams.stream_ingest(spark, landing, schema, lambda batch: batch, path, marks)
     return item_store.load(spark, path)

@@ -7,19 +7,19 @@ from evipack.operators import incremental
 from evipack.sources import store as st
 
 
-def stream_ingest(spark: SparkSession, landing: str, schema, to_items, store: str, checkpoint: str, order: str = "source_ref", buckets: int = st.BUCKETS):
+def stream_ingest(spark: SparkSession, landing: str, schema, to_items, store: str, checkpoint: str, order: str = "source_ref"):
     """Run all waiting files through the upsert; running it again changes nothing.
 
     `to_items` maps a batch to item rows; of rows with one key in a batch the last by `order` counts. A micro-batch is
-    compared with the store by key and hash and rewrites only the buckets that it touches, so a batch that is run again after a
-    loss finds its rows in place. Absence is no deletion in a stream. `store` must exist (`sources.store.create`).
+    compared with the store by key and hash and appends what has changed, so a batch that is run again after a loss finds its rows
+    in place. Absence is no deletion in a stream. `store` must exist (`sources.store.create`).
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         raw = incremental.last_of_each(to_items(batch), order)
         known = st.load(spark, store)
         changed = incremental.find_changed(raw, known)
-        st.merge(spark, store, changed, changed.select("source_ref").limit(0), buckets)
+        st.merge(spark, store, changed, changed.select("source_ref").limit(0))
 
     stream = spark.readStream.schema(schema).parquet(landing)
     query = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,7 +1,10 @@
 """Operators on small tables: known answers, quirks, idempotence, and the stream against the batch."""
 
 import datetime as dt
+import glob
 import json
+import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -138,12 +141,12 @@ def test_citation_coverage(spark):
 def test_stream_equals_batch(spark, tmp_path):
     kind = "source_ref string, content_hash string"
     landing, path, marks = (f"{tmp_path}/{n}" for n in ("landing", "store", "marks"))
-    store.create(spark.createDataFrame([], kind), path, 4)
+    store.create(spark.createDataFrame([], kind), path)
     spark.createDataFrame([("a", "1"), ("b", "1")], kind).write.mode("append").parquet(landing)
-    streams.stream_ingest(spark, landing, kind, lambda b: b, path, marks, "content_hash", 4)
+    streams.stream_ingest(spark, landing, kind, lambda b: b, path, marks, "content_hash")
     spark.createDataFrame([("b", "1"), ("b", "2"), ("c", "1")], kind).write.mode("append").parquet(landing)
-    streams.stream_ingest(spark, landing, kind, lambda b: b, path, marks, "content_hash", 4)
-    streams.stream_ingest(spark, landing, kind, lambda b: b, path, marks, "content_hash", 4)
+    streams.stream_ingest(spark, landing, kind, lambda b: b, path, marks, "content_hash")
+    streams.stream_ingest(spark, landing, kind, lambda b: b, path, marks, "content_hash")
     assert sorted(map(tuple, store.load(spark, path).select("source_ref", "content_hash").collect())) == [("a", "1"), ("b", "2"), ("c", "1")]
 
 
@@ -164,19 +167,38 @@ def test_configurations_are_tasks_of_their_own(spark):
     assert sorted((r.task_id, r.config) for r in rows) == [(5 * t + k, k) for t in (1, 2) for k in range(5)]
 
 
-def test_store_rewrites_touched_buckets(spark, tmp_path):
-    """Changed, new and deleted keys, a bucket that loses its only row, and the same merge once more."""
+def test_store_keeps_the_newest(spark, tmp_path):
+    """Changed, new and deleted keys, over and over, the same upsert twice, and parts that are folded or lose every row."""
     kind, path = "source_ref string, content_hash string", f"{tmp_path}/store"
-    rows = [(f"k{i}", "1") for i in range(20)]
-    store.create(spark.createDataFrame(rows, kind), path, 64)
-    before = {r.bucket: r.f for r in spark.read.parquet(path).selectExpr("bucket", "_metadata.file_path AS f").collect()}
-    changed, gone = spark.createDataFrame([("k1", "2"), ("new", "1")], kind), spark.createDataFrame([("k2", "")], kind)
-    for _ in range(2):
-        store.merge(spark, path, changed, gone, 64)
-        found = dict(store.load(spark, path).collect())
-        assert found == {k: v for k, v in {**dict(rows), "k1": "2", "new": "1"}.items() if k != "k2"}
-    after = {r.bucket: r.f for r in spark.read.parquet(path).selectExpr("bucket", "_metadata.file_path AS f").collect()}
-    assert 10 < sum(after[b] == f for b, f in before.items()) < len(before)
+    now = {f"k{i}": "1" for i in range(200)}
+    store.create(spark.createDataFrame(list(now.items()), kind), path, 20)
+    draw = random.Random(5)
+    for version in range(1, 7):
+        changed = {f"k{draw.randrange(260)}": str(version) for _ in range(30)}
+        gone = {f"k{draw.randrange(260)}" for _ in range(200 if version == 4 else 12)} - set(changed)
+        before = dict(now)
+        now = {k: v for k, v in {**now, **changed}.items() if k not in gone}
+        for _ in range(2 if version % 2 else 1):
+            store.merge(spark, path, spark.createDataFrame(list(changed.items()), kind), spark.createDataFrame([(g,) for g in gone], "source_ref string"), version)
+            assert dict(store.load(spark, path).collect()) == now
+            assert dict(store.load(spark, path, before=version).collect()) == before
+    assert spark.read.parquet(f"{path}/base").where("version > 0").count() > 0  # some parts were folded
+    assert store.next_version(spark, path) == 7
+
+
+def test_upsert_writes_what_has_changed(spark, tmp_path):
+    """One key in a hundred, anywhere: under a twentieth of the store's bytes is written."""
+    path = f"{tmp_path}/store"
+    rows = spark.range(40_000).select(F.concat(F.lit("k"), "id").alias("source_ref"), F.sha2(F.col("id").cast("string"), 256).alias("content_hash"))
+    store.create(rows, path, 4000)
+    size = lambda: {f: os.path.getsize(f) for f in glob.glob(f"{path}/*/*/*.parquet")}
+    before = size()
+    changed = rows.where(F.pmod(F.xxhash64("source_ref", F.lit(3)), F.lit(100)) == 0).withColumn("content_hash", F.lit("new"))
+    store.merge(spark, path, changed, rows.select("source_ref").limit(0))
+    after = size()
+    assert sum(s for f, s in after.items() if f not in before) < 0.05 * sum(before.values()) and set(before) <= set(after)
+    assert store.load(spark, path).where("content_hash = 'new'").count() == changed.count()
+
 
 
 def test_reconcile(spark):
