@@ -3,6 +3,11 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evipack.stored import stored
+
+#: Rows that are put in order in one task, about.
+SLICE_ROWS = 1 << 17
+
 
 def comparable(value: Column) -> Column:
     """Values are compared as text without commas and outer blanks."""
@@ -34,25 +39,45 @@ def group_of_hits(hits: DataFrame, facts: DataFrame) -> DataFrame:
     return joined.drop("hit_key", "scopes")
 
 
+def ordered_evidence(facts: DataFrame, *by: str, carry: tuple[str, ...] = (), slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """A row per fact: the columns of its key, n_rows, n_values, pos (0 for the winner), source_ref, fact_value, observed_at, confidence and `carry`.
+
+    Rows are dealt by ranges of key and precedence, so a key of any size lies in as many slices as it needs; a row's place is the
+    number of its key's rows in the slices before, and its own place within its slice. No task holds a whole key.
+    """
+    keys = (*by, "fact_key")
+    rows = facts.where("fact_key IS NOT NULL").select(*keys, "source_ref", "fact_value", "observed_at", "confidence", *carry, precedence().alias("precedence"))
+    slices = max(8, -(-facts.count() // slice_rows))
+    dealt = stored(rows.repartitionByRange(slices, *keys, "precedence").withColumn("slice", F.spark_partition_id()), "fact-slices")
+    earlier = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    held = dealt.groupBy(*keys, "slice").agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    whole = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(comparable(F.col("fact_value"))).alias("n_values"))
+    places = held.drop("n").join(whole, list(keys))
+    within = F.row_number().over(Window.partitionBy(*keys, "slice").orderBy("precedence"))
+    return dealt.join(places, [*keys, "slice"]).withColumn("pos", F.col("start") + within - 1).drop("slice", "start", "precedence")
+
+
+def fact_line(of=F.col) -> Column:
+    """A value with its source, day and trust; `of` gives a column by name."""
+    day = F.coalesce(of("observed_at").cast("date").cast("string"), F.lit("no date"))
+    return F.concat(of("fact_value"), F.lit(" in "), of("source_ref"), F.lit(" of "), day, F.lit(", trust "), of("confidence").cast("string"))
+
+
 def evidence(facts: DataFrame, *by: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per key: the rows behind it, winner first, as array `evidence` (source_ref, fact_value, observed_at, confidence
     and the columns in `carry`), n_rows, n_values, winner_ref, winner_value, and `listing` of all values.
 
-    A listing names every row of its key, so a key with very many rows makes a long one; `audit` needs no such row.
+    For packages, whose items cite their evidence in one row; `ordered_evidence` is the form for keys of any size.
     """
     names = ("source_ref", "fact_value", "observed_at", "confidence", *carry)
     own = F.struct(precedence().alias("p"), *[F.col(c) for c in names])
     before = lambda a, b: F.when(a.p < b.p, -1).when(a.p > b.p, 1).otherwise(0)
     rows = facts.groupBy(*by, "fact_key").agg(F.array_sort(F.collect_list(own), before).alias("evidence"))
-    line = lambda e: F.concat(
-        e.fact_value, F.lit(" in "), e.source_ref, F.lit(" of "), F.coalesce(e.observed_at.cast("date").cast("string"), F.lit("no date")),
-        F.lit(", trust "), e.confidence.cast("string"),
-    )
     return rows.withColumns({
         "n_rows": F.size("evidence").cast("long"),
         "n_values": F.size(F.array_distinct(F.transform("evidence", lambda e: comparable(e.fact_value)))).cast("long"),
         "winner_ref": F.col("evidence")[0].source_ref, "winner_value": F.col("evidence")[0].fact_value,
-        "listing": F.array_join(F.transform("evidence", line), "; "),
+        "listing": F.array_join(F.transform("evidence", lambda e: fact_line(lambda name: e[name])), "; "),
     })
 
 
@@ -70,8 +95,14 @@ def duplicates(facts: DataFrame, *by: str) -> DataFrame:
 
 
 def conflicts(facts: DataFrame, *by: str) -> DataFrame:
-    """Keys with more than one value: the winner, and all values in a message."""
-    return evidence(facts, *by).where("n_values > 1").withColumn("message", conflict_message())
+    """Keys with more than one value: winner_ref, winner_value, n_rows, n_values and a message; the values are in `conflict_lines`."""
+    message = F.concat(F.col("n_values").cast("string"), F.lit(" values are given for "), "fact_key", F.lit(" by "), F.col("n_rows").cast("string"), F.lit(" sources; "), "winner_value", F.lit(" of "), "winner_ref", F.lit(" stands"))
+    return audit(facts, *by).where("n_values > 1").withColumn("message", message)
+
+
+def conflict_lines(facts: DataFrame, *by: str) -> DataFrame:
+    """Every row of the keys that conflict, the winner first (pos 0), with a line that discloses it."""
+    return ordered_evidence(facts, *by).where("n_values > 1").withColumn("line", fact_line())
 
 
 def without_repeats(hits: DataFrame) -> DataFrame:

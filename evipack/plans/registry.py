@@ -9,7 +9,7 @@ from evipack.operators import facts as fc
 from evipack.plans import corpus
 from evipack.plans import resolve as rs
 from evipack.schema import DEFAULTS
-from evipack.sources import normalize, readers
+from evipack.sources import folder, normalize, readers
 from evipack.sources import store as item_store
 from evipack.sources import text_index
 from evipack.stored import fresh_path, stored
@@ -395,13 +395,12 @@ def golden_lines(spark, sf_dir):
     return readers.read_golden(spark, path).select("id", "query", "expected_action", F.array_join("expected_doc_ids", ",").alias("expected"))
 
 
-@query("SELECT doc_id::VARCHAR AS doc_id, regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') AS text FROM documents")
+@query("SELECT doc_id::VARCHAR AS doc_id, regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') AS text FROM documents WHERE text <> ''")
 def document_files(spark, sf_dir):
-    """Documents as one text file each, in many folders, read again by the name of the file."""
+    """Documents as one text file each in one folder, read again by the name of the file."""
     path = fresh_path(spark, "documents")
-    rows = corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    readers.write_documents(rows, path)
-    return readers.read_document_folders(spark, path).select("doc_id", F.regexp_replace("text", r"\n\z", "").alias("text"))
+    folder.write_documents(corpus.table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return readers.read_documents(spark, path)
 
 
 @query(f"WITH RECURSIVE {ITEMS} SELECT source_ref, content_hash FROM items")
@@ -522,6 +521,20 @@ def note_cache_misses(spark, sf_dir):
     return incremental.note_misses(rows, rows.where("doc_id % 3 = 0").select(F.col("content_hash").alias("chunk_hash")))
 
 
+@query("""WITH h AS (SELECT sha256(coalesce(text, '')) AS chunk_hash, min(CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END) AS k, trim(string_split(any_value(coalesce(text, ''))[1:14000], '. ')[1], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS note FROM documents GROUP BY ALL)
+SELECT chunk_hash, note, CASE WHEN k = 0 THEN 1 ELSE 2 END AS run FROM h""")
+def cached_notes(spark, sf_dir):
+    """Two runs over one cache of notes, the second with all documents and once more: the writer is called for new hashes only."""
+    path = fresh_path(spark, "note-cache")
+    incremental.create_cache(spark, path)
+    text = F.coalesce("text", F.lit(""))
+    rows = corpus.table(spark, sf_dir, "documents").select("doc_id", F.sha2(text, 256).alias("chunk_hash"), text.alias("document"), F.lit("").alias("chunk"))
+    for batch in (rows.where("doc_id % 3 = 0"), rows, rows):
+        incremental.cache_missing(spark, path, batch, hooks.write_notes)
+    early = incremental.read_cache(spark, path, before=2).select("chunk_hash", F.lit(1).alias("run"))
+    return incremental.read_cache(spark, path).join(early, "chunk_hash", "left").select("chunk_hash", "note", F.coalesce("run", F.lit(2)).alias("run"))
+
+
 # ---- retrieval --------------------------------------------------------------------------------------------------
 
 
@@ -663,13 +676,19 @@ def fact_duplicates(spark, sf_dir):
     return fc.duplicates(corpus.facts(spark, sf_dir, agreeing=True)).select("fact_key", "winner_ref", "message")
 
 
-@query(f"""WITH {_AGREE} SELECT fact_key, first(source_ref ORDER BY {_ORDER}) AS winner_ref, count(DISTINCT v) || ' values are given for ' || fact_key || ': ' ||
-  string_agg(v || ' in ' || source_ref || ' of ' || strftime(ts, '%Y-%m-%d') || ', trust ' || confidence, '; ' ORDER BY {_ORDER}) AS message
-  FROM g GROUP BY fact_key HAVING count(DISTINCT v) > 1""")
+@query(f"""WITH {_AGREE} SELECT fact_key, first(source_ref ORDER BY {_ORDER}) AS winner_ref, count(DISTINCT v) || ' values are given for ' || fact_key || ' by ' || count(*) || ' sources; ' ||
+  first(v ORDER BY {_ORDER}) || ' of ' || first(source_ref ORDER BY {_ORDER}) || ' stands' AS message FROM g GROUP BY fact_key HAVING count(DISTINCT v) > 1""")
 def fact_conflicts(spark, sf_dir):
     return fc.conflicts(corpus.facts(spark, sf_dir, agreeing=True)).select("fact_key", "winner_ref", "message")
 
 
+@query(f"""WITH {_AGREE}, n AS (SELECT *, row_number() OVER (PARTITION BY fact_key ORDER BY {_ORDER}) - 1 AS pos FROM g)
+SELECT fact_key, pos, v || ' in ' || source_ref || ' of ' || strftime(ts, '%Y-%m-%d') || ', trust ' || confidence AS line FROM n WHERE fact_key IN (SELECT fact_key FROM g GROUP BY fact_key HAVING count(DISTINCT v) > 1)""")
+def conflict_lines(spark, sf_dir):
+    """Every value of the keys that conflict, a row each, in order."""
+    return fc.conflict_lines(corpus.facts(spark, sf_dir, agreeing=True)).select("fact_key", F.col("pos").cast("long").alias("pos"), "line")
+
+
 _FACT_HITS = f"""{FACTS}, keys AS (SELECT DISTINCT event_id % 3 AS t, fact_key FROM (SELECT event_id, user_id || '|' || event_type AS fact_key FROM events)),
 grp AS (SELECT t, f.* FROM keys k JOIN facts f USING (fact_key) WHERE list_contains({sql_third("t", "['public']", "['public', 'internal']", "['public', 'internal', 'private']")}, scope))"""
 
@@ -694,11 +713,12 @@ def reconcile_candidates(spark, sf_dir):
     return fc.without_repeats(rows).select("task_id", "source_ref", "rank")
 
 
-@query(f"WITH {_AGREE} SELECT fact_key, count(*) AS n_rows, count(DISTINCT v) AS n_values, string_agg(source_ref, ' ' ORDER BY {_ORDER}) AS refs FROM g GROUP BY fact_key")
+@query(f"""WITH {_AGREE} SELECT fact_key, row_number() OVER (PARTITION BY fact_key ORDER BY {_ORDER}) - 1 AS pos, source_ref, v AS fact_value, n_rows, n_values
+  FROM g JOIN (SELECT fact_key, count(*) AS n_rows, count(DISTINCT v) AS n_values FROM g GROUP BY fact_key) USING (fact_key)""")
 def fact_evidence(spark, sf_dir):
-    """All rows behind each key, the winner first."""
-    refs = F.array_join(F.transform("evidence", lambda e: e.source_ref), " ")
-    return fc.evidence(corpus.facts(spark, sf_dir, agreeing=True)).select("fact_key", "n_rows", "n_values", refs.alias("refs"))
+    """All rows behind each key in order, the winner first."""
+    found = fc.ordered_evidence(corpus.facts(spark, sf_dir, agreeing=True))
+    return found.select("fact_key", F.col("pos").cast("long").alias("pos"), "source_ref", "fact_value", "n_rows", "n_values")
 
 
 # ---- packages ---------------------------------------------------------------------------------------------------
@@ -773,6 +793,20 @@ def period_gaps(spark, sf_dir):
 _HEADS = """considered AS (SELECT task_id, count(*) AS c FROM hits GROUP BY task_id), spent AS (SELECT task_id, max(total_used) AS u FROM package GROUP BY task_id)"""
 
 
+_LOG = """log AS (SELECT task_id, TIMESTAMP '2024-07-01' + to_minutes(((task_id * 37) % 240 * 15)::INT) AS ts, (SELECT count(*) FROM package p WHERE p.task_id = t.task_id) AS items, coalesce(u, 0)::BIGINT AS tokens_used,
+  coalesce(c, 0)::BIGINT AS candidates, (SELECT count(*) FROM warnings w WHERE w.task_id = t.task_id AND kind = 'missing') AS missing, (SELECT count(*) FROM warnings w WHERE w.task_id = t.task_id AND kind = 'stale') AS stale,
+  (SELECT count(*) FROM warnings w WHERE w.task_id = t.task_id AND kind = 'duplicate') AS duplicate, (SELECT count(*) FROM warnings w WHERE w.task_id = t.task_id AND kind = 'conflict') AS conflict
+  FROM tasks t LEFT JOIN considered USING (task_id) LEFT JOIN spent USING (task_id))"""
+#: Requests that the stream's first run gets: the earlier ones, but for some that come late.
+_FIRST = "ts < TIMESTAMP '2024-07-02 16:00:00' AND task_id % 7 <> 3"
+
+
+def _log(spark, sf_dir):
+    found, asked = corpus.resolved(spark, sf_dir), corpus.tasks(spark, sf_dir)
+    ts = F.timestamp_add("MINUTE", ((F.col("task_id") * 37) % 240 * 15).cast("int"), F.lit("2024-07-01 00:00:00").cast("timestamp"))
+    return streams.request_log(found.heads, found.items, found.warnings, asked.select("task_id", ts.alias("ts")))
+
+
 @query(f"""WITH RECURSIVE {PACKED}, {_HEADS}
 SELECT task_id, array_to_string(scopes, ' ') AS scopes, coalesce(c, 0)::BIGINT AS candidates_considered, coalesce(u, 0)::INT AS tokens_used, budget_tokens FROM tasks LEFT JOIN considered USING (task_id) LEFT JOIN spent USING (task_id)""")
 def package_heads(spark, sf_dir):
@@ -780,6 +814,53 @@ def package_heads(spark, sf_dir):
     return rows.select("task_id", F.array_join("scopes_applied", " ").alias("scopes"), "candidates_considered", "tokens_used", "budget_tokens")
 
 
+@query(f"""WITH RECURSIVE {PACKED}, {_HEADS}
+SELECT task_id, coalesce(u, 0)::INT AS tokens_used, (SELECT count(*) FROM package p WHERE p.task_id = t.task_id) AS n_items, (SELECT count(*) FROM evidence e WHERE e.task_id = t.task_id) AS n_evidence,
+  (SELECT count(*) FROM warnings w WHERE w.task_id = t.task_id) AS n_warnings FROM tasks t LEFT JOIN spent USING (task_id)""")
+def stored_packages(spark, sf_dir):
+    """Packages written as four tables and read again."""
+    path = fresh_path(spark, "packages")
+    readers.write_package(corpus.resolved(spark, sf_dir), path)
+    tables_of = readers.read_package(spark, path)
+    rows = tables_of["heads"].select("task_id", "tokens_used")
+    for name in ("items", "evidence", "warnings"):
+        rows = rows.join(tables_of[name].groupBy("task_id").agg(F.count(F.lit(1)).alias(f"n_{name}")), "task_id", "left")
+    return rows.fillna(0)
+
+
+@query(f"""WITH RECURSIVE {PACKED}, {_HEADS}, {_LOG} SELECT * FROM log""")
+def request_log(spark, sf_dir):
+    """What was asked for when, and what came of it."""
+    return _log(spark, sf_dir).select("task_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "items", "tokens_used", "candidates", *[F.coalesce(F.element_at("warnings", F.lit(k)), F.lit(0).cast("long")).alias(k) for k in streams.KINDS])
+
+
+@query(f"""WITH RECURSIVE {PACKED}, {_HEADS}, {_LOG}, first_run AS (SELECT max(ts) - INTERVAL 2 HOUR AS mark FROM log WHERE {_FIRST}), last_run AS (SELECT max(ts) - INTERVAL 2 HOUR AS mark FROM log),
+in_time AS (SELECT *, date_trunc('hour', ts) AS window_start FROM log WHERE {_FIRST} OR date_trunc('hour', ts) + INTERVAL 1 HOUR > (SELECT mark FROM first_run))
+SELECT window_start, count(*) AS requests, sum(items)::BIGINT AS items, sum(tokens_used)::BIGINT AS tokens_used, sum(candidates)::BIGINT AS candidates, sum(missing)::BIGINT AS missing, sum(stale)::BIGINT AS stale,
+  sum(duplicate)::BIGINT AS duplicate, sum(conflict)::BIGINT AS conflict FROM in_time WHERE window_start + INTERVAL 1 HOUR <= (SELECT mark FROM last_run) GROUP BY window_start""")
+def request_metrics_stream(spark, sf_dir):
+    """The request log as a stream of two runs; some rows of the second come so late that their windows are closed, and are left out."""
+    log, path, marks = (fresh_path(spark, name) for name in ("request-log", "request-metrics", "request-marks"))
+    rows = stored(_log(spark, sf_dir), "requests")
+    for landed in (rows.where(_FIRST), rows.where(f"NOT ({_FIRST})")):
+        landed.write.mode("append").parquet(log)
+        streams.stream_request_metrics(spark, log, path, marks)
+    found = spark.read.parquet(path)
+    return found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(f"""WITH RECURSIVE {PACKED} SELECT CASE WHEN t.task_id < 1000000 THEN 'passages' ELSE 'questions' END AS tasks_of, count(DISTINCT t.task_id) AS tasks, count(p.n) AS items,
+  count(*) FILTER (p.n = 1) AS with_items, coalesce(sum(length(p.content) // 4 + 1), 0)::BIGINT AS tokens FROM tasks t LEFT JOIN package p USING (task_id) GROUP BY ALL""")
+def measured_runs(spark, sf_dir):
+    """Passages and questions resolved apart; counts and time are observed while each runs. The bench prints the time, which no SQL knows."""
+    rows = []
+    for name, kind in (("passages", "task_id < 1000000"), ("questions", "task_id >= 1000000")):
+        own = stored(corpus.tasks(spark, sf_dir).where(kind), "measured-tasks")
+        run = evaluate.measured_run(lambda own=own: corpus.resolved(spark, sf_dir, own), own.count())
+        rows.append((name, run["tasks"], run["items"], run["with_items"], run["tokens"]))
+    return spark.createDataFrame(rows, "tasks_of string, tasks long, items long, with_items long, tokens long").where("tasks > 0")
+
+
 @query(f"""WITH RECURSIVE {PACKED}, {_HEADS}, ev AS (SELECT task_id, n, string_agg(source_ref, ',' ORDER BY pos) AS e FROM evidence GROUP BY ALL),
 its AS (SELECT task_id, string_agg(p.ref || '=' || e, ' ' ORDER BY n) AS items FROM package p JOIN ev USING (task_id, n) GROUP BY task_id), told_of AS (SELECT task_id, string_agg(kind, ' ' ORDER BY kind) AS warnings FROM warnings GROUP BY task_id)
 SELECT task_id, coalesce(items, '') AS items, coalesce(warnings, '') AS warnings, coalesce(u, 0)::INT AS tokens_used FROM tasks LEFT JOIN its USING (task_id) LEFT JOIN told_of USING (task_id) LEFT JOIN spent USING (task_id)""")

@@ -9,9 +9,11 @@ GOLDEN = "id string, category string, query string, expected_action string, expe
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, text): one text file per document, named by its id; line ends become \\n."""
+    """(doc_id, text): one text file per document, named by its id; line ends become \\n. Spark's file sources pass over
+    files without a byte, so an empty document has no row (it would give no item either)."""
     rows = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.txt$", 1)
+    encoded = F.regexp_replace("_metadata.file_name", r"\+", "%2B")  # names come as parts of a URI, in which a plus is no blank
+    name = F.regexp_extract(F.url_decode(encoded), r"(?s)^(.*)\.txt$", 1)
     return rows.select(name.alias("doc_id"), F.regexp_replace("value", r"\r\n?", "\n").alias("text"))
 
 
@@ -44,18 +46,12 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.write.mode("overwrite").json(path)
 
 
-def write_documents(docs: DataFrame, folder: str) -> None:
-    """(doc_id, text) as a folder with one text file per document, which ends in \\n, each written where its row lies."""
-    docs.write.partitionBy("doc_id").text(folder)
-
-
-def read_document_folders(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, text) from folders `doc_id=...` with one text file each."""
-    rows = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
-    return rows.select(F.col("doc_id").cast("string").alias("doc_id"), F.regexp_replace("value", r"\r\n?", "\n").alias("text"))
-
-
 def write_package(found, folder: str) -> None:
     """The long form of packages: heads, items, evidence and warnings, each as a table."""
     for name in ("heads", "items", "evidence", "warnings"):
         getattr(found, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def read_package(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of stored packages by name."""
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in ("heads", "items", "evidence", "warnings")}

@@ -28,8 +28,9 @@ def test_conflict_and_duplicate(spark):
     df = spark.createDataFrame(rows, FACT)
     conflict = facts.conflicts(df).collect()
     assert [(r.fact_key, r.winner_ref, r.n_rows, r.n_values) for r in conflict] == [("Service|FY 2022", "a", 3, 2)]
-    assert [e.source_ref for e in conflict[0].evidence] == ["a", "b", "c"]
-    assert "91,947 in b of 2023-03-02, trust 0.6" in conflict[0].message
+    lines = {r.pos: (r.source_ref, r.line) for r in facts.conflict_lines(df).collect()}
+    assert [lines[k][0] for k in range(3)] == ["a", "b", "c"] and lines[1][1] == "91,947 in b of 2023-03-02, trust 0.6"
+    assert conflict[0].message == "2 values are given for Service|FY 2022 by 3 sources; 91,988 of a stands"
     assert [(r.fact_key, r.winner_ref) for r in facts.duplicates(df).collect()] == [("Dividend|FY 2023", "d")]
 
 
