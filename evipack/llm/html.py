@@ -2,12 +2,15 @@
 
 Each page becomes a small tree: elements that hold blocks, with runs of alike siblings folded into one node. Simple
 tree matching aligns every distinct tree of a host with the host's most frequent tree; nodes that match none are slots
-of their own. Over the distinct pages that have a slot, texts that half of them share are template, and a slot is content
-only if its texts vary enough: `NEED` says how many of its texts must be new ones, by what HTML itself declares of the slot.
-Declared content (below an article or main element) needs little, undeclared blocks half, and what pages declare to be
-something else (navigation, forms, adverts, comments, ..., and what lies beside an article) never is content. As an
-article may be copied, texts below it are counted over distinct articles, and an article of which little would remain is a
-copy and kept as a whole.
+of their own. Slots decide, over the distinct pages of the host that have them: a slot is content only if its texts vary
+enough, and `NEED` says how many of them must be new ones (undeclared ones: not on several pages of any hosts), by what HTML itself declares
+of the slot. Declared content (below an
+article or main element) needs little, undeclared blocks half, and what pages declare to be something else (navigation,
+forms, adverts, comments, ..., and what lies beside an article) never is content. An undeclared slot whose text is nearly all
+link text is a menu, however it varies; and as undeclared blocks of several kinds may share a slot, a text that half of the pages repeat
+in it is template too. Below an article a headline or paragraph that pages share stays as long as its slot varies, unless nearly all
+articles of the host have it, as they have a notice. As an article may be copied, slots below it are judged over distinct articles, and an article of which
+little would remain is a copy and kept as a whole. Hosts of few pages keep what they do not declare to be something else, but for menus.
 
 The first pass over the pages sends trees and text hashes, combined by host; no group of pages meets in one task.
 """
@@ -24,11 +27,16 @@ from pyspark.sql import functions as F
 from evipack.llm.scratch import written
 from evipack.llm.skew import join_groups
 
-#: A text is template where this share of the distinct pages with its slot has it, from so many distinct pages on.
-CONSTANT_SHARE, MIN_PAGES = 0.5, 4
+#: A text is template where this share of the distinct pages with its slot has it, and so many pages at least, and a slot is judged from so many
+#: distinct pages on: below an article or main element (1) and elsewhere (0).
+CONSTANT_SHARE, CONSTANT_PAGES, MIN_PAGES = {1: 0.9, 0: 0.5}, 3, {1: 8, 0: 4}
+#: An undeclared text on so many distinct pages, of whatever hosts, is no new one: adverts and footers are shared by hosts, copies of pages are few.
+COMMON_PAGES = 4
+#: A slot is a menu if so much of its text over the host is link text.
+MENU_SHARE = 0.8
 #: Share of a slot's texts that must be new ones: below an article or main element, and of slots that pages say nothing of.
 NEED = {1: 0.1, 0: 0.5}
-#: An article is kept as a whole if less than this share of its characters varies.
+#: An article, or what a page without one does not repeat, is kept as a whole if less than this share of its characters varies.
 COPY_REST = 0.2
 SALTS = 16
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -129,25 +137,26 @@ def step(path: int, tag: str) -> int:
 
 
 def blocks(root: Node):
-    """(tree, [(node, region, text)]) with the blocks in page order. tree: the page's folded tree as (parent, tag, path) nodes,
+    """(tree, [(node, region, text, linked)]) with the blocks in page order; linked counts the characters that are link text. tree: the page's folded tree as (parent, tag, path) nodes,
     where path is a number for the tags above; region: -1 declared to be no content, 1 in an article or main element, else 0.
     Where a page declares an article with text, what lies beside it is declared to be none of it."""
     tree, below, out, held = [(-1, "", 0)], {}, [], []
 
     def flush(node, region):
-        text = SPACE.sub(" ", "".join(held)).strip()
+        text = SPACE.sub(" ", "".join(x for x, _ in held)).strip()
+        linked = len(SPACE.sub("", "".join(x for x, link in held if link)))
         held.clear()
         if text:
-            out.append((node, region, text))
+            out.append((node, region, text, linked))
 
-    todo = [(root, iter(root.children), 0, 0)]
+    todo = [(root, iter(root.children), 0, 0, False)]
     while todo:
-        element, rest, node, region = todo[-1]
+        element, rest, node, region, link = todo[-1]
         for child in rest:
             if isinstance(child, str):
-                held.append(child)
+                held.append((child, link))
             elif child.tag == "br":
-                held.append(" ")
+                held.append((" ", False))
             elif child.tag in BLOCK or child.barred:
                 flush(node, region)
                 inner = -1 if region < 0 or child.barred else 1 if child.tag in ("article", "main") else region
@@ -156,17 +165,17 @@ def blocks(root: Node):
                     if at is None:
                         at = below[(node, child.tag)] = len(tree)
                         tree.append((node, child.tag, step(tree[node][2], child.tag)))
-                    todo.append((child, iter(child.children), at, inner))
+                    todo.append((child, iter(child.children), at, inner, link))
                 break
             elif child.tag not in HIDDEN:
-                todo.append((child, iter(child.children), node, region))
+                todo.append((child, iter(child.children), node, region, link or child.tag == "a"))
                 break
         else:
             if element.tag in BLOCK or element.barred or element is root:
                 flush(node, region)
             todo.pop()
-    if any(region == 1 for _, region, _ in out):
-        out = [(node, region or -1, text) for node, region, text in out]
+    if any(x[1] == 1 for x in out):
+        out = [(node, region or -1, text, linked) for node, region, text, linked in out]
     return tree, out
 
 
@@ -226,26 +235,30 @@ def text_hash(text: str) -> int:
 
 
 #: part: 1 below an article or main element, where body stands for the articles alone, else 0.
-FIRST = "salt int, host string, tree string, part int, body long, path long, texts array<bigint>"
+FIRST = "salt int, host string, tree string, part int, body long, path long, texts array<bigint>, chars long, linked long"
 
 
 def _folded(batches):
     for batch in batches:
-        out = {k: [] for k in ("salt", "host", "tree", "part", "body", "path", "texts")}
+        out = {k: [] for k in ("salt", "host", "tree", "part", "body", "path", "texts", "chars", "linked")}
         for salt, host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             tree, found = blocks(parse(page.as_py() or ""))
             bodies = [text_hash("\n".join(x[2] for x in found if x[1] >= part)) for part in (0, 1)]
-            own = {(0, 0): set()}  # a page counts even without blocks
-            for node, region, text in found:
+            own = {(0, 0): [set(), 0, 0]}  # a page counts even without blocks
+            for node, region, text, linked in found:
                 if region >= 0:
-                    own.setdefault((region, tree[node][2]), set()).add(text_hash(text))
+                    held = own.setdefault((region, tree[node][2]), [set(), 0, 0])
+                    held[0].add(text_hash(text))
+                    held[1] += len(text) - text.count(" ")
+                    held[2] += linked
             tree = written_tree(tree)
-            for (part, path), texts in own.items():
-                for k, v in (("salt", salt), ("host", host), ("tree", tree), ("part", part), ("body", bodies[part]), ("path", path), ("texts", sorted(texts))):
+            for (part, path), (texts, chars, linked) in own.items():
+                for k, v in zip(out, (salt, host, tree, part, bodies[part], path, sorted(texts), chars, linked), strict=True):
                     out[k].append(v)
         yield pa.RecordBatch.from_arrays([
             pa.array(out["salt"], pa.int32()), pa.array(out["host"], pa.string()), pa.array(out["tree"], pa.string()),
             pa.array(out["part"], pa.int32()), pa.array(out["body"], pa.int64()), pa.array(out["path"], pa.int64()), pa.array(out["texts"], pa.list_(pa.int64())),
+            pa.array(out["chars"], pa.int64()), pa.array(out["linked"], pa.int64()),
         ], list(out))
 
 
@@ -266,9 +279,9 @@ def content(found, tree, known) -> list[str]:
     closed = [set(known.get(f"closed{k}") or ()) for k in (0, 1)]
     constant = [set(known.get(f"template{k}") or ()) for k in (0, 1)]
     chosen = [x for x in told if tree[x[0]][2] not in closed[x[1]] and text_hash(x[2]) not in constant[x[1]]]
-    inside = [x for x in told if x[1] == 1]
-    if inside and sum(len(x[2]) for x in chosen) < COPY_REST * sum(len(x[2]) for x in inside):
-        chosen = inside
+    whole = [x for x in told if x[1] == 1] or [x for x in told if text_hash(x[2]) not in constant[0]]
+    if sum(len(x[2]) for x in chosen) < COPY_REST * sum(len(x[2]) for x in whole):
+        chosen = whole
     return [x[2] for x in chosen]
 
 
@@ -286,11 +299,11 @@ def host_of(url):
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, template0, template1, closed0, closed1), each an array: of undeclared blocks and of those below an article, the
-    hashes of the texts that a slot repeats over the host's distinct pages that have it, and the paths to slots whose
-    texts vary too little to be content."""
+    """(host, template0, template1, closed0, closed1), each an array: of undeclared blocks and of those below an article, the hashes of the
+    texts that a slot repeats over the host's distinct pages that have it, and the paths to slots that are no content: menus,
+    and those whose texts vary too little. A page has few of either, and a text or path of the wrapper is on a fair share of the host's pages."""
     first = written(pages.select(F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt"), host_of(F.col("url")).alias("host"), "html").mapInArrow(_folded, FIRST), "html-trees")
-    distinct = written(first.groupBy("host", "tree", "part", "body", "path").agg(F.first("texts").alias("texts")), "html-distinct")
+    distinct = written(first.groupBy("host", "tree", "part", "body", "path").agg(*[F.first(c).alias(c) for c in ("texts", "chars", "linked")]), "html-distinct")
     trees = distinct.where("part = 0").select("host", "tree", "body").distinct().groupBy("host", "tree").agg(F.count(F.lit(1)).alias("n"))
     trees = written(trees, "html-shapes")
     pivots = written(trees.groupBy("host").agg(F.max(F.struct("n", "tree")).getField("tree").alias("pivot"), F.count(F.lit(1)).alias("size")), "html-pivots")
@@ -298,31 +311,40 @@ def wrappers(pages: DataFrame) -> DataFrame:
     place = F.struct("host", "tree", "path").alias("place")
     sizes = distinct.groupBy(place).agg(F.count(F.lit(1)).alias("size"))
     slots = written(aligned.select(place, "slot").join(sizes, "place"), "html-slots")
-    each = join_groups(distinct.select(place, "part", "body", "texts"), slots, "place", "size").select("place.*", "part", "slot", "body", "texts")
+    each = join_groups(distinct.select(place, "part", "body", "texts", "chars", "linked"), slots, "place", "size").select("place.*", "part", "slot", "body", "texts", "chars", "linked")
     each = written(each, "html-places")
     by = ["host", "part", "slot"]
-    pages_with = each.select(*by, "body").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= MIN_PAGES)
+    least = F.when(F.col("part") == 1, MIN_PAGES[1]).otherwise(MIN_PAGES[0])
+    pages_with = each.select(*by, "body").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least)
     pages_with = written(pages_with, "html-sizes")
     texts = each.select(*by, "body", F.explode("texts").alias("text")).distinct()
-    counted = texts.groupBy(*by, "text").agg(F.count(F.lit(1)).alias("n")).join(pages_with, by)
-    counted = written(counted.withColumn("constant", (F.col("n") > 1) & (F.col("n") >= CONSTANT_SHARE * F.col("pages"))), "html-counts")
-    constant = counted.where("constant")
+    texts = written(texts, "html-texts")
+    anywhere = texts.where("part = 0").select("text", "body").distinct().groupBy("text").agg(F.count(F.lit(1)).alias("pages of all hosts")).where(F.col("pages of all hosts") >= COMMON_PAGES)
+    counted = written(texts.groupBy(*by, "text").agg(F.count(F.lit(1)).alias("n")).join(pages_with, by), "html-counted")
+    shared = written(counted.groupBy("text").agg(F.count(F.lit(1)).alias("size")).join(anywhere, "text"), "html-shared")
+    counted = join_groups(counted, shared, "text", "size", "left")
+    repeated = (F.col("n") >= CONSTANT_PAGES) & (F.col("n") >= F.when(F.col("part") == 1, CONSTANT_SHARE[1]).otherwise(CONSTANT_SHARE[0]) * F.col("pages"))
+    new = F.when(F.col("part") == 1, ~repeated).otherwise(~repeated & F.col("pages of all hosts").isNull())
+    counted = written(counted.withColumns({"constant": repeated, "new": new}), "html-counts")
     need = F.when(F.col("part") == 1, NEED[1]).otherwise(NEED[0])
-    varied = counted.where("NOT constant").groupBy(*by).agg((F.count(F.lit(1)) / F.sum("n")).alias("news")).where(F.col("news") < need)
-    paths = each.select("host", "part", "slot", "path").distinct().join(varied.select(*by), by).select("host", "part", "path").distinct()
+    news = F.count_if("new") / F.greatest(F.lit(1), F.sum(F.when((F.col("part") == 1) | ~F.col("constant"), F.col("n"))))
+    closed = counted.groupBy(*by).agg(news.alias("news")).where(F.col("news") < need).select(*by)
+    menus = each.where("part = 0").groupBy(*by).agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked")).where((F.col("chars") > 0) & (F.col("linked") >= MENU_SHARE * F.col("chars"))).select(*by)
+    paths = each.select(*by, "path").distinct().join(closed.unionByName(menus).distinct(), by).select("host", "part", "path").distinct()
 
     def lists(rows: DataFrame, column: str, name: str) -> DataFrame:
         return rows.groupBy("host").agg(*[F.collect_set(F.when(F.col("part") == k, F.col(column))).alias(f"{name}{k}") for k in (0, 1)])
 
-    return lists(constant, "text", "template").join(lists(paths, "path", "closed"), "host", "full")
+    return lists(counted.where("constant"), "text", "template").join(lists(paths, "path", "closed"), "host", "full")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """One row per row of `pages` (page_id, url, html; other columns are ignored): page_id, url, text.
 
     text joins the content blocks in page order by two \\n; white space inside a block is one space. A block is content if its
-    host's wrapper finds its slot varied enough for what pages declare of it, and its text no constant of the slot; hosts
-    of fewer than MIN_PAGES distinct pages have only the declarations. A null html is empty and has the
+    host's wrapper finds its slot varied enough for what pages declare of it, and no menu; hosts of fewer than MIN_PAGES distinct
+    pages have only the declarations and menus. Of trees that are equally frequent on a host the one written last in order is the
+    one to align with. A null html is empty and has the
     empty text; pages without a host (a null url is one) share a nameless one. Long and deeply nested pages are taken whole.
     Repeated rows count once for a wrapper and each have their text. An empty table gives an empty result.
     """

@@ -560,7 +560,7 @@ def test_html_slots_decide(spark):
     pages = {k: (html.blocks(html.parse(page)), k) for k, _, page in rows}
     seen = collections.defaultdict(list)
     for (tree, own), k in pages.values():
-        for node, _, text in own:
+        for node, _, text, _ in own:
             seen[tree[node][2]].append((k, text))
     constant, fresh = set(), {}
     for path, held in seen.items():
@@ -569,5 +569,34 @@ def test_html_slots_decide(spark):
         constant |= {(path, t) for t in n if n[t] >= 0.5 * here}
         rest = {t: c for t, c in n.items() if c < 0.5 * here}
         fresh[path] = len(rest) / max(1, sum(rest.values()))
-    plain = {k: "\n\n".join(t for node, _, t in own if fresh[tree[node][2]] >= 0.5 and (tree[node][2], t) not in constant) for (tree, own), k in pages.values()}
+    plain = {k: "\n\n".join(t for node, _, t, _ in own if fresh[tree[node][2]] >= 0.5 and (tree[node][2], t) not in constant) for (tree, own), k in pages.values()}
     assert found == plain
+
+
+def test_html_small_hosts_keep_shared_paragraphs(spark):
+    """Four or seven articles of which half share a headline and a paragraph, and a passage that articles of many hosts quote."""
+    page = "<body><nav>menu</nav><article><h1>{h}</h1><p>{p}</p><p>Own words {k} of page {k}</p></article></body>"
+    rows, wanted = [], {}
+    for host, n in (("s", 4), ("t", 7), ("u", 30)):
+        for k in range(n):
+            title, quote = ("The same headline", "A passage that others quote") if k % 2 else (f"Headline {host} {k}", f"Words of {host} {k} alone")
+            rows.append((len(rows), f"https://{host}.example/{k}", page.format(h=title, p=quote, k=f"{host}{k}")))
+            wanted[len(rows) - 1] = f"{title}\n\n{quote}\n\nOwn words {host}{k} of page {host}{k}"
+    found = dict(html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "text").collect())
+    assert found == wanted
+
+
+def test_html_wrapper_without_tags(spark):
+    """The given pages with every telling tag, class and role made plain: the wrapper alone finds the articles, and an empty wrapper does not."""
+    sf_dir = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf_dir):
+        pytest.skip("no table of that size")
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").collect()
+    plain = lambda page: re.sub(r"\s(class|id|role)=(\"[^\"]*\"|\S+?(?=[\s>]))", "", re.sub(r"<(/?)(article|nav|footer|header|aside|main|section)\b[^>]*>", r"<\1div>", page or "", flags=re.I))
+    articles = {r.page_id: "\n\n".join(x[2] for x in html.blocks(html.parse(r.html or ""))[1] if x[1] == 1) for r in rows}
+    bare = [(r.page_id, r.url, plain(r.html)) for r in rows]
+    found = dict(html.main_text(spark.createDataFrame(bare, "page_id long, url string, html string").repartition(4)).select("page_id", "text").collect())
+    assert sum(found[k] == t for k, t in articles.items()) > 0.98 * len(rows)
+    assert all(set(t.split("\n\n")) <= set(found[k].split("\n\n")) for k, t in articles.items())  # nothing of an article is lost
+    empty = {k: "\n\n".join(html.content(own, tree, {})) for k, _, page in bare for tree, own in [html.blocks(html.parse(page))]}
+    assert sum(empty[k] == t for k, t in articles.items()) < 0.02 * len(rows)
