@@ -59,7 +59,7 @@ def op9_line_dedup(spark, sf_dir):
 
 
 def op10_mixing(spark, sf_dir):
-    return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
 def op11_sharding(spark, sf_dir):

@@ -373,7 +373,7 @@ def test_line_dedup_counts_documents(spark):
 
 @pytest.mark.parametrize("shard_words", [1 << 19, 500])
 def test_mixing(docs, shard_words):
-    found = mixing.mix(docs, shard_words=shard_words).collect()
+    found = mixing.mix(docs, block_words=shard_words, shard_blocks=5).collect()
     assert sorted(str((r.doc_id, r["size"])) for r in found) == sorted(str((i, len(cases.words(t)))) for i, t, *_ in DOCS)
     held = collections.Counter()
     for i, t, _, source, _ in DOCS:
@@ -394,7 +394,7 @@ def test_mixing(docs, shard_words):
         assert r.target == pytest.approx(fixed.get(r.source, weight[r.source] * level))
         taken[r.source] += r.taken
     assert all(abs(taken[s] - fixed.get(s, weight[s] * level)) <= 0.5 for s in order)
-    again = mixing.mix(docs.repartition(5), shard_words=shard_words).collect()
+    again = mixing.mix(docs.repartition(5), block_words=shard_words, shard_blocks=5).collect()
     assert sorted(map(str, map(tuple, found))) == sorted(map(str, map(tuple, again)))
 
 
@@ -415,8 +415,8 @@ def test_mixing_draws_of_any_size(spark):
 
 def test_mixing_spreads_rows_without_words(spark):
     rows = [(k, "" if k % 50 else "five words are in here", "s") for k in range(1000)]
-    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), shard_rows=100).collect()
-    shards = collections.Counter(r.shard for r in found)
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_rows=100).collect()
+    shards = collections.Counter(r.block for r in found)
     assert len(shards) == 10 and max(shards.values()) < 200
     assert sum(r.taken for r in found) == 150 and all(r.taken <= 2 * r["size"] for r in found)
 
@@ -426,11 +426,53 @@ def test_mixed_documents(docs):
     found = collections.Counter(r.doc_id for r in mixing.mixed_documents(docs).collect() if r.doc_id != 307)
     for i, (t, n) in taken.items():
         assert found[i] == (int(t / n + 0.5) if n else 0)
-    small = {r.doc_id: (r.taken, r["size"]) for r in mixing.mix(docs, shard_words=500, shard_rows=20).collect() if r.doc_id != 307}
-    found = collections.Counter(r.doc_id for r in mixing.mixed_documents(docs, shard_words=500, shard_rows=20).collect() if r.doc_id != 307)
+    small = {r.doc_id: (r.taken, r["size"]) for r in mixing.mix(docs, block_words=500, block_rows=20).collect() if r.doc_id != 307}
+    found = collections.Counter(r.doc_id for r in mixing.mixed_documents(docs, block_words=500, block_rows=20).collect() if r.doc_id != 307)
     assert {i: found[i] for i in small} == {i: int(t / n + 0.5) if n else 0 for i, (t, n) in small.items()}
 
 
+def test_mixing_shards_share_all_sources(spark, docs):
+    """Shards are disjoint, add up to the quotas, are alike in size, and each holds every source near its share of the mix."""
+    rows = [(k, " ".join(["w"] * (5 + k % 11)), f"s{min(k % 7, 3)}") for k in range(6000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"shard": F.lit("clash"), "place": F.lit("clash")})
+    found = mixing.mixed_shards(table, block_words=60, shard_blocks=120, columns=("at shard", "at place"))
+    got = found.select("doc_id", "source", "at shard", "at place", "shard").collect()
+    held, words = collections.defaultdict(collections.Counter), {k: len(t.split()) for k, t, _ in rows}
+    for r in got:
+        held[r["at shard"]][r.source] += words[r.doc_id]
+    mixed = mixing.mix(table, block_words=60, shard_blocks=120).collect()
+    target = {r.source: r.target for r in mixed}
+    everything = sum(target.values())
+    assert sorted(held) == list(range(len(held))) and len(held) > 8 and {r["shard"] for r in got} == {"clash"}
+    for own in held.values():
+        assert abs(sum(own.values()) / (everything / len(held)) - 1) < 0.25
+        assert all(abs(own[s] / sum(own.values()) - t / everything) < 0.12 for s, t in target.items())
+    assert len({(r.doc_id, r["at shard"], r["at place"]) for r in got}) == len(got)
+    shards = {r.doc_id: r.shards for r in mixed}
+    assert all(r["at shard"] in shards[r.doc_id] for r in got) and all(len(r.shards) <= 2 for r in mixed)
+    again = mixing.mixed_shards(table.repartition(7), block_words=60, shard_blocks=120, columns=("at shard", "at place")).select("doc_id", "at shard", "at place").collect()
+    assert sorted(map(tuple, again)) == sorted((r.doc_id, r["at shard"], r["at place"]) for r in got)
+
+
+def test_mixing_tree_is_multivariate_hypergeometric(spark):
+    """Quotas of three sources over four shards, many times: sums are exact, means and spreads as of a permuted deal."""
+    quotas = [30, 50, 20]
+    seen = []
+    nodes = spark.range(2500).select((F.col("id") * 4).alias("first"), F.lit(4).cast("long").alias("k"), F.array(*[F.lit(q).cast("long") for q in quotas]).alias("quotas"))
+    for level in range(2):
+        nodes = mixing._split(nodes, level, 1)
+    trees = collections.defaultdict(list)
+    for r in nodes.collect():
+        assert r.k == 1 and sum(r.quotas) == 25
+        trees[r["first"] // 4].append(r.quotas)
+        seen.append(r.quotas)
+    assert all(len(t) == 4 and [sum(x) for x in zip(*t, strict=True)] == quotas for t in trees.values())
+    seen = np.array(seen)
+    for k, q in enumerate(quotas):
+        assert abs(seen[:, k].mean() - q / 4) < 1e-9 and abs(seen[:, k].var() - 25 * q / 100 * (1 - q / 100) * 75 / 99) < 0.25
+    assert abs(np.cov(seen[:, 0], seen[:, 1])[0, 1] + 25 * 0.3 * 0.5 * 75 / 99) < 0.25
+
+
 def test_licenses(docs, spark):
     found = {(r.doc_id, r.license) for r in licenses.license_scan(docs).collect()}
     assert found == {(310, "CC-BY-NC-4.0")}
