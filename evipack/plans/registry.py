@@ -498,12 +498,14 @@ def search_terms(spark, sf_dir):
     return found.select("doc_id", F.array_join("terms", " ").alias("terms"), F.array_join("terms_ctx", " ").alias("terms_ctx"))
 
 
-@query(f"SELECT doc_id, CASE WHEN len(ts) > 0 THEN 1.0::DOUBLE ELSE 0 END AS length, 64::BIGINT AS width FROM (SELECT doc_id, {sql_terms("coalesce(source, '') || chr(10) || coalesce(text, '')")} AS ts FROM documents)")
+@query(f"""WITH words AS (SELECT doc_id, sha256(unnest({sql_terms("coalesce(source, '') || chr(10) || coalesce(text, '')")})) AS h FROM documents),
+sums AS (SELECT doc_id, ('0x' || h[1:8])::BIGINT % 64 AS place, sum(CASE WHEN ('0x' || h[9])::BIGINT % 2 = 1 THEN 1 ELSE -1 END)::DOUBLE AS x FROM words GROUP BY ALL)
+SELECT doc_id, place::INT AS place, (x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE AS value, 64::BIGINT AS width FROM sums WHERE x <> 0""")
 def encoded_documents(spark, sf_dir):
-    """Vectors of the encoder that needs no model, in Arrow batches: their width, and length one for every text with terms."""
+    """Vectors of the encoder that needs no model, in Arrow batches: every component that is not zero."""
     rows = corpus.table(spark, sf_dir, "documents").select("doc_id", hooks.encode(F.coalesce("source", F.lit("")), F.coalesce("text", F.lit(""))).alias("v"))
-    length = F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)), 4)
-    return rows.select("doc_id", length.alias("length"), F.size("v").cast("long").alias("width"))
+    each = rows.select("doc_id", F.size("v").cast("long").alias("width"), F.posexplode("v").alias("place", "value"))
+    return each.where("value <> 0").select("doc_id", "place", F.col("value").cast("double").alias("value"), "width")
 
 
 @query(f"""WITH RECURSIVE {_KNOWN} SELECT (SELECT count(*) FROM raw) AS total, (SELECT count(*) FROM changed) AS changed, (SELECT count(*) FROM known WHERE source_ref NOT IN (SELECT source_ref FROM raw)) AS removed,

@@ -95,3 +95,18 @@ def test_measures_of_a_run(spark):
     run = evaluate.measured_run(lambda: Package, 4)
     assert (run["items"], run["with_items"], run["tokens"], run["tasks"], run["items_per_package"]) == (3, 2, 11 + 1 + 2, 4, 0.75)
     assert 0 < run["seconds"] < 60 and run["ms_per_task"] == 250 * run["seconds"]
+
+
+def test_packages_and_metrics_are_written_and_read(spark, tmp_path):
+    class Package:
+        heads = spark.createDataFrame([(1, 10), (2, 0)], "task_id long, tokens_used int")
+        items = spark.createDataFrame([(1, 1, ["why"])], "task_id long, n int, why array<string>")
+        evidence = spark.createDataFrame([(1, "r")], "task_id long, source_ref string")
+        warnings = spark.createDataFrame([], "task_id long, kind string")
+
+    for _ in range(2):
+        readers.write_package(Package, f"{tmp_path}/package")
+    found = readers.read_package(spark, f"{tmp_path}/package")
+    assert {name: sorted(map(tuple, df.collect())) for name, df in found.items()} == {"heads": [(1, 10), (2, 0)], "items": [(1, 1, ["why"])], "evidence": [(1, "r")], "warnings": []}
+    readers.write_metrics(spark.createDataFrame([("lexical", 0.5)], "configuration string, hit_rate double"), f"{tmp_path}/metrics")
+    assert spark.read.schema("configuration string, hit_rate double").json(f"{tmp_path}/metrics").collect() == [("lexical", 0.5)]
