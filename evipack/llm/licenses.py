@@ -74,6 +74,29 @@ def bigrams(words: list[bytes]) -> set[tuple[bytes, bytes]]:
     return set(zip(words, words[1:], strict=False))
 
 
+class Sliding:
+    """How many different bigrams of a text lie in a window that only moves on, and how many of them a template has."""
+
+    def __init__(self, grams: list[tuple[bytes, bytes]], wanted: set[tuple[bytes, bytes]]):
+        self.grams, self.wanted, self.held = grams, wanted, Counter()
+        self.start = self.end = self.shared = 0
+
+    def move(self, start: int, end: int) -> tuple[int, int]:
+        if start >= self.end:
+            self.held.clear()
+            self.start, self.end, self.shared = start, start, 0
+        for b in self.grams[self.end : end]:
+            self.held[b] += 1
+            self.shared += self.held[b] == 1 and b in self.wanted
+        for b in self.grams[self.start : start]:
+            self.held[b] -= 1
+            if not self.held[b]:
+                del self.held[b]
+                self.shared -= b in self.wanted
+        self.start, self.end = start, max(end, self.end)
+        return len(self.held), self.shared
+
+
 class Templates:
     def __init__(self, templates=TEMPLATES, min_dice: float = MIN_DICE):
         self.min_dice, self.names, self.grams, self.words, self.postings = min_dice, [], [], [], {}
@@ -90,20 +113,22 @@ class Templates:
     def windows(self, text: str) -> list[tuple[float, int, int, int]]:
         """(coefficient, words, start, template) of every window that reaches the wanted coefficient."""
         words = words_of(text)
+        grams = list(zip(words, words[1:], strict=False))
         places: dict[int, list[int]] = {}
-        for at, b in enumerate(zip(words, words[1:], strict=False)):
+        for at, b in enumerate(grams):
             for k in self.postings.get(b, ()):
                 places.setdefault(k, []).append(at)
         found = []
         for k, own in places.items():
             need, n = self.least[k] - 1e-9, self.words[k]
-            if len(own) < need or len({(words[x], words[x + 1]) for x in own}) < need:
+            if len(own) < need or len({grams[x] for x in own}) < need:
                 continue
+            window = Sliding(grams, self.grams[k])
             for j, start in enumerate(own):
                 if bisect_left(own, start + n - 1, j) - j < need:
                     continue
-                window = bigrams(words[start : start + n])
-                dice = 2 * len(window & self.grams[k]) / (len(window) + len(self.grams[k]))
+                size, shared = window.move(start, min(start + n - 1, len(grams)))
+                dice = 2 * shared / (size + len(self.grams[k]))
                 if dice >= self.min_dice - 1e-12:
                     found.append((dice, n, start, k))
         return found
