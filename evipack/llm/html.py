@@ -140,23 +140,26 @@ def blocks(root: Node):
     """(tree, [(node, region, text, linked)]) with the blocks in page order; linked counts the characters that are link text. tree: the page's folded tree as (parent, tag, path) nodes,
     where path is a number for the tags above; region: -1 declared to be no content, 1 in an article or main element, else 0.
     Where a page declares an article with text, what lies beside it is declared to be none of it."""
-    tree, below, out, held = [(-1, "", 0)], {}, [], []
+    tree, below, out, held, linked = [(-1, "", 0)], {}, [], [], []
 
     def flush(node, region):
-        text = SPACE.sub(" ", "".join(x for x, _ in held)).strip()
-        linked = len(SPACE.sub("", "".join(x for x, link in held if link)))
-        held.clear()
-        if text:
-            out.append((node, region, text, linked))
+        if held:
+            text = " ".join("".join(held).split())
+            if text:
+                out.append((node, region, text, len("".join("".join(linked).split())) if linked else 0))
+            held.clear()
+            linked.clear()
 
     todo = [(root, iter(root.children), 0, 0, False)]
     while todo:
         element, rest, node, region, link = todo[-1]
         for child in rest:
             if isinstance(child, str):
-                held.append((child, link))
+                held.append(child)
+                if link:
+                    linked.append(child)
             elif child.tag == "br":
-                held.append((" ", False))
+                held.append(" ")
             elif child.tag in BLOCK or child.barred:
                 flush(node, region)
                 inner = -1 if region < 0 or child.barred else 1 if child.tag in ("article", "main") else region
@@ -175,7 +178,7 @@ def blocks(root: Node):
                 flush(node, region)
             todo.pop()
     if any(x[1] == 1 for x in out):
-        out = [(node, region or -1, text, linked) for node, region, text, linked in out]
+        out = [(node, region or -1, *rest) for node, region, *rest in out]
     return tree, out
 
 
