@@ -190,6 +190,9 @@ def decoded(ids: np.ndarray, vocabulary: Lists) -> str:
     return vocabulary.take(ids).tobytes().decode("utf-8", "replace")
 
 
+ROWS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+
+
 def _assembled(vocabulary: Lists):
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
         heads = [np.split(unpack(x), 2) for x in words["head"].to_pylist()]
@@ -199,17 +202,15 @@ def _assembled(vocabulary: Lists):
         coded = Lists(flat, counts.astype(np.int64))
         place = np.empty(len(ranks), np.int64)
         place[ranks] = np.arange(len(ranks))
-        ids, lists, out = [], [], []
+        batches = []  # one for each packed row, so that neither side needs the ids and texts of a block at once
         for bucket, own, head, body in zip(*(texts[c].to_pylist() for c in ("bucket", "doc_ids", "head", "body")), strict=True):
             if bucket < 0:
                 ends = np.cumsum(unpack(head))
-                for doc_id, at in zip(own, np.split(place[unpack(body)], ends[:-1]), strict=True):
-                    ids.append(doc_id)
-                    lists.append(coded.take(at))
-                    out.append(decoded(lists[-1], vocabulary))
-        ends = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
-        joined = pa.array(np.concatenate(lists).astype(np.int32) if lists else np.zeros(0, np.int32))
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends), joined), "decoded": pa.array(out, pa.string())})
+                lists = [coded.take(at) for at in np.split(place[unpack(body)], ends[:-1])]
+                upto = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(upto), pa.array(np.concatenate(lists).astype(np.int32)))
+                batches.append(pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), ids, pa.array([decoded(x, vocabulary) for x in lists], pa.string())], schema=ROWS))
+        return pa.Table.from_batches(batches, ROWS)
 
     return run
 
