@@ -144,7 +144,7 @@ def tree(rows, first, k, out):
     tree([r for r in rows if (r[0][dim], r[1]) >= (code, border)], first + k // 2, k - k // 2, out)
 
 
-@pytest.mark.parametrize("shards,dims", [(1, ("source", "lang")), (7, ("source", "lang")), (13, ("n_chars",)), (5, ())])
+@pytest.mark.parametrize("shards,dims", [(1, ("source", "lang")), (13, ("n_chars", "source")), (5, ())])
 def test_shards(spark, docs, shards, dims):
     rows, _, _, n = sharding._grown(docs, shards, None, dims)
     rows = rows.collect()
