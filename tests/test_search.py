@@ -48,6 +48,23 @@ def test_lists_from_candidates(spark, hot, part, block):
     assert rows_of(lexical.with_all_terms(index, wanted)) == rows_of(every.where("all_terms").select("task_id", "source_ref"))
 
 
+@pytest.mark.parametrize("hot,part,block", [(None, topk.PART, topk.BLOCK), (30, 100, 7), (0, 300, 1000), (1e9, 100, 100)])
+def test_lists_from_the_best_of_parts(spark, hot, part, block):
+    """The lists are those of all matches; a task with a hot term has a fixed number of scored rows, also for items that share its rare terms."""
+    items, tasks = table(spark)
+    index, s = corpus.index_of(items), Settings(top_k=6, wide=3)
+    wanted = lexical.task_terms(tasks, index.weights)
+    every, found = lexical.matches(index.postings, wanted), lexical.searched(index, wanted, s, hot, part, block).persist()
+    columns = ["task_id", "source_ref", "coverage", "text_rank", "matched"]
+    for make in (lexical.loose_list, lexical.strict_list):
+        assert rows_of(make(found, s).select(*columns, "rank")) == rows_of(make(every, s).select(*columns, "rank"))
+    assert set(map(str, rows_of(found.select(*columns)))) <= set(map(str, rows_of(every.select(*columns))))
+    if hot == 0:
+        assert found.groupBy("task_id").count().agg(F.max("count")).first()[0] <= 2 * (s.top_k * s.wide + 8)
+    pairs = lexical.candidates(index, wanted, s, hot)
+    assert rows_of(pairs) == rows_of(found.select("task_id", "source_ref"))
+
+
 def test_few_rows_stand_for_the_matches_of_passages(spark):
     """At sf0.1, 200 passages have 1.79 million matches; their lists come from under a tenth as many rows."""
     sf_dir = "/root/testdata/sf0.1"
