@@ -110,3 +110,15 @@ def test_packages_and_metrics_are_written_and_read(spark, tmp_path):
     assert {name: sorted(map(tuple, df.collect())) for name, df in found.items()} == {"heads": [(1, 10), (2, 0)], "items": [(1, 1, ["why"])], "evidence": [(1, "r")], "warnings": []}
     readers.write_metrics(spark.createDataFrame([("lexical", 0.5)], "configuration string, hit_rate double"), f"{tmp_path}/metrics")
     assert spark.read.schema("configuration string, hit_rate double").json(f"{tmp_path}/metrics").collect() == [("lexical", 0.5)]
+
+
+def test_conflict_message_lists_every_row(spark):
+    """The message of a conflict names each row of its key in order; keys that agree have none."""
+    rows = [(f"r{n}", "k", str(n % 3), dt.datetime(2024, 1, 1 + n % 5), 0.5) for n in range(40)] + [("a", "same", "1", None, 0.5), ("b", "same", "1,", None, 0.5), ("x", "two", "1", None, 0.9), ("y", "two", "2", dt.datetime(2024, 2, 1), 0.1)]
+    df = spark.createDataFrame(rows, "source_ref string, fact_key string, fact_value string, observed_at timestamp_ntz, confidence double")
+    found = {r.fact_key: r for r in facts.listed_conflicts(df).collect()}
+    assert set(found) == {"k", "two"} and found["two"].winner_ref == "y"
+    assert found["two"].message == "2 values are given for two: 2 in y of 2024-02-01, trust 0.1; 1 in x of no date, trust 0.9"
+    order = sorted(rows[:40], key=lambda r: (-r[3].day, r[0]))
+    assert found["k"].message == "3 values are given for k: " + "; ".join(f"{r[2]} in {r[0]} of {r[3]:%Y-%m-%d}, trust 0.5" for r in order)
+    assert (found["k"].winner_ref, found["k"].n_rows, found["k"].n_values) == (order[0][0], 40, 3)
