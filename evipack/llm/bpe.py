@@ -8,6 +8,7 @@ Texts themselves never shuffle; packed positions and word lists are several time
 """
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -194,23 +195,29 @@ ROWS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decod
 
 
 def _assembled(vocabulary: Lists):
-    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        heads = [np.split(unpack(x), 2) for x in words["head"].to_pylist()]
-        counts = np.concatenate([h[0] for h in heads]) if heads else np.zeros(0, np.int32)
-        ranks = np.concatenate([h[1] for h in heads]) if heads else np.zeros(0, np.int32)
-        flat = np.concatenate([unpack(x) for x in words["body"].to_pylist()]) if heads else np.zeros(0, np.int32)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The packed texts and the encoded words of a block to its rows, a packed row of texts at a time; what is held stays packed."""
+        heads, bodies, texts = [], [], []
+        for batch in batches:
+            for own, head, body in zip(*(batch.column(c).to_pylist() for c in ("doc_ids", "head", "body")), strict=True):
+                if own is None:
+                    heads.append(np.split(unpack(head), 2))
+                    bodies.append(unpack(body))
+                else:
+                    texts.append((own, head, body))
+        none = np.zeros(0, np.int32)
+        counts, ranks, flat = (np.concatenate(x) if x else none for x in ([h[0] for h in heads], [h[1] for h in heads], bodies))
+        del heads, bodies
         coded = Lists(flat, counts.astype(np.int64))
         place = np.empty(len(ranks), np.int64)
         place[ranks] = np.arange(len(ranks))
-        batches = []  # one for each packed row, so that neither side needs the ids and texts of a block at once
-        for bucket, own, head, body in zip(*(texts[c].to_pylist() for c in ("bucket", "doc_ids", "head", "body")), strict=True):
-            if bucket < 0:
-                ends = np.cumsum(unpack(head))
-                lists = [coded.take(at) for at in np.split(place[unpack(body)], ends[:-1])]
-                upto = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(upto), pa.array(np.concatenate(lists).astype(np.int32)))
-                batches.append(pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), ids, pa.array([decoded(x, vocabulary) for x in lists], pa.string())], schema=ROWS))
-        return pa.Table.from_batches(batches, ROWS)
+        while texts:
+            own, head, body = texts.pop()
+            ends = np.cumsum(unpack(head))
+            lists = [coded.take(at) for at in np.split(place[unpack(body)], ends[:-1])]
+            upto = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(upto), pa.array(np.concatenate(lists).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), ids, pa.array([decoded(x, vocabulary) for x in lists], pa.string())], schema=ROWS)
 
     return run
 
@@ -229,4 +236,6 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, block_chars: int = BLOC
     words = parts.mapInArrow(_word_rows, "home long, bucket int, head binary, body binary")
     coded = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encoded(tokenizer_path), "home long, head binary, body binary")
     assembled = _assembled(pieces(tokenizer_path))
-    return parts.groupBy("block").cogroup(coded.groupBy("home")).applyInArrow(assembled, "doc_id long, ids array<int>, decoded string")
+    texts = parts.where("bucket < 0").select("block", "doc_ids", "head", "body")
+    both = texts.unionByName(coded.select(F.col("home").alias("block"), F.lit(None).cast("array<bigint>").alias("doc_ids"), "head", "body"))
+    return both.groupBy("block").applyInArrow(assembled, "doc_id long, ids array<int>, decoded string")

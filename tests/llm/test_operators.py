@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -642,3 +643,21 @@ def test_html_wrapper_without_tags(spark):
     assert all(set(t.split("\n\n")) <= set(found[k].split("\n\n")) for k, t in articles.items())  # nothing of an article is lost
     empty = {k: "\n\n".join(html.content(own, tree, {})) for k, _, page in bare for tree, own in [html.blocks(html.parse(page))]}
     assert sum(empty[k] == t for k, t in articles.items()) < 0.02 * len(rows)
+
+
+def test_texts_of_a_block_come_in_batches(monkeypatch):
+    """A block gives its rows a packed row at a time, so that no task holds its ids and texts at once."""
+    monkeypatch.setattr(bpe, "ROW_CHARS", 40)
+    texts = [f"word {k} of a text" for k in range(30)] + ["", "word"]
+    at, find = {}, bpe.splitter(bpe._tokenizer(BPE))
+    found = [np.array([at.setdefault(w, len(at)) for w in find(t)], np.int32) for t in texts]
+    rows = list(bpe._packed(0, at, list(range(len(texts))), found, 4))
+    words = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows if r[1] >= 0], t) for k, t in ((0, pa.int64()), (1, pa.int32()), (3, pa.binary()), (4, pa.binary()))], ["home", "bucket", "head", "body"])
+    packed = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows if r[1] < 0], t) for k, t in ((2, pa.list_(pa.int64())), (3, pa.binary()), (4, pa.binary()))], ["doc_ids", "head", "body"])]
+    for coded in bpe._encoded(BPE)([words]):
+        packed.append(pa.RecordBatch.from_arrays([pa.nulls(coded.num_rows, pa.list_(pa.int64())), coded["head"], coded["body"]], ["doc_ids", "head", "body"]))
+    batches = bpe._assembled(bpe.pieces(BPE))(iter(packed))
+    first = next(batches)
+    assert first.num_rows < 10
+    got = {d: t for b in (first, *batches) for d, t in zip(b["doc_id"].to_pylist(), b["decoded"].to_pylist(), strict=True)}
+    assert got == dict(enumerate(texts))
