@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Characters of text in a block, which one task holds with its words, and in a packed row of a block.
 BLOCK_CHARS, ROW_CHARS = 16 << 20, 1 << 20
+#: Rows of words that leave a block at a time.
+WORD_ROWS = 128
 #: Buckets of words: one task holds the distinct words of one bucket at a time.
 BUCKETS = 1024
 #: The split before byte-level merges that the vocabulary was made with (a fixed value of the file format).
@@ -85,27 +87,51 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["block", "bucket", "doc_ids", "head", "body"])
 
 
-def _packed(block: int, at: dict, ids: list, found: list, buckets: int):
-    """The rows of a block: its texts in parts of about ROW_CHARS (bucket -1), and its words by bucket."""
-    flat = np.concatenate(found) if found else np.zeros(0, np.int32)
-    order = np.argsort(-np.bincount(flat, minlength=len(at)), kind="stable").astype(np.int32)
-    rank = np.empty(len(at), np.int32)
-    rank[order] = np.arange(len(at), dtype=np.int32)
+def _parts_of(found: list) -> Iterator[slice]:
+    """The texts of a block by packed rows of about ROW_CHARS."""
     first, held = 0, 0
-    for k in range(len(ids)):
+    for k in range(len(found)):
         held += len(found[k])
-        if held >= ROW_CHARS // 4 or k == len(ids) - 1:
-            own = found[first : k + 1]
-            yield block, -1, ids[first : k + 1], pack([len(x) for x in own]), pack(rank[np.concatenate(own)])
+        if held >= ROW_CHARS // 4 or k == len(found) - 1:
+            yield slice(first, k + 1)
             first, held = k + 1, 0
+
+
+def _packed(block: int, at: dict, ids: list, found: list, buckets: int) -> Iterator[tuple]:
+    """The rows of a block: its texts in parts of about ROW_CHARS (bucket -1), and its words by bucket. `found` and `at` are emptied on
+    the way, so that what a block has becomes packed rows piece by piece and is not there twice."""
+    own, counts = list(_parts_of(found)), np.zeros(len(at), np.int64)
+    for part in own:
+        counts += np.bincount(np.concatenate(found[part]), minlength=len(at))
+    order = np.argsort(-counts, kind="stable").astype(np.int32)
+    rank = np.empty(len(at), np.int32)
+    rank[order] = np.arange(len(at), dtype=np.int32)
+    for part in own:
+        some = found[part]
+        found[part] = [None] * len(some)
+        yield block, -1, ids[part], pack([len(x) for x in some]), pack(rank[np.concatenate(some)])
+        del some
     words = [w.encode("utf-8") for w in at]
-    dealt = np.array([xxhash.xxh32_intdigest(w) % buckets for w in words], np.int64)
+    at.clear()
+    dealt = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in words), np.int64, len(words))
     by_bucket = np.lexsort((rank, dealt))
     edges = np.flatnonzero(np.diff(dealt[by_bucket])) + 1
-    for own in np.split(by_bucket, edges) if len(words) else ():
-        lens = [len(words[k]) for k in own]
-        body = zstandard.ZstdCompressor(level=3).compress(b"".join(words[k] for k in own))
-        yield block, int(dealt[own[0]]), None, pack(np.concatenate((lens, rank[own]))), body
+    for mine in np.split(by_bucket, edges) if len(words) else ():
+        lens = [len(words[k]) for k in mine]
+        body = zstandard.ZstdCompressor(level=3).compress(b"".join(words[k] for k in mine))
+        yield block, int(dealt[mine[0]]), [], pack(np.concatenate((lens, rank[mine]))), body
+
+
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Packed texts one by one, rows of words many at a time."""
+    some = []
+    for row in rows:
+        some.append(row)
+        if row[1] < 0 or len(some) == WORD_ROWS:
+            yield _batch(some)
+            some = []
+    if some:
+        yield _batch(some)
 
 
 def _blocks(path: str, block_chars: int, buckets: int):
@@ -113,6 +139,7 @@ def _blocks(path: str, block_chars: int, buckets: int):
         tokenizer = _tokenizer(path)
         find, added = splitter(tokenizer), _added(tokenizer)
         cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        del tokenizer  # its split is all that is needed; the vocabulary's memory serves the block
         block = TaskContext.get().partitionId() << 32
         at, ids, found, held = {}, [], [], 0
         for batch in batches:
@@ -122,11 +149,11 @@ def _blocks(path: str, block_chars: int, buckets: int):
                 ids.append(doc_id)
                 held += len(text)
                 if held >= block_chars:
-                    yield _batch(list(_packed(block, at, ids, found, buckets)))
+                    yield from _batches(_packed(block, at, ids, found, buckets))
                     block += 1
                     at, ids, found, held = {}, [], [], 0
         if ids:
-            yield _batch(list(_packed(block, at, ids, found, buckets)))
+            yield from _batches(_packed(block, at, ids, found, buckets))
 
     return run
 
@@ -203,7 +230,7 @@ def _assembled(vocabulary: Lists):
                 if own is None:
                     heads.append(np.split(unpack(head), 2))
                     bodies.append(unpack(body))
-                else:
+                elif own:  # the block's words as they were come along with its texts, with no ids
                     texts.append((own, head, body))
         none = np.zeros(0, np.int32)
         counts, ranks, flat = (np.concatenate(x) if x else none for x in ([h[0] for h in heads], [h[1] for h in heads], bodies))
@@ -236,6 +263,6 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, block_chars: int = BLOC
     words = parts.mapInArrow(_word_rows, "home long, bucket int, head binary, body binary")
     coded = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encoded(tokenizer_path), "home long, head binary, body binary")
     assembled = _assembled(pieces(tokenizer_path))
-    texts = parts.where("bucket < 0").select("block", "doc_ids", "head", "body")
-    both = texts.unionByName(coded.select(F.col("home").alias("block"), F.lit(None).cast("array<bigint>").alias("doc_ids"), "head", "body"))
-    return both.groupBy("block").applyInArrow(assembled, "doc_id long, ids array<int>, decoded string")
+    # the union keeps the blocks in place, and no filter tells its side of `parts` from that of the words: texts are split and dealt once
+    back = coded.select(F.col("home").alias("block"), F.lit(-1).alias("bucket"), F.lit(None).cast("array<bigint>").alias("doc_ids"), "head", "body")
+    return parts.unionByName(back.repartition("block")).groupBy("block").applyInArrow(assembled, "doc_id long, ids array<int>, decoded string")

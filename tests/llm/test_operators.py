@@ -661,3 +661,25 @@ def test_texts_of_a_block_come_in_batches(monkeypatch):
     assert first.num_rows < 10
     got = {d: t for b in (first, *batches) for d, t in zip(b["doc_id"].to_pylist(), b["decoded"].to_pylist(), strict=True)}
     assert got == dict(enumerate(texts))
+
+
+def test_bpe_splits_texts_once(docs, capsys):
+    """Words and packed texts come from one exchange: the texts are read, split and dealt once."""
+    found = bpe.bpe_round_trip(docs, BPE)
+    found.collect()
+    found.explain()
+    final = capsys.readouterr().out.split("== Initial Plan ==")[0]
+    assert final.count("MapInArrow run(doc_id") == 1 and "ENSURE_REQUIREMENTS" not in final
+
+
+def test_bpe_block_is_not_held_twice():
+    """A packed block costs less than its own lists again: they are emptied on the way."""
+    import tracemalloc
+
+    n = bpe.ROW_CHARS * 4
+    found, at = [np.arange(k, k + 4096, dtype=np.int32) % 1000 for k in range(0, n, 4096)], {f"w{k}": k for k in range(1000)}
+    tracemalloc.start()
+    rows = [(r[0], r[1], r[2]) for r in bpe._packed(0, at, list(range(len(found))), found, 4)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * n and [k for r in rows if r[1] < 0 for k in r[2]] == list(range(n // 4096))
