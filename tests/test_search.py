@@ -141,3 +141,15 @@ def test_many_queries_in_one_plan(spark):
     for q in (0, 777, 9999):
         a = np.array([np.float32(np.sin(q * (k + 1))) for k in range(8)], np.float64)
         assert {(0, r.item_id // 6, r["rank"]) for r in got if r.query_id == q} == brute([a], items, 3)
+
+
+def test_item_maps_count_in_place(spark, capsys):
+    """The maps are the postings, a row for items without terms too, and no term leaves the task of its item."""
+    items, _ = table(spark)
+    maps = lexical.item_maps(items)
+    found = {r.source_ref: r for r in maps.collect()}
+    assert len(found) == items.count() and found["none"].tfs == {} and found["null"].n_terms == 0
+    assert sorted((k, t, n) for k, r in found.items() for t, n in r.tfs.items()) == sorted((r.source_ref, r.term, r.tf) for r in lexical.postings(items).collect())
+    assert all(sum(r.tfs.values()) == r.n_terms for r in found.values())
+    maps.explain()
+    assert "Exchange" not in capsys.readouterr().out
