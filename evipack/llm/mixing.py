@@ -23,6 +23,10 @@ WEIGHTS, TOTAL, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
 BLOCK_WORDS, BLOCK_ROWS, BLOCKS = 1 << 12, 1 << 12, 1 << 20
 #: Block draws of a shard, about.
 SHARD_BLOCKS = 128
+#: Blocks of a packed row, and draws up to which the packed rows are broadcast (a few tens of MB). Draws of BLOCKS blocks are fewer.
+PACK, PACKED = 256, 8 * BLOCKS
+#: Bits of a packed draw: its shard, its pass, and whether it takes the whole block.
+PASS_BITS = 20
 WORD = r"[^\x20\x09-\x0D]+"
 #: Draws invert the exact distribution up to this standard deviation and are normal beyond. Quotas of at most CAP * BLOCKS draws, of sources that
 #: have no more blocks than their words ask for, have one of under 800, so that every draw of the tree is exact.
@@ -185,6 +189,18 @@ def _by_block(draws: DataFrame) -> DataFrame:
     return draws.groupBy(F.col("number").alias("of number"), F.col("block").alias("of block")).agg(held)
 
 
+def _packed(draws: DataFrame) -> DataFrame:
+    """(of number, of pack, packed): the draws of PACK blocks that follow each other, as one array that a block finds its own in by its place.
+    A draw is one long, so that the blocks of any input, no more than about BLOCKS, can go to the texts and not the texts to them."""
+    code = F.shiftleft(F.col("shard"), PASS_BITS + 1).bitwiseOR(F.shiftleft(F.col("pass").cast("long"), 1)).bitwiseOR((F.col("quota") == F.col("words")).cast("long"))
+    place, pack = F.pmod("block", F.lit(PACK)).cast("int"), F.floor(F.col("block") / PACK).cast("long")
+    held = draws.groupBy(F.col("number").alias("of number"), pack.alias("of pack"), place.alias("place")).agg(F.collect_list(code).alias("codes"))
+    rows = held.groupBy("of number", "of pack").agg(F.map_from_entries(F.collect_list(F.struct("place", "codes"))).alias("by place"))
+    packed = rows.select("of number", "of pack", F.transform(F.sequence(F.lit(0), F.lit(PACK - 1)), lambda k: F.try_element_at("by place", k)).alias("packed"))
+    packed = written(packed, "mix-packed")
+    return F.broadcast(packed) if draws.count() <= PACKED else packed
+
+
 def _parts(plan: Plan, seed: int) -> DataFrame:
     """Rows of the blocks that are drawn in part, in their order, with `part`: the words that the last draw takes of each."""
     cut = plan.draws.where("quota < words").select(F.col("number").alias("of number"), F.col("block").alias("of block"), "quota")
@@ -225,7 +241,7 @@ def mixed_shards(
 ) -> DataFrame:
     """The mix itself: each row of `docs` as often as the mix takes it whole (none, once or more), with all its columns, its shard and
     the hash that orders the shard's rows (under the names in `columns`, which give way to none of the documents'). Texts move once, to their
-    shards, where the rows lie in the order of that hash.
+    shards, where the rows lie in the order of that hash: the draws come to them packed, by broadcast.
 
     The row at which a source's quota ends comes whole if at least half of it is taken; rows alike in id, text and source are
     taken alike. Null ids, texts and sources, repeated rows and empty tables are taken as in `mix`.
@@ -240,14 +256,17 @@ def mixed_shards(
     side = plan.goal.select(F.col("source").alias("goal of"), F.col("number").alias("goal number"), F.col("fan").alias("goal fan"))
     each = each.where("`row has words`").join(side, F.col("source of row").eqNullSafe(F.col("goal of")))
     each = each.withColumn("block of row", _block(F.col("id of row"), F.col("mark of row"), F.col("goal fan"), seed))
-    each = each.join(_by_block(plan.draws), (F.col("goal number") == F.col("of number")) & (F.col("block of row") == F.col("of block")))
+    each = each.withColumn("pack of row", F.floor(F.col("block of row") / PACK).cast("long"))
+    each = each.join(_packed(plan.draws), (F.col("goal number") == F.col("of number")) & (F.col("pack of row") == F.col("of pack")))
+    each = each.withColumn("held", F.get("packed", F.pmod("block of row", F.lit(PACK)).cast("int"))).where("held IS NOT NULL")
     each = each.join(ends, (F.col("goal number") == F.col("end number")) & (F.col("block of row") == F.col("end block")), "left")
     here = F.struct(_turn(F.col("id of row"), F.col("mark of row"), seed).alias("turn"), F.col("id of row").alias("doc_id"), F.col("mark of row").alias("mark"))
     in_part = F.coalesce(here < F.col("end place"), F.lit(False)) | ((here == F.col("end place")) & F.col("end whole"))
-    kept = F.filter("held", lambda d: (d.quota == d.words) | F.coalesce(in_part, F.lit(False)))
-    place = F.xxhash64(F.lit(seed), F.lit("place"), "id of row", "mark of row", "draw of row.pass")
+    kept = F.filter("held", lambda d: (d.bitwiseAND(F.lit(1).cast("long")) == 1) | F.coalesce(in_part, F.lit(False)))
+    turn = F.shiftright("draw of row", 1).bitwiseAND(F.lit((1 << PASS_BITS) - 1).cast("long"))
+    place = F.xxhash64(F.lit(seed), F.lit("place"), "id of row", "mark of row", turn)
     rows = each.select(*[c for c in each.columns if c.startswith("own ")], "id of row", "mark of row", F.explode(kept).alias("draw of row"))
-    rows = rows.withColumns({"shard of row": F.col("draw of row.shard"), "place of row": place})
+    rows = rows.withColumns({"shard of row": F.shiftright("draw of row", PASS_BITS + 1), "place of row": place})
     dealt = rows.repartition("shard of row").sortWithinPartitions("shard of row", "place of row")
     return dealt.select(*back, F.col("shard of row").alias(columns[0]), F.col("place of row").alias(columns[1]))
 

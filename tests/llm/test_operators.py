@@ -683,3 +683,18 @@ def test_bpe_block_is_not_held_twice():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 4 * n and [k for r in rows if r[1] < 0 for k in r[2]] == list(range(n // 4096))
+
+
+def test_texts_of_the_mix_move_once(spark):
+    """The draws go to the texts, however many they are, so that only the deal to shards shuffles texts; packs have gaps and several draws."""
+    table = spark.createDataFrame([(i, f"w{i} " * (i % 90), "abc"[i % 3]) for i in range(3000)], "doc_id long, text string, source string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = mixing.mixed_shards(table, block_words=200, block_rows=20, shard_blocks=50)
+        assert "BroadcastHashJoin [goal number" in found._jdf.queryExecution().executedPlan().toString()
+        ours = collections.Counter((r.doc_id, r.shard) for r in found.select("doc_id", "shard").collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rows = mixing.mix(table, block_words=200, block_rows=20, shard_blocks=50).where("taken > 0").collect()
+    rows = [r for r in rows if r.taken % r.size == 0]
+    assert len(rows) > 1500 and all(ours[r.doc_id, s] == n for r in rows for s, n in collections.Counter(r.shards).items())
