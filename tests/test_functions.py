@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from evipack.functions import dates, tables, text
+from evipack.sources import normalize
 
 TABLE = "\n".join(["Narrative first.", "Q1 2024", "Q1 2023", "Change", "%", "FY 2023", "millions of €", "Net revenue", "27,942", "27,839", "0.4", "111,970", "EBITDA", "10.5", "9.9", "6.1", "40.0", "2050", "Staff", "7", "8", "Net revenue", "1", "2", "3", "4"])
 
@@ -50,6 +51,24 @@ def test_boilerplate_and_hash(spark):
     assert hashed == hashlib.sha256(b"t|t|None|unknown|public|0.9").hexdigest()
 
 
+def test_texts_are_read_once(spark):
+    """One pattern finds all dates; pieces are formed once, and the start of a table is looked for only where there is one."""
+    docs, titles = (spark.createDataFrame([("1", "a. In May 2021")], f"doc_id string, {c} string") for c in ("text", "title"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(docs.select(dates.find_date(F.col("text")).alias("found"))).count("regexp_extract") == 1
+    pieces = plan(normalize.press_releases(docs, titles, [r"Drop this\."]))
+    assert pieces.count("aggregate(") == 1 and "common_expr" not in pieces
+
+
+def test_dates_that_meet(spark):
+    """Dates beside, after and within one another: the first of each kind counts, and all years."""
+    of = lambda x: tuple(one(spark, x, dates.find_date))
+    day = dt.datetime
+    assert of("In March 2021, May. 7, 2022 or May 8, 2023") == (day(2022, 5, 7), "day") and of("May 20, 20211 and June 2020") == (day(2020, 6, 1), "month")
+    assert of("xMay 5, 2021") == (day(2021, 7, 1), "year") and of("May 32, 2024; May. 2020; 2020") == (day(2020, 7, 1), "year")
+    assert of("February 30, 2022, March 4, 2023") == (day(2022, 7, 1), "year") and of("2018 2027 2050 20199") == (None, "unknown") and of("May 2020, 2021 2021") == (day(2020, 5, 1), "month")
+
+
 def test_table(spark):
     assert one(spark, TABLE, tables.has_table) is True
     assert one(spark, TABLE, tables.parse_columns) == ["Q1 2024", "Q1 2023", "Change %", "FY 2023"]
