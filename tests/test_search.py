@@ -153,3 +153,18 @@ def test_item_maps_count_in_place(spark, capsys):
     assert all(sum(r.tfs.values()) == r.n_terms for r in found.values())
     maps.explain()
     assert "Exchange" not in capsys.readouterr().out
+
+
+def test_postings_are_sifted_before_they_are_dealt(spark):
+    """However large the table of task terms, postings of terms that nobody asks for meet no exchange."""
+    items, tasks = table(spark)
+    index = corpus.index_of(items)
+    wanted = lexical.task_terms(tasks.where("task_id = 103 OR task_id = 1"), index.weights)
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lexical.matches(index.postings, wanted)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    below = plan[plan.index("SortMergeJoin [term"):]
+    assert below.index("LeftSemi") < below.index("Generate explode(tfs") and "BroadcastHashJoin [number" in below
