@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from evipack.operators import lexical
+from evipack.plans import resolve as rs
 from evipack.sources import sift, store, text_index
+from evipack.stored import stored
 
 
 def shuffled(spark, act) -> int:
@@ -76,3 +78,26 @@ def test_an_index_is_updated_by_what_changes(spark, tmp_path):
         assert found.count() == some.count() and shuffled(spark, lambda: drain(found)) < 0.25 * size
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
+def test_texts_join_what_is_chosen(spark):
+    """Of many hits with long texts few fit a package: only their texts are dealt, whole, with a quote for every record that is cited."""
+    n, long = 400, 512 * 4
+    ident = F.col("id").cast("string")
+    text = F.concat(*[F.sha2(F.concat(ident, F.lit(f"/{k}")), 512) for k in range(long // 128)])
+    fact = F.when(F.col("id") % 4 == 0, F.concat(F.lit("k"), F.floor(F.col("id") / 8).cast("string")))
+    store = spark.range(n).select(
+        F.lit("press_release").alias("source"), F.concat(F.lit("r"), ident).alias("source_ref"), ident.alias("doc_id"), F.lit("structured").alias("kind"), F.lit("title").alias("title"), text.alias("content"),
+        F.create_map(F.lit("period"), F.lit("FY 2022")).alias("fields"), fact.alias("fact_key"), (F.col("id") % 8).cast("string").alias("fact_value"), F.lit("2024-01-01").cast("timestamp_ntz").alias("observed_at"),
+        F.lit("day").alias("timestamp_precision"), F.lit("public").alias("scope"), F.lit(0.9).alias("confidence"), F.sha2(ident, 256).alias("content_hash"),
+    )
+    store = stored(store, "texts")
+    tasks = spark.range(100).select(F.col("id").alias("task_id"), F.lit("what").alias("task"), F.array(F.lit("public")).alias("scopes"), F.lit(600).alias("budget_tokens"), F.lit("2024-07-01").cast("timestamp_ntz").alias("as_of"))
+    lists = tasks.select("task_id", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("rank")).select("task_id", F.concat(F.lit("r"), ((F.col("task_id") * 4 + F.col("rank") * 20) % n).cast("string")).alias("source_ref"), F.lit("dense").alias("channel"), F.lit(0).alias("list_no"), "rank")
+    found = spark.createDataFrame([], "task_id long, source_ref string, coverage double, matched array<string>")
+    made = []
+    assert shuffled(spark, lambda: made.append(rs.resolve(tasks, store, rs.hits_of(tasks, store, lists, found)))) < 100 * 20 * long / 2
+    items, evidence = made[0].items.collect(), made[0].evidence.collect()
+    texts = {r.source_ref: r.content for r in store.collect()}
+    assert len(items) == 100 and all(r.content == texts[r.source_ref] for r in items)
+    assert len(evidence) == 200 and all(r.quote == texts[r.source_ref][:280] for r in evidence)
