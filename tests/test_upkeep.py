@@ -23,6 +23,24 @@ def test_documents_as_files(spark, tmp_path):
             folder.write_documents(spark.createDataFrame([(bad, "x")], "doc_id string, text string"), f"{tmp_path}/docs")
 
 
+def test_no_list_of_files_on_the_driver(spark, tmp_path):
+    """Many files are read by their names in a table; names that Spark's sources would hide, odd bytes and other files beside them."""
+    rows = spark.range(5000).select(F.concat(F.lit("d"), "id").alias("doc_id"), F.concat(F.lit("text\r\n"), "id").alias("text"))
+    more = spark.createDataFrame([("_hidden", "a"), (".dot", "b"), ("é +%41", "c\r")], "doc_id string, text string")
+    path = f"{tmp_path}/docs with a blank"
+    folder.write_documents(rows.unionByName(more), path)
+    (tmp_path / "docs with a blank" / "bytes.txt").write_bytes(b"a\xff")
+    (tmp_path / "docs with a blank" / "other.csv").write_bytes(b"no document")
+    (tmp_path / "docs with a blank" / "inner.txt").mkdir()
+    docs = readers.read_documents(spark, path)
+    assert len(docs.inputFiles()) < 10
+    found = {r.doc_id: r.text for r in docs.where("doc_id <> 'bytes'").collect()}
+    assert found == {f"d{k}": f"text\n{k}" for k in range(5000)} | {"_hidden": "a", ".dot": "b", "é +%41": "c\n"}
+    assert docs.where("doc_id = 'bytes'").select(F.hex(F.col("text").cast("binary"))).first()[0] in ("61FF", "61EFBFBD")
+    by_spark = readers.read_documents(spark, f"{tmp_path}/docs*blank")  # a pattern is Spark's to read
+    assert by_spark.where("doc_id LIKE 'd%'").count() == 5000
+
+
 def test_evidence_of_a_hot_key(spark):
     """A key with a million rows beside small ones: every place once, in order, over many slices."""
     k = F.col("id")
