@@ -101,3 +101,22 @@ def test_texts_join_what_is_chosen(spark):
     texts = {r.source_ref: r.content for r in store.collect()}
     assert len(items) == 100 and all(r.content == texts[r.source_ref] for r in items)
     assert len(evidence) == 200 and all(r.quote == texts[r.source_ref][:280] for r in evidence)
+
+
+def test_passages_are_found_by_few_postings(spark):
+    """However the rarest terms of tasks are joined, only postings of such terms are dealt, and only the maps and texts they find."""
+    items = stored(wide(spark, 4000).withColumns({"scope": F.lit("public"), "title": F.lit(""), "content": F.regexp_replace("content", "(.{3})", "$1 ")}), "passages")
+    maps = stored(lexical.item_maps(items), "passage-maps")
+    posts = lexical.postings_of(maps)
+    index = lexical.Index(posts, stored(lexical.idf(items, posts), "passage-weights"), maps, 4000)
+    text = items.where("source_ref = 'k17'").first().content
+    tasks = spark.createDataFrame([(1, text, ["public"]), (2, text + " unheard", ["public"]), (3, text, ["private"])], "task_id long, task string, scopes array<string>")
+    wanted = stored(lexical.task_terms(tasks, index.weights), "passage-terms")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = []
+        assert shuffled(spark, lambda: made.extend(lexical.with_all_terms(index, wanted).collect())) < 512 * 4000 / 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert {tuple(r) for r in made} >= {(1, "k17")} and all(r.task_id in (1, 2) for r in made)
